@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+import numpy as np
 
 from ..functions.columns import party_from_score
 from ..operators import counts, events, frames, network
@@ -462,3 +463,197 @@ def queries() -> dict[str, QueryFn]:
 
 def oracle_sql() -> dict[str, str]:
     return {n: q.sql for n, q in REGISTRY.items() if q.sql is not None}
+
+
+# =========================================================== agreement
+from ..operators import agreement  # noqa: E402
+
+_ASSIGN_SQL = """
+assign AS (
+  SELECT vec_id AS id, k, CAST(list_position(l, list_max(l)) AS INTEGER) AS grp
+  FROM (SELECT vec_id, k, list_slice(CAST(embedding AS DOUBLE[]), 1, k) AS l
+        FROM embeddings, (VALUES (16), (32), (64)) AS ks(k)) AS s
+  UNION ALL SELECT vec_id, 0, label FROM embeddings),
+pairs AS (
+  SELECT a.id, a.k AS k1, b.k AS k2, a.grp AS g1, b.grp AS g2 FROM assign a JOIN assign b ON a.id = b.id AND a.k <> b.k),
+cont AS (SELECT k1, k2, g1, g2, count(*) AS nij FROM pairs GROUP BY ALL),
+ma AS (SELECT k1, k2, g1, sum(nij) AS a FROM cont GROUP BY ALL),
+mb AS (SELECT k1, k2, g2, sum(nij) AS b FROM cont GROUP BY ALL),
+nn AS (SELECT k1, k2, CAST(sum(nij) AS DOUBLE) AS N FROM cont GROUP BY ALL),
+mi AS (SELECT c.k1, c.k2, sum(nij / N * ln(N * nij / (a * b))) AS mi, sum(nij * (nij - 1) / 2.0) AS s_ij, any_value(N) AS N
+       FROM cont c JOIN ma USING (k1, k2, g1) JOIN mb USING (k1, k2, g2) JOIN nn USING (k1, k2) GROUP BY ALL),
+hu AS (SELECT k1, k2, -sum(a / N * ln(a / N)) AS hu, sum(a * (a - 1) / 2.0) AS s_a FROM ma JOIN nn USING (k1, k2) GROUP BY ALL),
+hv AS (SELECT k1, k2, -sum(b / N * ln(b / N)) AS hv, sum(b * (b - 1) / 2.0) AS s_b FROM mb JOIN nn USING (k1, k2) GROUP BY ALL),
+cells AS (SELECT k1, k2, a, b, N, unnest(generate_series(greatest(1, CAST(a + b - N AS BIGINT)), CAST(least(a, b) AS BIGINT))) AS x
+          FROM ma JOIN mb USING (k1, k2) JOIN nn USING (k1, k2)),
+emi AS (SELECT k1, k2, sum(x / N * ln(N * x / (a * b)) * exp(
+          lgamma(a + 1) + lgamma(b + 1) + lgamma(N - a + 1) + lgamma(N - b + 1) - lgamma(N + 1)
+          - lgamma(x + 1) - lgamma(a - x + 1) - lgamma(b - x + 1) - lgamma(N - a - b + x + 1))) AS emi
+        FROM cells GROUP BY ALL),
+agree AS (
+  SELECT k1, k2, mi, hu, hv, mi / greatest(hu, hv) AS nmi,
+         (s_ij - s_a * s_b / (N * (N - 1) / 2)) / ((s_a + s_b) / 2 - s_a * s_b / (N * (N - 1) / 2)) AS ari,
+         emi, (mi - emi) / (greatest(hu, hv) - emi) AS ami
+  FROM mi JOIN hu USING (k1, k2) JOIN hv USING (k1, k2) JOIN emi USING (k1, k2))"""
+
+
+def _assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lo = P.loadings(spark, sf_dir)
+    by_k = network.assign_clusters(lo, (16, 32, 64)).select("id", "k", "grp")
+    by_label = lo.select("id", F.lit(0).alias("k"), F.col("label").alias("grp"))
+    return by_k.unionByName(by_label)
+
+
+@register("cluster_agreement", "WITH " + _ASSIGN_SQL + "\nSELECT * FROM agree",
+          doubles=("mi", "hu", "hv", "nmi", "ari", "emi", "ami"), ref="A12 J8 X5")
+def q_cluster_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agreement.cluster_agreement(_assignments(spark, sf_dir))
+
+
+@register("assignment_pairs", "WITH " + _ASSIGN_SQL + "\nSELECT id, k1, k2, g1, g2 FROM pairs",
+          ref="J8 U1")
+def q_assignment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agreement.assignment_pairs(_assignments(spark, sf_dir))
+
+
+@register("mean_agreement", "WITH " + _ASSIGN_SQL + """
+SELECT k1, avg(ami) AS mean, count(*) AS n_pairs FROM agree GROUP BY k1""", doubles=("mean",), ref="M7 A13")
+def q_mean_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agreement.mean_agreement(agreement.cluster_agreement(_assignments(spark, sf_dir)))
+
+
+@register("agreement_bootstrap_ci", None, ref="A13")
+def q_agreement_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    agree = agreement.cluster_agreement(_assignments(spark, sf_dir))
+    return agreement.bootstrap_mean_ci(agree, "k1", "ami", conf=0.66, reps=1000, seed=779)
+
+
+# =========================================================== models (G1-G14), rows-only checks
+from ..stats import glm as _glm  # noqa: E402
+from ..stats import mixed as _mixed  # noqa: E402
+from ..stats import models as _models  # noqa: E402
+from ..stats.design import make_design, star  # noqa: E402
+
+T_LEVELS = ("-2", "-1", "0", "+1", "+2", "+3", "+4", "+5", "+6")
+
+
+def _x11_design(x11: DataFrame, full: bool = True):
+    terms = star("issuepublic", "meta")
+    if full:
+        terms += [("age",), ("age", "issuepublic"), ("par_diff",), ("par_diff", "issuepublic"),
+                  ("male",), ("male", "issuepublic"), ("log_n",), ("log_n", "issuepublic")]
+    return make_design(x11, terms, factors=["issuepublic", "meta"], levels={"issuepublic": ["blm", "pol"]},
+                       poly=["par_diff"])
+
+
+@register("binomial_fit", None, ref="G5 G1 G2 G8 G9")
+def q_binomial_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster-level overlap model (base + audience terms) with grp-clustered SEs."""
+    x11 = _x11(spark, sf_dir).persist()
+    fit = _glm.binomial_fit(x11, _x11_design(x11), "v", "total")
+    return _glm.coef_table(spark, fit, _glm.cluster_vcov(fit, x11, "grp"))
+
+
+@register("avg_predictions", None, ref="G11 J9 G8")
+def q_avg_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counterfactual average overlap over a 25-point age grid, by issue public."""
+    x11 = _x11(spark, sf_dir).persist()
+    fit = _glm.binomial_fit(x11, _x11_design(x11), "v", "total")
+    rng = x11.agg(F.min("age").alias("lo"), F.max("age").alias("hi")).first()
+    grid = list(np.linspace(float(rng["lo"]), float(rng["hi"]), 25))
+    return _glm.avg_predictions(fit, x11, "age", grid, ["issuepublic"], _glm.cluster_vcov(fit, x11, "grp"))
+
+
+@register("model_compare", None, ref="G10 G5")
+def q_model_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x11 = _x11(spark, sf_dir).persist()
+    base = _glm.binomial_fit(x11, _x11_design(x11, False), "v", "total")
+    full = _glm.binomial_fit(x11, _x11_design(x11, True), "v", "total")
+    return _models.compare_models(spark, {"base": base, "full": full})
+
+
+def _lmm_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _panel(spark, sf_dir).withColumn("v", F.col("polcnt") / F.col("total"))
+
+
+def _lmm_design(df: DataFrame, with_meta: bool):
+    terms = star("t", "regex_type", "event", *(("meta",) if with_meta else ()))
+    return make_design(df, terms, factors=["t", "regex_type", "event", "meta"], levels={"t": list(T_LEVELS)})
+
+
+@register("mixed_fit", None, ref="G3 G1")
+def q_mixed_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random-intercept model v ~ t*regex_type*event + (1|grp), REML."""
+    df = _lmm_frame(spark, sf_dir).persist()
+    fit = _mixed.mixed_fit(df, _lmm_design(df, False), "v", "grp", reml=True)
+    rows = [(n, float(b), float(np.sqrt(fit.cov[i, i]))) for i, (n, b) in enumerate(zip(fit.kept_names, fit.beta))]
+    rows += [("sigma2", float(fit.sigma2), None), ("sigma_b2", float(fit.sigma_b2), None),
+             ("loglik_reml", float(fit.loglik), None)]
+    return spark.createDataFrame(rows, "term string, estimate double, std_error double")
+
+
+@register("mixed_predict", None, ref="G4 J9 U6")
+def q_mixed_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Population-level predictions of t*event*regex_type*meta on the full level grid."""
+    df = _lmm_frame(spark, sf_dir).persist()
+    fit = _mixed.mixed_fit(df, _lmm_design(df, True), "v", "grp", reml=True)
+    grid = _mixed.prediction_grid(df, ["t", "regex_type", "event", "meta"])
+    return _mixed.mixed_predict(spark, fit, grid)
+
+
+@register("mixed_compare", None, ref="G10 G3")
+def q_mixed_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML refits of the nested random-intercept models with LR tests."""
+    df = _lmm_frame(spark, sf_dir).persist()
+    fits = {}
+    for name, terms in (("b1", [("regex_type",)]), ("b2", [("t",), ("regex_type",), ("event",)]),
+                        ("b5", star("t", "regex_type", "event"))):
+        d = make_design(df, terms, factors=["t", "regex_type", "event"], levels={"t": list(T_LEVELS)})
+        fits[name] = _mixed.mixed_fit(df, d, "v", "grp", reml=False)
+    return _models.compare_models(spark, fits)
+
+
+def _x12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (frames.account_model_frame(P.infl_w_tweet_count(spark, sf_dir), P.infl_audience(spark, sf_dir),
+                                       P.centrality(spark, sf_dir))
+            .withColumn("v", F.col("value") / F.col("total"))
+            .withColumn("verified", F.col("verified").cast("string")))
+
+
+def _fe_design(df: DataFrame, extra: list = ()):
+    terms = [*star("verified", "variable", "meta"), ("cent_pop",), ("cent_pop", "variable"), ("cent_pop", "meta"),
+             ("cent_pop", "variable", "meta"), *extra]
+    terms = [t for t in terms if t not in (("variable",), ("meta",), ("variable", "meta"))]
+    return make_design(df, terms, factors=["verified", "variable", "meta"], poly=["cent_pardiff"])
+
+
+@register("fe_binomial_fit", None, ref="G6 G1 G2")
+def q_fe_binomial_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account-level FE logit: (verified + cent_pop)*variable*meta + age / partisanship terms | variable + grp."""
+    df = _x12(spark, sf_dir).persist()
+    extra = [("cent_age",), ("cent_age", "variable"), ("cent_age", "meta"), ("cent_age", "variable", "meta"),
+             ("cent_pardiff",), ("cent_pardiff", "variable"), ("cent_pardiff", "meta")]
+    fit = _models.fe_binomial_fit(df, _fe_design(df, extra), "v", "total", ["variable", "grp"])
+    return _glm.coef_table(spark, fit)
+
+
+@register("subset_models", None, ref="G7 G6 G10")
+def q_subset_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All subsets of {verified, cent_fol, cent_pop} with variable + grp fixed effects."""
+    df = _x12(spark, sf_dir).persist()
+    base = make_design(df, [("verified",)], factors=["verified"])
+    base.terms = []
+    fits = _models.subset_models(df, base, [("verified",), ("cent_fol",), ("cent_pop",)], "v", "total",
+                                 ["variable", "grp"])
+    named = {"+".join(t[0] for t in k) or "base": f for k, f in fits.items()}
+    return _models.compare_models(spark, named)
+
+
+@register("fit_diagnostics", None, ref="G14 U4 A16")
+def q_fit_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observed vs fitted of base and full FE models, one row per account x public."""
+    df = _x12(spark, sf_dir).persist()
+    base = _models.fe_binomial_fit(df, make_design(df, []), "v", "total", ["variable", "grp"])
+    full = _models.fe_binomial_fit(df, _fe_design(df), "v", "total", ["variable", "grp"])
+    diag = _models.fit_diagnostics(df, {"base": base, "full": full}, "v", "total")
+    return diag.select("id", "variable", "observed", "pred_base", "pred_full")
