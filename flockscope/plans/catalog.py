@@ -657,3 +657,19 @@ def q_fit_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = _models.fe_binomial_fit(df, _fe_design(df), "v", "total", ["variable", "grp"])
     diag = _models.fit_diagnostics(df, {"base": base, "full": full}, "v", "total")
     return diag.select("id", "variable", "observed", "pred_base", "pred_full")
+
+
+from ..stats import bootstrap as _boot  # noqa: E402
+
+# Replicates used by the registered bootstrap query (the library default is 1000).
+BOOT_REPS = 100
+
+
+@register("bootstrap_curves", None, ref="G13 G12 U5 A14 G11")
+def q_bootstrap_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Population-averaged curves of the FE account model with cluster-bootstrap CIs."""
+    df = _x12(spark, sf_dir).persist()
+    fit = _models.fe_binomial_fit(df, _fe_design(df, [("cent_age",), ("cent_age", "variable", "meta")]),
+                                  "v", "total", ["variable", "grp"])
+    return _boot.bootstrap_curves(spark, fit, df, ["cent_pop", "cent_age"], ["meta", "variable"], "grp",
+                                  discrete=["verified"], reps=BOOT_REPS, grid_n=20, seed=779)
