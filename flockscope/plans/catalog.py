@@ -673,3 +673,13 @@ def q_bootstrap_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   "v", "total", ["variable", "grp"])
     return _boot.bootstrap_curves(spark, fit, df, ["cent_pop", "cent_age"], ["meta", "variable"], "grp",
                                   discrete=["verified"], reps=BOOT_REPS, grid_n=20, seed=779)
+
+
+from ..operators import factor as _factor  # noqa: E402
+
+
+@register("vsp_sweep", None, ref="M2 M3 M4 M5 M1")
+def q_vsp_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pruned follow graph -> one factorisation at k = 25 -> varimax assignments for k in (10, 25)."""
+    edges = network.prune_follows(P.follows(spark, sf_dir), 25, 10)
+    return _factor.sweep_k(edges, [10, 25], power_iters=8, seed=42)

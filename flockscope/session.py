@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
@@ -67,7 +68,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint (survives executor loss), never a local one."""
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (survives executor loss), never a local one.
+
+    The frame is cached first so writing the checkpoint does not recompute it;
+    the cache is released once the checkpoint files exist.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
