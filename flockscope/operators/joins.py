@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,15 +11,31 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 2_000_000
 
 
+_CACHED: list[DataFrame] = []
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``F.broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``.
 
-    The check reads at most ``max_rows + 1`` rows of the small side. Beyond
-    the bound the join falls back to a shuffle join (AQE may still convert it
-    at run time, and splits skewed partitions).
+    The check reads at most ``max_rows + 1`` rows of the small side, through
+    a cache, so the broadcast reuses the rows the check computed instead of
+    recomputing a derived side. Beyond the bound the cache is dropped and the
+    join falls back to a shuffle join (AQE may still convert it at run time,
+    and splits skewed partitions).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    small = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = small.limit(max_rows + 1).count()
+    if n <= max_rows:
+        _CACHED.append(small)
+        return F.broadcast(small)
+    small.unpersist()
+    return df
+
+
+def release_broadcast_cache() -> None:
+    """Drop the cached small sides kept for broadcasts (call between jobs)."""
+    while _CACHED:
+        _CACHED.pop().unpersist()
 
 
 def restrict_to(df: DataFrame, ids: DataFrame, left_key: str, right_key: str | None = None) -> DataFrame:

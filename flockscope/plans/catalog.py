@@ -277,8 +277,7 @@ panel AS (
                                               "p_clust_stats"),
           doubles=(*_STATS, "par_diff"), ref="X10 W2 P9 J4 U1")
 def q_cluster_event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.cluster_event_panel(P.tweet_counts(spark, sf_dir), P.infl_w_tweet_count(spark, sf_dir),
-                                      P.clust_stats(spark, sf_dir), EVENTS)
+    return _panel(spark, sf_dir)
 
 
 @register("pooled_proportions", with_proxies(_PANEL_SQL_BODY + """
@@ -296,8 +295,13 @@ def q_pooled_proportions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.pooled_proportions(_panel(spark, sf_dir))
 
 
+def _reused(df: DataFrame) -> DataFrame:
+    """Cache an intermediate that a query reads more than once."""
+    return df.persist()
+
+
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.cluster_event_panel(P.tweet_counts(spark, sf_dir), P.infl_w_tweet_count(spark, sf_dir),
+    return events.cluster_event_panel(P.tweet_counts(spark, sf_dir), _reused(P.infl_w_tweet_count(spark, sf_dir)),
                                       P.clust_stats(spark, sf_dir), EVENTS)
 
 
@@ -683,3 +687,44 @@ def q_vsp_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pruned follow graph -> one factorisation at k = 25 -> varimax assignments for k in (10, 25)."""
     edges = network.prune_follows(P.follows(spark, sf_dir), 25, 10)
     return _factor.sweep_k(edges, [10, 25], power_iters=8, seed=42)
+
+
+@register("density_curves", with_proxies(_PANEL_SQL_BODY + """,
+pd AS (SELECT meta, 'age' AS variable, age AS value FROM panel
+       UNION ALL SELECT meta, 'par_diff', par_diff FROM panel
+       UNION ALL SELECT meta, 'male', male FROM panel),
+st0 AS (SELECT meta, variable, count(*) AS cnt, stddev_samp(value) AS sd, quantile_cont(value, 0.25) AS q1,
+               quantile_cont(value, 0.75) AS q3, min(value) AS mn, max(value) AS mx
+        FROM pd WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY ALL),
+st1 AS (SELECT *, CASE WHEN least(sd, (q3 - q1) / 1.34) > 0 THEN least(sd, (q3 - q1) / 1.34)
+                       ELSE coalesce(CASE WHEN sd > 0 THEN sd END, CASE WHEN abs(mn) > 0 THEN abs(mn) END, 1.0) END AS losd
+        FROM st0),
+st2 AS (SELECT *, 0.9 * losd * pow(CAST(cnt AS DOUBLE), -0.2) AS bw FROM st1),
+st3 AS (SELECT *, mn - 3.0 * bw AS xfrom, mx + 3.0 * bw AS xto FROM st2),
+st4 AS (SELECT *, xfrom - 4.0 * bw AS lo, xto + 4.0 * bw AS up FROM st3),
+st AS (SELECT *, (up - lo) / 511 AS dx FROM st4),
+b0 AS (SELECT pd.meta, pd.variable, (value - lo) / dx AS p, 1.0 / cnt AS w
+       FROM pd JOIN st ON st.meta = pd.meta AND st.variable = pd.variable WHERE value IS NOT NULL AND NOT isnan(value)),
+bins AS (SELECT meta, variable, j, sum(m) AS m FROM (
+           SELECT meta, variable, CAST(floor(p) AS INTEGER) AS j, w * (1.0 - (p - floor(p))) AS m FROM b0
+           UNION ALL SELECT meta, variable, CAST(floor(p) AS INTEGER) + 1, w * (p - floor(p)) FROM b0) AS u
+         WHERE j BETWEEN 0 AND 511 GROUP BY ALL),
+grid AS (SELECT meta, variable, bw, lo, up, unnest(generate_series(0, 511)) AS i FROM st),
+atg AS (SELECT g.meta, g.variable, g.i,
+               greatest(sum(b.m * exp(-0.5 * pow(CAST(abs(g.i - b.j) AS DOUBLE) * (2.0 * (g.up - g.lo) / 1023) / g.bw, 2))
+                        / (g.bw * sqrt(2 * pi()))), 0.0) AS d
+        FROM grid g JOIN bins b ON b.meta = g.meta AND b.variable = g.variable GROUP BY ALL),
+pts AS (SELECT meta, variable, lo, dx, xfrom + m * (xto - xfrom) / 511 AS x
+        FROM (SELECT *, unnest(generate_series(0, 511)) AS m FROM st) AS s),
+pts2 AS (SELECT *, (x - lo) / dx AS p FROM pts)
+SELECT p.meta, p.variable, p.x,
+       coalesce(a0.d, 0.0) * (1.0 - (p.p - floor(p.p))) + coalesce(a1.d, 0.0) * (p.p - floor(p.p)) AS y
+FROM pts2 p
+LEFT JOIN atg a0 ON a0.meta = p.meta AND a0.variable = p.variable AND a0.i = CAST(floor(p.p) AS INTEGER)
+LEFT JOIN atg a1 ON a1.meta = p.meta AND a1.variable = p.variable AND a1.i = CAST(floor(p.p) AS INTEGER) + 1""",
+                                           "p_tweet_counts", "p_infl", "p_clust_stats"),
+          doubles=("x", "y"), ref="A18 U3")
+def q_density_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kernel density of cluster age, par_diff and male per meta type (input of the ridge chart)."""
+    long = frames.to_long(_panel(spark, sf_dir), ["meta"], ["age", "par_diff", "male"])
+    return frames.density_curves(long, ["meta", "variable"], "value")

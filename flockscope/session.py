@@ -23,6 +23,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # keep the partial (map-side) top-n limit for n up to 10,000 per group
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
 
@@ -47,6 +49,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def prepare_session(spark: SparkSession) -> None:
     """Apply the settings the operators depend on to an existing session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10000")
     ensure_checkpoint_dir(spark)
 
 
