@@ -23,10 +23,15 @@ from ..sources import schemas
 
 
 def stream_daily_keyword_counts(spark: SparkSession, tweets_dir: str, influencers: DataFrame,
-                                patterns: Mapping[str, str], lateness: str = "2 days",
+                                patterns: Mapping[str, str], lateness: str | None = "2 days",
                                 schema: T.StructType | None = None, prefer: str = "short",
                                 max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming DataFrame of final per-day counts (long form, zero counts absent)."""
+    """Streaming DataFrame of per-day counts (long form, zero counts absent).
+
+    With ``lateness`` the day windows close under a watermark (append mode
+    emits each day once). ``lateness=None`` keeps every day open, for
+    ``complete`` / ``update`` output modes.
+    """
     reader = spark.readStream.schema(schema or schemas.TWEET)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -35,7 +40,9 @@ def stream_daily_keyword_counts(spark: SparkSession, tweets_dir: str, influencer
     joined = projected.join(bounded_broadcast(influencers.select("uid", "grp")), "uid", "inner")
     flagged = keyword_flags(joined, patterns)
     names = list(patterns)
-    wide = (flagged.withWatermark("ts", lateness)
+    if lateness is not None:
+        flagged = flagged.withWatermark("ts", lateness)
+    wide = (flagged
             .groupBy(F.window("ts", "1 day").alias("day"), "grp", "userid", "is_rt")
             .agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col(n)).alias(n) for n in names]))
     wide = wide.select(F.date_format(F.col("day.start"), DAY_KEY_FORMAT).alias("date"), "grp", "userid", "is_rt",
