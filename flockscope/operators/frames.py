@@ -195,3 +195,14 @@ def density_curves(df: DataFrame, by: Sequence[str], col: str, n: int = DENSITY_
     out = pts.join(g0, [*keys, "__i0"], "left").join(g1, [*keys, "__i0"], "left")
     y = F.coalesce("__d0", F.lit(0.0)) * (F.lit(1.0) - F.col("__f")) + F.coalesce("__d1", F.lit(0.0)) * F.col("__f")
     return out.select(*keys, "x", y.alias("y"))
+
+
+def sample_rows(df: DataFrame, n: int, seed: int, key: Sequence[str] | str = "id") -> DataFrame:
+    """U4: n rows without replacement, repeatable: the n smallest seeded hashes of the key.
+
+    Planned as a per-partition top-n followed by one merge (no full sort), so
+    the cost is one scan; the limit is the operator itself.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    h = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
+    return df.withColumn("__h", h).orderBy(F.col("__h"), *[F.col(k) for k in keys]).limit(n).drop("__h")

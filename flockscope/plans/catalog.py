@@ -526,6 +526,13 @@ def q_mean_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agreement.mean_agreement(agreement.cluster_agreement(_assignments(spark, sf_dir)))
 
 
+@register("choose_k", "WITH " + _ASSIGN_SQL + """
+SELECT arg_max(k1, struct_pack(m := mean, negk := -k1)) AS k, max(mean) AS mean
+FROM (SELECT k1, avg(ami) AS mean FROM agree GROUP BY k1) AS s""", doubles=("mean",), ref="M7 K3")
+def q_choose_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agreement.choose_k(agreement.cluster_agreement(_assignments(spark, sf_dir)))
+
+
 @register("agreement_bootstrap_ci", None, ref="A13")
 def q_agreement_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     agree = agreement.cluster_agreement(_assignments(spark, sf_dir))
@@ -660,7 +667,9 @@ def q_fit_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _models.fe_binomial_fit(df, make_design(df, []), "v", "total", ["variable", "grp"])
     full = _models.fe_binomial_fit(df, _fe_design(df), "v", "total", ["variable", "grp"])
     diag = _models.fit_diagnostics(df, {"base": base, "full": full}, "v", "total")
-    return diag.select("id", "variable", "observed", "pred_base", "pred_full")
+    diag = diag.select("id", "variable", "observed", "pred_base", "pred_full")
+    # the diagnostic pairs are drawn as a repeatable 10,000-row sample (U4)
+    return frames.sample_rows(diag, 10_000, seed=587, key=["id", "variable"])
 
 
 from ..stats import bootstrap as _boot  # noqa: E402
