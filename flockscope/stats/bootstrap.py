@@ -15,14 +15,12 @@ import logging
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .glm import GLMFit, _binomial_dev, find_aliased
-from .gram import _tri_products, _unpack
+from .glm import GLMFit, find_aliased
+from .gram import _unpack, partition_sums, stack, tri_upper
 
 log = logging.getLogger(__name__)
 
@@ -48,7 +46,6 @@ def cluster_multiplicities(df: DataFrame, cluster: str, reps: int, seed: int) ->
 def _batched_irls(frame: DataFrame, reps: list[int], beta0: np.ndarray, p: int, max_iter: int = 25,
                   tol: float = 1e-8) -> dict[int, np.ndarray]:
     """IRLS for many replicates at once; ``frame`` has rep, __x, __y, __w (weight x multiplicity)."""
-    spark = frame.sparkSession
     betas = {r: beta0.copy() for r in reps}
     dev_old = {r: np.inf for r in reps}
     active = set(reps)
@@ -56,25 +53,30 @@ def _batched_irls(frame: DataFrame, reps: list[int], beta0: np.ndarray, p: int,
     for _ in range(max_iter):
         if not active:
             break
-        bt = spark.createDataFrame([(r, [float(v) for v in betas[r]]) for r in sorted(active)],
-                                   "rep int, __b array<double>")
-        step = frame.join(F.broadcast(bt), "rep")
-        eta = F.aggregate(F.zip_with("__x", "__b", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-        step = step.select("rep", "__x", "__y", "__w", eta.alias("__eta"))
-        step = step.select("rep", "__x", "__y", "__w", "__eta",
-                           (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("__eta")))).alias("__mu"))
-        mu, yy, w = F.col("__mu"), F.col("__y"), F.col("__w")
-        var = mu * (F.lit(1.0) - mu)
-        step = step.select("rep", "__x", yy, w, mu, (w * var).alias("__wt"),
-                           (F.col("__eta") + (yy - mu) / var).alias("__z"))
-        wt, z = F.col("__wt"), F.col("__z")
-        vec = F.concat(_tri_products(F.col("__x"), wt, p), F.transform("__x", lambda v: v * wt * z),
-                       F.array(_binomial_dev(yy, mu, w), w, F.lit(1.0)))
-        rows = (step.select("rep", array_to_vector(vec).alias("g")).groupBy("rep")
-                .agg(Summarizer.sum(F.col("g")).alias("s")).collect())
-        for r in rows:
-            rep = r["rep"]
-            g = _unpack(np.asarray(r["s"].toArray()), p)
+        current = {r: betas[r] for r in active}
+
+        def fn(pdf, current=current):
+            rep = int(pdf["rep"].iloc[0])
+            beta = current[rep]
+            x = stack(pdf["__x"])
+            y = pdf["__y"].to_numpy(np.float64)
+            w = pdf["__w"].to_numpy(np.float64)
+            eta = x @ beta
+            mu = 1.0 / (1.0 + np.exp(-eta))
+            var = mu * (1.0 - mu)
+            wt = w * var
+            z = eta + (y - mu) / var
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t1 = np.where(y > 0, y * np.log(y / mu), 0.0)
+                t2 = np.where(y < 1, (1.0 - y) * np.log((1.0 - y) / (1.0 - mu)), 0.0)
+            xw = x * wt[:, None]
+            return np.concatenate([tri_upper(x.T @ xw), xw.T @ z, [float(np.sum(2 * w * (t1 + t2))), w.sum(),
+                                                                   float(len(w))]])
+
+        sums = partition_sums(frame.where(F.col("rep").isin(sorted(active))), fn,
+                              p * (p + 1) // 2 + p + 3, by="rep")
+        for rep, vec in sums.items():
+            g = _unpack(vec, p)
             keep = find_aliased(g.xtwx)
             try:
                 sol = np.zeros(p)

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..operators.agreement import log_factorial
 from .design import Design
-from .gram import _tri_products, _unpack, dot, quad_form_sqrt, vector_sums
+from .gram import _tri_products, _unpack, dot, partition_sums, quad_form_sqrt, stack, tri_upper, vector_sums
 
 ALIAS_TOL = 1e-9
 
@@ -99,8 +99,36 @@ def _binomial_dev(y: Column, mu: Column, w: Column) -> Column:
     return F.lit(2.0) * w * (t1 + t2)
 
 
+def _irls_size(p: int) -> int:
+    return p * (p + 1) // 2 + p + 3
+
+
+def _irls_partial(beta: np.ndarray | None, offset: float):
+    """Per-batch IRLS pieces: [tri(X'WX), X'Wz, deviance, sum w, n] (numpy inside the task)."""
+    def fn(pdf: pd.DataFrame) -> np.ndarray:
+        x = stack(pdf["__x"])
+        y = pdf["__y"].to_numpy(np.float64)
+        w = pdf["__w"].to_numpy(np.float64)
+        if beta is None:  # R's start: mu = (w y + 0.5) / (w + 1)
+            mu = (w * y + 0.5) / (w + 1.0)
+            eta = np.log(mu / (1.0 - mu))
+        else:
+            eta = x @ beta + offset
+            mu = 1.0 / (1.0 + np.exp(-eta))
+        var = mu * (1.0 - mu)
+        wt = w * var
+        z = eta - offset + (y - mu) / var
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t1 = np.where(y > 0, y * np.log(y / mu), 0.0)
+            t2 = np.where(y < 1, (1.0 - y) * np.log((1.0 - y) / (1.0 - mu)), 0.0)
+        dev = float(np.sum(2.0 * w * (t1 + t2)))
+        xw = x * wt[:, None]
+        return np.concatenate([tri_upper(x.T @ xw), xw.T @ z, [dev, w.sum(), float(len(w))]])
+    return fn
+
+
 def binomial_fit(df: DataFrame, design: Design, y: str, weight: str | None = None,
-                 max_iter: int = 25, tol: float = 1e-8, offset: Column | None = None) -> GLMFit:
+                 max_iter: int = 25, tol: float = 1e-8, offset: float | None = None) -> GLMFit:
     """Logistic GLM with a fractional response and prior weights (R ``glm`` binomial).
 
     ``y`` is the proportion; ``weight`` the number of trials (e.g. tweets).
@@ -115,11 +143,8 @@ def binomial_fit(df: DataFrame, design: Design, y: str, weight: str | None = Non
              .where(F.col("__w") > 0))
     frame = frame.persist()
     x, yy, w = F.col("__x"), F.col("__y"), F.col("__w")
-    off = offset if offset is not None else F.lit(0.0)
-
-    # start as R does: mu = (w y + 0.5) / (w + 1)
-    mu0 = (w * yy + F.lit(0.5)) / (w + F.lit(1.0))
-    eta0 = F.log(mu0 / (F.lit(1.0) - mu0))
+    off = F.lit(float(offset)) if offset is not None else F.lit(0.0)
+    off_value = float(offset) if offset is not None else 0.0
     keep: list[int] | None = None
     beta = None
     dev_old = math.inf
@@ -128,18 +153,8 @@ def binomial_fit(df: DataFrame, design: Design, y: str, weight: str | None = Non
     cov = np.zeros((0, 0))
     for it in range(1, max_iter + 1):
         pk = p if keep is None else len(keep)
-        eta = eta0 if beta is None else dot(x, beta) + off
-        # eta and mu are projected once per row, then referenced by name
-        step = frame.select(x, yy, w, eta.alias("__eta"))
-        step = step.select(x, yy, w, "__eta", (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("__eta")))).alias("__mu"))
-        mu, e = F.col("__mu"), F.col("__eta")
-        var = mu * (F.lit(1.0) - mu)
-        step = step.select(x, yy, w, mu, (w * var).alias("__wt"), (e - off + (yy - mu) / var).alias("__z"))
-        wt, z = F.col("__wt"), F.col("__z")
-        vec = F.concat(_tri_products(x, wt, pk), F.transform(x, lambda v: v * wt * z),
-                       F.array(_binomial_dev(yy, mu, w), w, F.lit(1.0)))
-        s = step.select(array_to_vector(vec).alias("g")).agg(Summarizer.sum(F.col("g")).alias("s")).first()["s"]
-        g = _unpack(np.asarray(s.toArray()), pk)
+        vec = partition_sums(frame, _irls_partial(None if beta is None else beta, off_value), _irls_size(pk))
+        g = _unpack(vec, pk)
         dev = g.ztwz  # deviance slot
         if keep is None:
             keep = find_aliased(g.xtwx)
@@ -161,25 +176,28 @@ def binomial_fit(df: DataFrame, design: Design, y: str, weight: str | None = Non
     n_obs = g.n
     fit = GLMFit(design, names, keep, beta, cov, dev_old if not converged else dev, 0.0, n_obs, it, converged,
                  y, weight)
-    fit.loglik = _binomial_loglik(frame, fit, off)
+    fit.loglik = _binomial_loglik(frame, fit, off_value)
     frame.unpersist()
     return fit
 
 
-@F.pandas_udf(T.DoubleType())
-def _lchoose(n: pd.Series, k: pd.Series) -> pd.Series:
-    nn, kk = n.to_numpy(np.float64), k.to_numpy(np.float64)
-    return pd.Series(log_factorial(nn) - log_factorial(kk) - log_factorial(nn - kk))
+def _binomial_loglik(frame: DataFrame, fit: GLMFit, off: float) -> float:
+    """R's binomial log-likelihood: sum dbinom(round(w y), round(w), mu, log = TRUE)."""
+    beta = fit.beta
 
+    def fn(pdf: pd.DataFrame) -> np.ndarray:
+        x = stack(pdf["__x"])
+        w = pdf["__w"].to_numpy(np.float64)
+        y = pdf["__y"].to_numpy(np.float64)
+        mu = 1.0 / (1.0 + np.exp(-(x @ beta + off)))
+        m = np.round(w)
+        k = np.round(w * y)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ll = (log_factorial(m) - log_factorial(k) - log_factorial(m - k)
+                  + np.where(k > 0, k * np.log(mu), 0.0) + np.where(m - k > 0, (m - k) * np.log(1.0 - mu), 0.0))
+        return np.array([ll.sum()])
 
-def _binomial_loglik(frame: DataFrame, fit: GLMFit, off: Column) -> float:
-    """R's binomial log-likelihood: sum dbinom(round(w y), round(w), mu, log = TRUE)."""
-    mu = F.lit(1.0) / (F.lit(1.0) + F.exp(-(dot(F.col("__x"), fit.beta) + off)))
-    m = F.round(F.col("__w"))
-    k = F.round(F.col("__w") * F.col("__y"))
-    ll = (_lchoose(m, k) + F.when(k > 0, k * F.log(mu)).otherwise(0.0)
-          + F.when(m - k > 0, (m - k) * F.log(F.lit(1.0) - mu)).otherwise(0.0))
-    return float(frame.agg(F.sum(ll)).first()[0])
+    return float(partition_sums(frame, fn, 1)[0])
 
 
 # ---------------------------------------------------------------- vcov / tables
@@ -198,12 +216,16 @@ def cluster_vcov(fit: GLMFit, df: DataFrame, cluster: str, adjust: str = "G") ->
     score = F.transform("__x", lambda v: v * F.col("__r"))
     sums = vector_sums(rows, cluster, score)
     k = len(fit.keep)
-    meat_vec = (sums.select(array_to_vector(_tri_products(F.col("s"), F.lit(1.0), k)).alias("g"))
-                .agg(Summarizer.sum(F.col("g")).alias("m"), F.count(F.lit(1)).alias("G")).first())
-    tri = np.asarray(meat_vec["m"].toArray())
+
+    def outer(pdf: pd.DataFrame) -> np.ndarray:
+        u = stack(pdf["s"])
+        return np.concatenate([tri_upper(u.T @ u), [float(len(u))]])
+
+    vec = partition_sums(sums.select("s"), outer, k * (k + 1) // 2 + 1)
     meat = np.zeros((k, k))
-    meat[np.triu_indices(k)] = tri
+    meat[np.triu_indices(k)] = vec[:-1]
     meat = meat + np.triu(meat, 1).T
+    meat_vec = {"G": vec[-1]}
     n_g = float(meat_vec["G"])
     bread = fit.cov_unscaled
     v = bread @ meat @ bread

@@ -91,3 +91,54 @@ def quad_form_sqrt(x: Column, v: np.ndarray) -> Column:
         return pd.Series(np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", m, vm, m), 0.0)))
 
     return _qf(x)
+
+
+# ---------------------------------------------------------------- per-partition partial sums
+def partition_sums(df: DataFrame, fn, size: int, by: str | None = None) -> list | dict:
+    """Sum ``fn(batch) -> vector[size]`` over all Arrow batches of ``df``.
+
+    Each task reduces its own batches with numpy and emits one vector (one per
+    key with ``by``); Spark adds the vectors (``Summarizer.sum``), so only
+    one small vector per task crosses the shuffle. Returns the summed vector,
+    or {key: vector} with ``by`` (keys must be few, e.g. replicates, clusters).
+    """
+    key_type = df.schema[by].dataType.simpleString() if by else None
+    schema = (f"`{by}` {key_type}, s array<double>" if by else "s array<double>")
+
+    def run(batches):
+        acc: dict = {}
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            if by:
+                for key, part in pdf.groupby(by, sort=False):
+                    v = fn(part)
+                    acc[key] = v if key not in acc else acc[key] + v
+            else:
+                v = fn(pdf)
+                acc[None] = v if None not in acc else acc[None] + v
+        if not acc:
+            return
+        if by:
+            yield pd.DataFrame({by: list(acc.keys()), "s": [a.tolist() for a in acc.values()]})
+        else:
+            yield pd.DataFrame({"s": [acc[None].tolist()]})
+
+    parts = df.mapInPandas(run, schema)
+    vec = array_to_vector(F.col("s"))
+    if by:
+        rows = parts.groupBy(by).agg(Summarizer.sum(vec).alias("s")).collect()
+        return {r[by]: np.asarray(r["s"].toArray()) for r in rows}
+    row = parts.agg(Summarizer.sum(vec).alias("s")).first()
+    if row["s"] is None:
+        return np.zeros(size)
+    return np.asarray(row["s"].toArray())
+
+
+def stack(col: pd.Series) -> np.ndarray:
+    """Arrow array column -> 2-D float matrix."""
+    return np.stack([np.asarray(a, dtype=np.float64) for a in col])
+
+
+def tri_upper(a: np.ndarray) -> np.ndarray:
+    return a[np.triu_indices(a.shape[0])]
