@@ -129,7 +129,11 @@ def bootstrap_curves(spark: SparkSession, fit: GLMFit, df: DataFrame, varnames:
 
     Grids are quantiles of the *original* data (continuous) or sorted unique
     values (discrete, booleans as 0/1). Every replicate's curves come from the
-    same refit. Output: focal, value, *by, estimate, conf_low, conf_high.
+    same refit. Each task evaluates a row at a grid value for the point fit and
+    all replicates at once (one matrix product with the p x R coefficients)
+    and weights it by its cluster's multiplicity in every replicate; per-cell
+    sums are added by Spark. Cells are grid values x groups (bounded).
+    Output: focal, value, *by, estimate, conf_low, conf_high.
     """
     probs = list(np.linspace(grid_probs[0], grid_probs[1], grid_n))
     grids: dict[str, list[float]] = {}
@@ -141,37 +145,52 @@ def bootstrap_curves(spark: SparkSession, fit: GLMFit, df: DataFrame, varnames:
         vals = sorted(r[0] for r in df.select(F.col(v)).distinct().collect() if r[0] is not None)
         grids[v] = vals
     betas, mult = bootstrap_fits(fit, df, cluster, reps, seed, batch)
-    # replicate coefficient table, the point fit as rep = -1
-    btab = spark.createDataFrame([(-1, [float(b) for b in fit.beta])]
-                                 + [(r, [float(b) for b in beta]) for r, beta in betas.items()],
-                                 "rep int, __b array<double>")
-    mult_all = mult.unionByName(df.select(cluster).distinct().select(
-        F.lit(-1).alias("rep"), cluster, F.lit(1.0).alias("m")))
-    curves = []
+    ok = sorted(betas)
+    # p x (1 + R) coefficients (column 0 = point fit) and clusters x (1 + R) multiplicities
+    bmat = np.column_stack([fit.beta] + [betas[r] for r in ok])
+    col = {r: i + 1 for i, r in enumerate(ok)}
+    mrows = mult.where(F.col("rep").isin(ok)).collect()
+    clusters = sorted({r[cluster] for r in mrows} | {r[0] for r in df.select(cluster).distinct().collect()})
+    cidx = {c: i for i, c in enumerate(clusters)}
+    mmat = np.zeros((len(clusters), 1 + len(ok)))
+    mmat[:, 0] = 1.0
+    for r in mrows:
+        mmat[cidx[r[cluster]], col[r["rep"]]] = r["m"]
+    ncol = 1 + len(ok)
+    out_rows = []
     for v in [*varnames, *discrete]:
         vals = grids[v]
         lit_vals = F.array(*[F.lit(x) for x in vals])
         rows = df.select("*", F.explode(lit_vals).alias("__value"))
         x = fit.design.array({v: F.col("__value")}, fit.keep)
-        rows = (rows.select(*by, cluster, "__value", x.alias("__x"))
+        cell = F.concat_ws("\u0001", F.col("__value").cast("string"), *[F.col(b).cast("string") for b in by])
+        rows = (rows.select(cell.alias("__cell"), F.col(cluster).alias("__c"), x.alias("__x"))
                 .where(F.forall("__x", lambda t: t.isNotNull() & ~F.isnan(t))))
-        rows = rows.join(F.broadcast(mult_all), cluster).join(F.broadcast(btab), "rep")
-        eta = F.aggregate(F.zip_with("__x", "__b", lambda a, b: a * b), F.lit(0.0), lambda acc, t: acc + t)
-        mu = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
-        value = F.col("__value").cast("double") if not isinstance(vals[0], str) else \
-            F.when(F.col("__value") == "true", 1.0).when(F.col("__value") == "false", 0.0).otherwise(
-                F.col("__value").cast("double"))
-        est = (rows.select("rep", value.alias("value"), *by, (mu * F.col("m")).alias("__wm"), F.col("m"))
-               .groupBy("rep", "value", *by).agg((F.sum("__wm") / F.sum("m")).alias("estimate"))
-               .withColumn("focal", F.lit(v)))
-        curves.append(est)
-    allc = curves[0]
-    for c in curves[1:]:
-        allc = allc.unionByName(c)
-    allc = allc.persist()
-    lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
-    point = allc.where(F.col("rep") == -1).drop("rep")
-    ci = (allc.where(F.col("rep") >= 0).groupBy("focal", "value", *by)
-          .agg(F.percentile("estimate", lo).alias("conf_low"), F.percentile("estimate", hi).alias("conf_high")))
-    return point.join(ci, ["focal", "value", *by]).select("focal", "value", *by, "estimate", "conf_low", "conf_high")
 
+        def fn(pdf, bmat=bmat, mmat=mmat, cidx=cidx):
+            xm = stack(pdf["__x"])
+            mu = 1.0 / (1.0 + np.exp(-(xm @ bmat)))                  # rows x (1 + R)
+            m = mmat[[cidx[c] for c in pdf["__c"]]]                    # rows x (1 + R)
+            return np.concatenate([(mu * m).sum(0), m.sum(0)])
+
+        sums = partition_sums(rows, fn, 2 * ncol, by="__cell")
+        for key, vec in sums.items():
+            parts = key.split("\u0001")
+            num, den = vec[:ncol], vec[ncol:]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                est = num / den
+            reps_est = est[1:][den[1:] > 0]
+            lo, hi = (np.quantile(reps_est, [(1 - level) / 2, 1 - (1 - level) / 2]) if len(reps_est)
+                      else (float("nan"), float("nan")))
+            out_rows.append((v, _as_value(parts[0]), *parts[1:], float(est[0]), float(lo), float(hi)))
+    schema = ", ".join(["focal string", "value double", *[f"`{b}` string" for b in by],
+                        "estimate double", "conf_low double", "conf_high double"])
+    return spark.createDataFrame(out_rows, schema)
+
+
+def _as_value(s: str) -> float:
+    if s == "true":
+        return 1.0
+    if s == "false":
+        return 0.0
+    return float(s)

@@ -106,3 +106,17 @@ def test_bootstrap_weight_trick(spark, frame):
             dup = part if dup is None else dup.unionByName(part)
     ref = glm.binomial_fit(dup, des, "v", "total")
     assert np.allclose(ref.beta, betas[0], atol=1e-6)
+
+
+def test_bootstrap_curves_point_equals_avg_predictions(spark, frame):
+    from flockscope.stats import bootstrap
+    des = make_design(frame, [("pub",), ("age",), ("meta",)], factors=["pub", "meta"])
+    fit = glm.binomial_fit(frame, des, "v", "total")
+    cur = bootstrap.bootstrap_curves(spark, fit, frame, ["age"], ["meta"], "grp", reps=20, grid_n=5, seed=1)
+    rows = cur.collect()
+    grid = sorted({r.value for r in rows})
+    ap = {(round(r.value, 9), r.meta): r.estimate
+          for r in glm.avg_predictions(fit, frame, "age", grid, ["meta"]).collect()}
+    for r in rows:
+        assert r.estimate == pytest.approx(ap[(round(r.value, 9), r.meta)], rel=1e-9)
+        assert r.conf_low <= r.conf_high
