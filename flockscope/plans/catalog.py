@@ -674,8 +674,8 @@ def q_fit_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from ..stats import bootstrap as _boot  # noqa: E402
 
-# Replicates used by the registered bootstrap query (the library default is 1000).
-BOOT_REPS = 100
+# Replicates of the registered bootstrap query (as in the analysed pipeline).
+BOOT_REPS = 1000
 
 
 @register("bootstrap_curves", None, ref="G13 G12 U5 A14 G11")
@@ -685,7 +685,7 @@ def q_bootstrap_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = _models.fe_binomial_fit(df, _fe_design(df, [("cent_age",), ("cent_age", "variable", "meta")]),
                                   "v", "total", ["variable", "grp"])
     return _boot.bootstrap_curves(spark, fit, df, ["cent_pop", "cent_age"], ["meta", "variable"], "grp",
-                                  discrete=["verified"], reps=BOOT_REPS, grid_n=20, seed=779)
+                                  discrete=["verified"], reps=BOOT_REPS, grid_n=20, seed=779, batch=250)
 
 
 from ..operators import factor as _factor  # noqa: E402
