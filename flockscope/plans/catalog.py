@@ -737,3 +737,32 @@ def q_density_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kernel density of cluster age, par_diff and male per meta type (input of the ridge chart)."""
     long = frames.to_long(_panel(spark, sf_dir), ["meta"], ["age", "par_diff", "male"])
     return frames.density_curves(long, ["meta", "variable"], "value")
+
+
+# =========================================================== model catalogue sequences
+def _terms_times(a: list, b: list) -> list:
+    """Interaction expansion of two term lists: every a, every b and every a:b."""
+    out = list(a) + list(b)
+    for x in a:
+        for y in b:
+            t = tuple(dict.fromkeys(x + y))
+            if t not in out:
+                out.append(t)
+    return out
+
+
+@register("binomial_model_sequence", None, ref="G5 G10 G2 (catalogue: base, +age, +poly(par_diff), +male, +log_n, full)")
+def q_binomial_model_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x11 = _x11(spark, sf_dir).persist()
+    base = star("issuepublic", "meta")
+    extra = {"m1_age": [("age",), ("age", "issuepublic")],
+             "m2_pardiff": [("par_diff",), ("par_diff", "issuepublic")],
+             "m3_male": [("male",), ("male", "issuepublic")],
+             "m4_log_n": [("log_n",), ("log_n", "issuepublic")]}
+    full = base + [t for ts in extra.values() for t in ts]
+    fits = {}
+    for name, terms in [("base", base), *[(k, base + v) for k, v in extra.items()], ("full", full)]:
+        d = make_design(x11, terms, factors=["issuepublic", "meta"], levels={"issuepublic": ["blm", "pol"]},
+                        poly=["par_diff"])
+        fits[name] = _glm.binomial_fit(x11, d, "v", "total")
+    return _models.compare_models(spark, fits)

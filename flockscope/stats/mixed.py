@@ -13,14 +13,13 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .design import Design
 from .glm import _norm_quantile, find_aliased
-from .gram import _unpack, dot, gram_vector, quad_form_sqrt
+from .gram import _unpack, dot, partition_sums, quad_form_sqrt, stack, tri_upper
 
 
 @dataclass
@@ -94,23 +93,28 @@ def mixed_fit(df: DataFrame, design: Design, y: Column | str, group: str, reml:
     frame = (df.select(F.array(*cols).alias("__x"), ycol.cast("double").alias("__y"), F.col(group).alias("__g"))
              .where(F.col("__y").isNotNull() & ~F.isnan("__y")
                     & F.forall("__x", lambda v: v.isNotNull() & ~F.isnan(v))).persist())
-    x = F.col("__x")
-    g0 = frame.select(array_to_vector(gram_vector(x, F.lit(1.0), F.col("__y"), p_all)).alias("v")) \
-        .agg(Summarizer.sum(F.col("v")).alias("s")).first()["s"]
-    full = _unpack(np.asarray(g0.toArray()), p_all)
+    def totals(pdf: pd.DataFrame) -> np.ndarray:
+        xm = stack(pdf["__x"])
+        yv = pdf["__y"].to_numpy(np.float64)
+        return np.concatenate([tri_upper(xm.T @ xm), xm.T @ yv, [yv @ yv, float(len(yv)), float(len(yv))]])
+
+    full = _unpack(partition_sums(frame.select("__x", "__y"), totals, p_all * (p_all + 1) // 2 + p_all + 3), p_all)
     keep = find_aliased(full.xtwx)
     full.xtwx = full.xtwx[np.ix_(keep, keep)]
     full.xtwz = full.xtwz[keep]
-    xs = F.array(*[x[i] for i in keep])
-    per = (frame.select("__g", array_to_vector(F.concat(xs, F.array(F.col("__y"), F.lit(1.0)))).alias("v"))
-           .groupBy("__g").agg(Summarizer.sum(F.col("v")).alias("s")).collect())
     k = len(keep)
+
+    def per_group(pdf: pd.DataFrame) -> np.ndarray:
+        xm = stack(pdf["__x"])[:, keep]
+        yv = pdf["__y"].to_numpy(np.float64)
+        return np.concatenate([xm.sum(0), [yv.sum(), float(len(yv))]])
+
+    per = partition_sums(frame, per_group, k + 2, by="__g")
     groups = []
     gids = []
-    for r in per:
-        v = np.asarray(r["s"].toArray())
+    for gid, v in per.items():
         groups.append((v[k + 1], v[:k], v[k]))
-        gids.append(r["__g"])
+        gids.append(gid)
     frame.unpersist()
 
     def crit(phi: float) -> float:
