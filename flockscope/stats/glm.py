@@ -137,11 +137,11 @@ def binomial_fit(df: DataFrame, design: Design, y: str, weight: str | None = Non
     names, cols = design.build()
     p = len(cols)
     w_all = F.col(weight).cast("double") if weight else F.lit(1.0)
-    frame = (df.select(F.array(*cols).alias("__x"), F.col(y).cast("double").alias("__y"), w_all.alias("__w"))
-             .where(F.col("__y").isNotNull() & F.col("__w").isNotNull()
-                    & F.forall("__x", lambda v: v.isNotNull() & ~F.isnan(v)))
-             .where(F.col("__w") > 0))
-    frame = frame.persist()
+    projected = df.select(F.array(*cols).alias("__x"), F.col(y).cast("double").alias("__y"),
+                          w_all.alias("__w")).persist()
+    # filter on the cached array (no re-derivation of the design per element)
+    frame = projected.where(F.col("__y").isNotNull() & F.col("__w").isNotNull() & (F.col("__w") > 0)
+                            & F.forall("__x", lambda v: v.isNotNull() & ~F.isnan(v)))
     x, yy, w = F.col("__x"), F.col("__y"), F.col("__w")
     off = F.lit(float(offset)) if offset is not None else F.lit(0.0)
     off_value = float(offset) if offset is not None else 0.0
@@ -161,9 +161,7 @@ def binomial_fit(df: DataFrame, design: Design, y: str, weight: str | None = Non
             a = g.xtwx[np.ix_(keep, keep)]
             b = g.xtwz[keep]
             if len(keep) < p:  # re-materialise the frame with the kept columns only
-                slim = frame.select(F.array(*[x[i] for i in keep]).alias("__x"), yy, w).persist()
-                frame.unpersist()
-                frame = slim
+                frame = frame.select(F.array(*[x[i] for i in keep]).alias("__x"), yy, w).persist()
         else:
             a, b = g.xtwx, g.xtwz
             if abs(dev - dev_old) / (abs(dev) + 0.1) < tol:
@@ -178,6 +176,7 @@ def binomial_fit(df: DataFrame, design: Design, y: str, weight: str | None = Non
                  y, weight)
     fit.loglik = _binomial_loglik(frame, fit, off_value)
     frame.unpersist()
+    projected.unpersist()
     return fit
 
 

@@ -90,9 +90,12 @@ def mixed_fit(df: DataFrame, design: Design, y: Column | str, group: str, reml:
     names, cols = design.build()
     p_all = len(cols)
     ycol = F.col(y) if isinstance(y, str) else y
-    frame = (df.select(F.array(*cols).alias("__x"), ycol.cast("double").alias("__y"), F.col(group).alias("__g"))
-             .where(F.col("__y").isNotNull() & ~F.isnan("__y")
-                    & F.forall("__x", lambda v: v.isNotNull() & ~F.isnan(v))).persist())
+    # the design is projected and cached before the NA filter, so the filter
+    # reads the materialised array instead of re-deriving every column
+    projected = df.select(F.array(*cols).alias("__x"), ycol.cast("double").alias("__y"),
+                          F.col(group).alias("__g")).persist()
+    frame = projected.where(F.col("__y").isNotNull() & ~F.isnan("__y")
+                            & F.forall("__x", lambda v: v.isNotNull() & ~F.isnan(v)))
     def totals(pdf: pd.DataFrame) -> np.ndarray:
         xm = stack(pdf["__x"])
         yv = pdf["__y"].to_numpy(np.float64)
@@ -115,7 +118,7 @@ def mixed_fit(df: DataFrame, design: Design, y: Column | str, group: str, reml:
     for gid, v in per.items():
         groups.append((v[k + 1], v[:k], v[k]))
         gids.append(gid)
-    frame.unpersist()
+    projected.unpersist()
 
     def crit(phi: float) -> float:
         return _profile(math.exp(phi), full, groups, reml)[0]
