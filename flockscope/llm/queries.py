@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import os
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flockscope.llm import quality, secrets, simhash
+from flockscope.llm import bpe, quality, secret_scan, simhash, substring, token_counts
 from flockscope.llm.common import read_table
 
 
+def tokenizer_path(name: str) -> str:
+    """A public vocabulary file; ``FLOCKSCOPE_TOKENIZERS`` names another folder."""
+    folder = os.environ.get("FLOCKSCOPE_TOKENIZERS")
+    return f"{folder}/{name}" if folder else public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, *token_counts.read_pieces(tokenizer_path("piece_bpe_32k.model")))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality.judge(docs, read_table(spark, sf_dir, "labels"))
@@ -18,11 +32,28 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = secrets.scan(docs)
+    out = secret_scan.scan(docs)
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
     return out.select("_row.doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-                      F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"),
-                      secrets.written(F.concat("base", "added")).alias("spans"), "n_live", "n_copied")
+                      F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"),
+                      secret_scan.written(F.concat("base", "added")).alias("spans"), "n_live", "n_copied")
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = substring.remove_repeats(docs, window=13)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def encoded(docs: DataFrame) -> DataFrame:
+    """The digest columns of the BPE operator's ids and decoded texts."""
+    out = bpe.encode_decode(docs, tokenizer_path("word_bpe_49k.json"))
+    return out.select("doc_id", bpe.token_count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,4 +63,5 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_secret_scans, op7_simhash)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op4_secret_scans, op5_substring_dedup,
+                                   op6_bpe, op7_simhash)}
