@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flockscope.llm import bpe, quality, secret_scan, simhash, substring, token_counts
+from flockscope.llm import bpe, decontaminate, line_dedup, quality, secret_scan, simhash, substring, token_counts
 from flockscope.llm.common import read_table
 
 
@@ -63,5 +63,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "component_id")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), min_run=2)
+    return out.select("_row.doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.find_leaks(read_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                   read_table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "item_id", decontaminate.rounded(F.col("similarity")).alias("similarity"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op4_secret_scans, op5_substring_dedup,
-                                   op6_bpe, op7_simhash)}
+                                   op6_bpe, op7_simhash, op9_line_dedup, op10_decontamination)}
