@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flockscope.llm import bpe, decontaminate, line_dedup, quality, secret_scan, simhash, substring, token_counts
+from flockscope.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    line_dedup,
+    quality,
+    secret_scan,
+    simhash,
+    substring,
+    token_counts,
+    url_filter,
+)
 from flockscope.llm.common import read_table
 
 
@@ -30,6 +41,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_failed", "kept", "llr")
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.judge_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.rule_table(spark))
+    return out.select("_row.page_id", "host", "path", "rule", "verdict")
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = secret_scan.scan(docs)
@@ -63,6 +79,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "component_id")
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k (chosen) and 2k + 1 (rejected) are a pair."""
+    turns = read_table(spark, sf_dir, "conversations").select(
+        F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "turn", "role", "text")
+    return chat.preference_turns(turns)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), min_run=2)
     return out.select("_row.doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -74,5 +97,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "item_id", decontaminate.rounded(F.col("similarity")).alias("similarity"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op4_secret_scans, op5_substring_dedup,
-                                   op6_bpe, op7_simhash, op9_line_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_url_filters, op4_secret_scans,
+                                   op5_substring_dedup, op6_bpe, op7_simhash, op8_chat_formatting, op9_line_dedup,
+                                   op10_decontamination)}
