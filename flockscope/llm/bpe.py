@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -32,21 +31,26 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+#: Last character of the basic plane.
+BASIC = 0xFFFF
+
+
 @lru_cache(maxsize=1)
 def class_ranges() -> dict[str, str]:
     """Character-class bodies of letters, numbers, marks and unknown characters, from the Unicode database of this Python.
 
-    Spelled out, because pattern libraries follow Unicode editions of their own.
+    Spelled out, because pattern libraries follow Unicode editions of their own;
+    of the basic plane only, which ``re`` tests by table and not range by range.
     """
     out = {}
     for name in ("L", "N", "M", "Cn"):
         ranges, begin = [], None
-        for c in range(sys.maxunicode + 2):
-            inside = c <= sys.maxunicode and unicodedata.category(chr(c)).startswith(name)
+        for c in range(BASIC + 2):
+            inside = c <= BASIC and unicodedata.category(chr(c)).startswith(name)
             if inside and begin is None:
                 begin = c
             elif not inside and begin is not None:
-                ranges.append(f"\\U{begin:08x}-\\U{c - 1:08x}")
+                ranges.append(f"\\u{begin:04x}-\\u{c - 1:04x}")
                 begin = None
         out[f"\\p{{{name}}}"] = "".join(ranges)
     return out
@@ -68,6 +72,7 @@ def plain_pattern(pattern: str) -> re.Pattern:
 
 
 RARE = re.compile("[" + class_ranges()[r"\p{M}"] + class_ranges()[r"\p{Cn}"] + "]")
+BEYOND = re.compile(r"[\U00010000-\U0010ffff]")
 
 
 class ForcedBoundaryBPE:
@@ -167,15 +172,17 @@ class ForcedBoundaryBPE:
     def split(self, text: str) -> list[str]:
         """Words of a text: canonical composition, lower case character by character, split.
 
-        Where a text has combining marks or characters that this Python's
-        Unicode database does not know, the library's own tables decide.
+        Where a text has combining marks, characters beyond the basic plane or
+        some that this Python's Unicode database does not know, the library's
+        own tables decide.
         """
         if text.isascii():
             return self.word.findall(text.lower())
-        if RARE.search(text):
+        composed = unicodedata.normalize("NFC", text)
+        if BEYOND.search(composed) or RARE.search(text):
             found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
             return [bytes(self.letter[c] for c in piece).decode("utf-8") for piece, _ in found]
-        return self.word.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        return self.word.findall(composed.replace("Σ", "σ").lower())
 
     def run(self, text: str | None) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text."""
