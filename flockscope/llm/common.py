@@ -13,7 +13,6 @@ from flockscope.session import ensure_checkpoint_dir
 #: Word separators of every contract: space and TAB .. CR. The same six
 #: characters that ``bytes.split()`` splits at, so Python tasks use that.
 BLANKS = " \t\n\x0b\x0c\r"
-BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +20,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    """Array of the words of a text; null and blank texts have none."""
-    body = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
-    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, BLANK_RUN, -1))
+    """Array of the words of a text; null and blank texts have none.
+
+    Every separator becomes a space first: splitting at one fixed character is
+    much cheaper than at a pattern.
+    """
+    body = F.coalesce(text, F.lit(""))
+    for b in BLANKS[1:]:
+        body = F.replace(body, F.lit(b), F.lit(" "))
+    return F.array_remove(F.split(body, " ", -1), "")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

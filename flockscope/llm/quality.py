@@ -9,8 +9,9 @@ from one aggregation of at most ``buckets`` groups; the resulting weight vector
 (``buckets`` doubles, a fixed size) is a constant of the scoring scan. No text
 is shuffled.
 
-Buckets: XXH64 (seed 42) of the word; of a bigram, XXH64 of the second word
-seeded with the hash of the first; modulo ``buckets``.
+Buckets: XXH64 (seed 42) of the word; of a bigram, XXH64 of the two words'
+hashes (8 bytes each, little-endian, the second seeded with the hash of the
+first); modulo ``buckets``.
 """
 
 from __future__ import annotations
@@ -28,53 +29,56 @@ MIN_WORDS = 20
 SYMBOLS = "#*$%&|<>"
 
 
-def ngram_buckets(w: Column, buckets: int) -> Column:
-    """Bucket numbers of the unigrams and bigrams of a word array."""
-    uni = F.transform(w, lambda a: F.pmod(F.xxhash64(a), F.lit(buckets)).cast("int"))
-    less = F.greatest(F.size(w) - 1, F.lit(0))
-    bi = F.zip_with(F.slice(w, F.lit(1), less), F.slice(w, F.lit(2), less),
-                    lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))
-    return F.concat(uni, bi)
+def word_hashes(w: Column) -> Column:
+    return F.transform(w, lambda a: F.xxhash64(a))
 
 
-def repeated_window_words(w: Column, width: int = REPEAT_WINDOW) -> Column:
-    """Words inside ``width``-word windows that occur twice or more in the array.
+def joined_hashes(h: Column, apart: int) -> Column:
+    """Hashes of the neighbours ``(h[i], h[i + apart])``: pairs of words or of grams."""
+    less = F.greatest(F.size(h) - apart, F.lit(0))
+    return F.zip_with(F.slice(h, F.lit(1), less), F.slice(h, F.lit(1 + apart), less), lambda a, b: F.xxhash64(a, b))
 
-    Windows are told apart by a 64-bit hash within one document; positions of
-    repeated windows come from one sort, and the covered words from the gaps
-    between neighbouring positions.
+
+def repeated_window_words(pairs: Column) -> Column:
+    """Words inside 8-word windows that occur twice or more, from the word-pair hashes.
+
+    Windows are told apart by a 64-bit hash within one document, built from
+    pairs over fours. A repeated window repeats five fours, so most texts need
+    no windows at all. Places of repeated windows come from one sort, the
+    covered words from the gaps between neighbouring places.
     """
-    def covered(sorted_windows: Column) -> Column:
-        at = lambda j: F.get(sorted_windows, j)
-        same = lambda i, j: F.coalesce(at(i)["h"] == at(j)["h"], F.lit(False))
-        twice = F.filter(F.sequence(F.lit(0), F.size(sorted_windows) - 1), lambda j: same(j, j - 1) | same(j, j + 1))
-        places = F.array_sort(F.transform(twice, lambda j: at(j)["p"]))
-        return let(F.sort_array(places), lambda p: F.when(F.size(p) == 0, F.lit(0)).otherwise(F.aggregate(
+    width = REPEAT_WINDOW
+
+    def covered(ranked: Column) -> Column:
+        same = lambda i, j: F.coalesce(F.get(ranked, i)["h"] == F.get(ranked, j)["h"], F.lit(False))
+        twice = F.filter(F.sequence(F.lit(0), F.size(ranked) - 1), lambda j: same(j, j - 1) | same(j, j + 1))
+        places = F.sort_array(F.transform(twice, lambda j: F.get(ranked, j)["p"]))
+        return let(places, lambda p: F.when(F.size(p) == 0, F.lit(0)).otherwise(F.aggregate(
             F.sequence(F.lit(1), F.size(p)), F.lit(0),
             lambda acc, j: acc + F.least(F.lit(width), F.coalesce(F.get(p, j) - F.get(p, j - 1), F.lit(width))))))
 
-    def over(hashes: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(0), F.size(hashes) - width),
-                              lambda i: F.xxhash64(F.slice(hashes, i + 1, F.lit(width))))
-        return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(
-            let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p")))), covered)))
+    def over(windows: Column) -> Column:
+        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(
+            let(F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.alias("p")))), covered))
+
+    def fours(four: Column) -> Column:
+        few = F.size(four) - F.size(F.array_distinct(four)) < 5
+        return F.when(few, F.lit(0)).otherwise(let(joined_hashes(four, 4), over))
 
-    return F.when(F.size(w) < width, F.lit(0)).otherwise(let(F.transform(w, lambda a: F.xxhash64(a)), over))
+    return F.when(F.size(pairs) < width - 1, F.lit(0)).otherwise(let(joined_hashes(pairs, 2), fours))
 
 
 def base_columns(text: Column, w: Column) -> dict[str, Column]:
-    """The counts that the base rule reads, for a text and its word array."""
+    """The counts of the base rule that need no n-grams, for a text and its word array."""
     body = F.coalesce(text, F.lit(""))
-    blanks = F.lit(0)
-    for b in BLANKS:
-        blanks = blanks + F.char_length(body) - F.char_length(F.replace(body, F.lit(b), F.lit("")))
+    count = lambda c: F.octet_length(body) - F.octet_length(F.replace(body, F.lit(c), F.lit("")))
+    total = lambda chars: sum((count(c) for c in chars[1:]), count(chars[0]))
     lines = F.filter(F.split(body, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     return {
         "n_words": F.size(w).cast("long"),
-        "word_chars": (F.char_length(body) - blanks).cast("long"),
-        "n_symbols": (F.char_length(body) - F.char_length(F.translate(body, SYMBOLS, ""))).cast("long"),
+        "word_chars": (F.char_length(body) - total(BLANKS)).cast("long"),
+        "n_symbols": total(SYMBOLS).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated_window_words(w).cast("long"),
     }
 
 
@@ -92,14 +96,14 @@ def trusted_ids(labels: DataFrame, limit: int = 50_000) -> DataFrame:
 def weight_vector(rows: DataFrame, trusted: DataFrame, buckets: int) -> Column:
     """Constant array column: the log ratio of every bucket, in bucket order.
 
-    ``rows`` has ``id`` and ``w`` (word array). The ``buckets`` counts, a fixed
+    ``rows`` has ``id`` and ``h`` (word hashes). The ``buckets`` counts, a fixed
     size, pass through the driver. Ratios are rounded to 9 decimals. Without any
     trusted n-gram there is no evidence and all ratios are 0.
     """
     flagged = rows.join(F.broadcast(trusted), F.col("id") == F.col("_trusted"), "left")
     grams = flagged.select(F.col("_trusted").isNotNull().cast("long").alias("good"),
-                           F.explode(ngram_buckets(F.col("w"), buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good"))
+                           F.explode(F.concat("h", joined_hashes(F.col("h"), 1))).alias("gram"))
+    counts = grams.groupBy(F.pmod("gram", F.lit(buckets)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good"))
     raw, good = np.zeros(buckets), np.zeros(buckets)
     for bucket, n, g in counts.collect():  # at most ``buckets`` rows
         raw[bucket], good[bucket] = n, g
@@ -121,13 +125,15 @@ def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     """
     rows = boxed(docs).withColumn("w", words(F.col(f"_row.`{text_col}`")))
     trusted = trusted_ids(labels, target_limit)
-    sparse = docs.select(F.col(f"`{id_col}`").alias("id"), words(F.col(f"`{text_col}`")).alias("w"))
+    sparse = docs.select(F.col(f"`{id_col}`").alias("id"), word_hashes(words(F.col(f"`{text_col}`"))).alias("h"))
     wv = weight_vector(sparse, trusted, buckets)
-    grams = ngram_buckets(F.col("w"), buckets)
-    total = F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.get(wv, b))
-    n = F.greatest(2 * F.size("w") - 1, F.lit(1))
     base = base_columns(F.col(f"_row.`{text_col}`"), F.col("w"))
-    out = rows.select("_row", *[c.alias(k) for k, c in base.items()],
-                      (total / n).alias("llr"))
+    add = lambda acc, h: acc + F.get(wv, F.pmod(h, F.lit(buckets)).cast("int"))
+    of_hashes = let(word_hashes(F.col("w")), lambda h: let(joined_hashes(h, 1), lambda pairs: F.struct(
+        F.aggregate(pairs, F.aggregate(h, F.lit(0.0), add), add).alias("total"),
+        repeated_window_words(pairs).cast("long").alias("n_repeat_words"))))
+    out = rows.select("_row", *[c.alias(k) for k, c in base.items()], of_hashes.alias("f"))
+    n = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
+    out = out.select("_row", *base, "f.n_repeat_words", (F.col("f.total") / n).alias("llr"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
