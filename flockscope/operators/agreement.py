@@ -200,7 +200,8 @@ def bootstrap_mean_ci(df: DataFrame, by: str, col: str, conf: float = 0.66, reps
     # resample indices: floor(rand * n) per draw, seeded per (group, replicate) row
     n = F.size("vals")
     draws = reps_df.select(by, "rep", "vals", F.explode(F.sequence(F.lit(1), n)).alias("draw"))
-    idx = F.floor(F.rand(seed) * F.size("vals")).cast("int")
+    # a hash of (seed, group, replicate, draw): the same resample for any partitioning
+    idx = F.pmod(F.xxhash64(F.lit(seed), F.col(by), "rep", "draw"), F.size("vals")).cast("int")
     picked = draws.select(by, "rep", F.element_at("vals", idx + 1).alias("x"))
     means = picked.groupBy(by, "rep").agg(F.avg("x").alias("m"))
     ci = means.groupBy(by).agg(F.percentile("m", lo_q).alias("lower"), F.percentile("m", hi_q).alias("upper"))

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import party_from_score
-from .joins import bounded_broadcast
 from .network import attention_share
 
 # Race codes left out of the race denominators.
@@ -46,7 +45,7 @@ def cluster_audience_stats(net: DataFrame, panel: DataFrame, labels: DataFrame,
     analysed pipeline. Output: grp, n, age, male, dem, rep, indep, white,
     black, white_lib, log_n.
     """
-    lab = bounded_broadcast(labels.select(F.col("k").alias("grp")).distinct())
+    lab = labels.select(F.col("k").alias("grp")).distinct()
     shares = attention_share(net.join(lab, "grp", "inner"))
     p = panel.select(F.col("twProfileID").alias("source"), F.col("voterbase_age").alias("age"),
                      F.col("voterbase_gender").alias("gender"), F.col("voterbase_race").alias("race"),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import (day_key, is_excluded_cluster, keyword_match, tweet_kind,
                                  tweet_text, tweet_time)
-from .joins import bounded_broadcast, restrict_to
+from .joins import restrict_to
 
 COUNT_KEYS = ("date", "grp", "userid", "is_rt")
 
@@ -46,7 +46,7 @@ def project_tweets(tweets: DataFrame, prefer: str = "short") -> DataFrame:
 
 def attach_cluster(tweets: DataFrame, influencers: DataFrame) -> DataFrame:
     """Inner join on the numeric user id; a duplicated uid multiplies rows."""
-    infl = bounded_broadcast(influencers.select("uid", "grp"))
+    infl = influencers.select("uid", "grp")
     return tweets.join(infl, "uid", "inner")
 
 
@@ -86,7 +86,7 @@ def to_long_counts(wide: DataFrame, measures: list[str], keys: tuple[str, ...] =
 
 def user_group_counts(edges: DataFrame, influencers: DataFrame) -> DataFrame:
     """Follows per (source, grp) over edges to listed accounts."""
-    infl = bounded_broadcast(influencers.select(F.col("uid").alias("target"), "grp"))
+    infl = influencers.select(F.col("uid").alias("target"), "grp")
     return (edges.select("source", "target").join(infl, "target", "inner")
             .groupBy("source", "grp").agg(F.count(F.lit(1)).alias("count")))
 
@@ -138,7 +138,7 @@ def influencer_tweet_totals(accounts: DataFrame, counts: DataFrame, labels: Data
     per = (counts.groupBy("userid").pivot("regex_type", [*lists, "total"]).agg(F.sum("count")))
     filled = (accounts.join(per, accounts["id"] == per["userid"], "left").drop("userid")
               .withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in [*lists, "total"]}))
-    lab = bounded_broadcast(labels.select(F.col("k").alias("grp"), "Label", "narrow_label", "meta"))
+    lab = labels.select(F.col("k").alias("grp"), "Label", "narrow_label", "meta")
     return filled.join(lab, "grp", "inner")
 
 

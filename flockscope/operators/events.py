@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import agresti_coull, event_bin_index, event_bin_label, is_excluded_cluster
 from .counts import cluster_daily_counts
-from .joins import bounded_broadcast
 from .network import one_per_group
 
 
@@ -60,8 +59,8 @@ def cluster_event_panel(counts: DataFrame, infl: DataFrame, stats: DataFrame,
     daily = cluster_daily_counts(counts, accounts=infl.select("id"), since=since)
     rq = event_window(daily, events, lists)
     lab = one_per_group(infl.select("grp", "id", "Label", "narrow_label", "meta"), "grp", "id").drop("id")
-    rq = drop_non_publics(rq.join(bounded_broadcast(lab), "grp", "inner"))
-    rq = rq.join(bounded_broadcast(stats), "grp", "inner")
+    rq = drop_non_publics(rq.join(lab, "grp", "inner"))
+    rq = rq.join(stats, "grp", "inner")
     return rq.withColumn("par_diff", F.col("rep") - F.col("dem"))
 
 

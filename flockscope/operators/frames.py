@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import log_ratio_plus_one, ratio
 from .counts import cluster_totals
 from .events import drop_non_publics
-from .joins import bounded_broadcast
 
 
 def to_long(df: DataFrame, ids: Sequence[str], measures: Sequence[str],
@@ -36,7 +35,7 @@ def center_scale2(df: DataFrame, cols: dict[str, str] | Sequence[str], by: str =
     srcs = sorted(set(mapping.values()))
     stats = df.groupBy(by).agg(*[F.avg(c).alias(f"__m_{i}") for i, c in enumerate(srcs)],
                                *[F.stddev_samp(c).alias(f"__s_{i}") for i, c in enumerate(srcs)])
-    j = df.join(bounded_broadcast(stats), by, "left")
+    j = df.join(stats, by, "left")
     idx = {c: i for i, c in enumerate(srcs)}
     out = j.withColumns({o: F.try_divide(F.col(c) - F.col(f"__m_{idx[c]}"),
                                          F.lit(2.0) * F.nanvl(F.col(f"__s_{idx[c]}"), F.lit(None)))
@@ -48,7 +47,7 @@ def cluster_overlap_long(infl: DataFrame, stats: DataFrame, lists: Sequence[str]
     """X11: one row per cluster x issue public with audience stats, par_diff and v = polcnt/total."""
     tot = drop_non_publics(cluster_totals(infl))
     long = to_long(tot, ["grp", "Label", "meta", "narrow_label", "total"], lists, "issuepublic", "polcnt")
-    j = long.join(bounded_broadcast(stats), "grp", "inner")
+    j = long.join(stats, "grp", "inner")
     return j.withColumns({"par_diff": F.col("rep") - F.col("dem"), "v": ratio("polcnt", "total")})
 
 
@@ -164,7 +163,6 @@ def density_curves(df: DataFrame, by: Sequence[str], col: str, n: int = DENSITY_
                          "__up": F.col("__to") + F.lit(DENSITY_PAD) * F.col("__bw")})
     st = st.withColumn("__dx", (F.col("__up") - F.col("__lo")) / F.lit(n - 1)).select(
         *keys, "__n", "__bw", "__from", "__to", "__lo", "__up", "__dx")
-    st = bounded_broadcast(st)
     # linear binning (each value splits its weight 1/N between two grid points)
     pos = (F.col("__x") - F.col("__lo")) / F.col("__dx")
     ix = F.floor(pos).cast("int")

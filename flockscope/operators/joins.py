@@ -1,42 +1,16 @@
-"""Join helpers: broadcast only behind a size check, membership joins."""
+"""Join helpers: membership and lookup joins.
+
+No side is hinted: Spark broadcasts a side whose size in bytes is below
+``spark.sql.autoBroadcastJoinThreshold``, by its statistics when planning and
+by the measured size at run time (AQE), and shuffles beyond it. No job runs
+while a plan is built.
+"""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest side (rows) that is ever broadcast. The cluster-sized tables
-# (influencer lists <= k * top_n, labels <= k rows) sit far below this.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-_CACHED: list[DataFrame] = []
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``F.broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``.
-
-    The check reads at most ``max_rows + 1`` rows of the small side, through
-    a cache, so the broadcast reuses the rows the check computed instead of
-    recomputing a derived side. Beyond the bound the cache is dropped and the
-    join falls back to a shuffle join (AQE may still convert it at run time,
-    and splits skewed partitions).
-    """
-    small = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = small.limit(max_rows + 1).count()
-    if n <= max_rows:
-        _CACHED.append(small)
-        return F.broadcast(small)
-    small.unpersist()
-    return df
-
-
-def release_broadcast_cache() -> None:
-    """Drop the cached small sides kept for broadcasts (call between jobs)."""
-    while _CACHED:
-        _CACHED.pop().unpersist()
-
 
 def restrict_to(df: DataFrame, ids: DataFrame, left_key: str, right_key: str | None = None) -> DataFrame:
     """Rows whose key is in ``ids`` (left semi join; duplicates in ids do not multiply)."""
@@ -53,10 +27,9 @@ def exclude(df: DataFrame, ids: DataFrame, left_key: str, right_key: str | None
 
 
 def attach(df: DataFrame, other: DataFrame, left_key: str, right_key: str | None = None,
-           how: str = "inner", broadcast_small: bool = True) -> DataFrame:
+           how: str = "inner") -> DataFrame:
     """Keyed lookup join with explicit keys; the right key is dropped."""
     right_key = right_key or left_key
-    r = bounded_broadcast(other) if broadcast_small else other
     if right_key == left_key:
-        return df.join(r, left_key, how)
-    return df.join(r, df[left_key] == r[right_key], how).drop(r[right_key])
+        return df.join(other, left_key, how)
+    return df.join(other, df[left_key] == other[right_key], how).drop(other[right_key])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import profile_link, rfc_time, row_argmax, row_max
-from .joins import bounded_broadcast, exclude
+from .joins import exclude
 
 
 def prune_follows(edges: DataFrame, min_followers: int = 25, min_follows: int = 10) -> DataFrame:
@@ -35,14 +35,20 @@ def attention_share(net: DataFrame, count_col: str = "count", by: str = "source"
     return net.withColumn("prop", F.col(count_col) / F.sum(count_col).over(w))
 
 
-def top_per_cluster(y: DataFrame, n: int, grp: str = "grp", val: str = "grp_val", id_col: str = "id") -> DataFrame:
+def top_per_cluster(y: DataFrame, n: int, grp: str = "grp", val: str = "grp_val", id_col: str = "id",
+                    slices: int = 32) -> DataFrame:
     """At most n rows per cluster by descending loading, ties by id.
 
-    The ``row_number() <= n`` filter is planned with a partial group limit
-    before the shuffle, so a huge cluster ships at most n rows per task.
+    Two steps: the top n of every (cluster, slice), with the cluster dealt into
+    ``slices`` by an id hash, then the top n of what is left. A cluster that
+    holds a third of all accounts is sorted by many tasks, and the last step
+    sees at most ``slices * n`` rows of a cluster.
     """
-    w = Window.partitionBy(grp).orderBy(F.col(val).desc(), F.col(id_col).asc())
-    return y.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    best = (F.col(val).desc(), F.col(id_col).asc())
+    dealt = y.withColumn("_slice", F.pmod(F.xxhash64(id_col), F.lit(slices)))
+    part = Window.partitionBy(grp, "_slice").orderBy(*best)
+    few = dealt.withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= n).drop("_slice")
+    return few.withColumn("_rn", F.row_number().over(Window.partitionBy(grp).orderBy(*best))).where(F.col("_rn") <= n).drop("_rn")
 
 
 def annotation_sheet(y: DataFrame, n: int = 50,
@@ -60,7 +66,7 @@ def annotation_sheet(y: DataFrame, n: int = 50,
 
 def top_influencer_edges(edges: DataFrame, top: DataFrame) -> DataFrame:
     """M6: edges whose target is a top account (semi join; the top list is cluster-bounded)."""
-    keys = bounded_broadcast(top.select(F.col("uid").alias("target")).distinct())
+    keys = top.select(F.col("uid").alias("target")).distinct()
     return edges.join(keys, "target", "left_semi").select("source", "target")
 
 
@@ -96,13 +102,13 @@ def merge_new_bios(infl: DataFrame, bios: DataFrame, labels: DataFrame) -> DataF
     nb = nb.join(infl.select("id", "grp", "grp_val"), "id", "inner")
     kept = exclude(infl, nb, "id")
     merged = kept.unionByName(nb, allowMissingColumns=True)
-    lab = bounded_broadcast(labels.select(F.col("k").alias("grp"), *[c for c in labels.columns if c != "k"]))
+    lab = labels.select(F.col("k").alias("grp"), *[c for c in labels.columns if c != "k"])
     return merged.join(lab, "grp", "inner").withColumn("sn_lower", F.lower("username"))
 
 
 def panel_frame(panel: DataFrame, z: DataFrame, labels: DataFrame, profiles: DataFrame) -> DataFrame:
     """Panel demographics x (assignment left-join labels) x profiles."""
-    lab = bounded_broadcast(labels.select(F.col("k").alias("grp"), *[c for c in labels.columns if c != "k"]))
+    lab = labels.select(F.col("k").alias("grp"), *[c for c in labels.columns if c != "k"])
     zc = z.join(lab, "grp", "left")
     p = panel.join(zc, panel["twProfileID"] == zc["id"], "inner").drop("id")
     return p.join(profiles, p["twProfileID"] == profiles["uid"], "inner").drop("uid")

@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 
 from ..functions.columns import DAY_KEY_FORMAT
 from ..operators.counts import keyword_flags, project_tweets, to_long_counts
-from ..operators.joins import bounded_broadcast
 from ..sources import schemas
 
 
@@ -37,7 +36,7 @@ def stream_daily_keyword_counts(spark: SparkSession, tweets_dir: str, influencer
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     tweets = reader.json(tweets_dir)
     projected = project_tweets(tweets, prefer).where(F.col("ts").isNotNull())
-    joined = projected.join(bounded_broadcast(influencers.select("uid", "grp")), "uid", "inner")
+    joined = projected.join(influencers.select("uid", "grp"), "uid", "inner")
     flagged = keyword_flags(joined, patterns)
     names = list(patterns)
     if lateness is not None:
