@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: dict = {}
+
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -23,8 +26,6 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # keep the partial (map-side) top-n limit for n up to 10,000 per group
-    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
 
@@ -49,8 +50,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def prepare_session(spark: SparkSession) -> None:
     """Apply the settings the operators depend on to an existing session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10000")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -66,11 +67,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="flockscope-ckpt-", dir=os.environ.get("FLOCKSCOPE_SCRATCH", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return conf_dir
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package's modules to the Python workers, once per application.
+
+    Tasks import the functions they run, and a worker need not have the
+    repository on its path.
+    """
+    sc = spark.sparkContext
+    if _SHIPPED.get("app") == sc.applicationId:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.TemporaryDirectory()  # the driver serves the file from here until Python ends
+    path = os.path.join(folder.name, f"{os.path.basename(root)}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for top, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(top, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _SHIPPED.update(app=sc.applicationId, folder=folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss), never a local one.
 
