@@ -19,6 +19,7 @@ import logging
 import re
 from dataclasses import dataclass, field
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,23 @@ def clean_fragment(line: str) -> str:
     return line.split("\t")[0].strip().replace("#", "").replace("@", "")
 
 
+def compiles(fragment: str) -> bool:
+    """Whether the engine that will run the pattern (``rlike``, Java) accepts the fragment.
+
+    Without a session (lists built while modules load) Python's engine decides;
+    every list read from a file is judged by Java.
+    """
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is None:
+            re.compile(fragment)
+        else:
+            spark._jvm.java.util.regex.Pattern.compile(f"({fragment})")
+    except (re.error, IllegalArgumentException):
+        return False
+    return True
+
+
 def validate_fragments(fragments: list[str]) -> tuple[list[str], list[str]]:
     """Split into (usable, rejected); blanks and duplicates are dropped."""
     good: list[str] = []
@@ -52,9 +70,7 @@ def validate_fragments(fragments: list[str]) -> tuple[list[str], list[str]]:
         if not frag or frag in seen:
             continue
         seen.add(frag)
-        try:
-            re.compile(frag)
-        except re.error:
+        if not compiles(frag):
             bad.append(frag)
             continue
         good.append(frag)

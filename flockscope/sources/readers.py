@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,24 @@ def _typed(df: DataFrame, casts: dict[str, str]) -> DataFrame:
     return df.select(*[F.expr(f"try_cast(`{c}` AS {t})").alias(c) for c, t in casts.items()])
 
 
+def malformed(raw: DataFrame, casts: dict[str, str], required: tuple[str, ...]) -> DataFrame:
+    """The raw rows a reader leaves out: a required column is missing or no number of its type."""
+    bad = [F.expr(f"try_cast(`{c}` AS {casts[c]})").isNull() for c in required]
+    return raw.where(reduce(or_, bad))
+
+
+def malformed_influencers(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of an S2 file that ``read_influencers`` rejects (count or store them)."""
+    raw = spark.read.schema(schemas.INFLUENCERS_RAW).option("sep", " ").option("header", True).csv(path)
+    return malformed(raw, {"uid": "BIGINT"}, ("uid",))
+
+
+def malformed_edges(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of an S3 file that ``read_edges`` rejects."""
+    raw = spark.read.schema(schemas.EDGES_RAW).option("header", True).csv(path)
+    return malformed(raw, {"source": "BIGINT", "target": "BIGINT"}, ("source", "target"))
+
+
 def read_influencers(spark: SparkSession, path: str) -> DataFrame:
     """Space-separated (uid, grp) with header; malformed ids become NULL and are dropped."""
     raw = spark.read.schema(schemas.INFLUENCERS_RAW).option("sep", " ").option("header", True).csv(path)
@@ -58,9 +78,10 @@ def read_mm_edges(spark: SparkSession, mtx: str, row_ids: str, col_ids: str) ->
     Line numbers of the id files are assigned with ``zipWithIndex`` (the only
     order-preserving global index); both lookups are equi-joins.
     """
-    lines = spark.read.text(mtx).where(~F.col("value").startswith("%"))
+    lines = spark.read.text(mtx).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
     parts = F.split(F.trim(F.col("value")), r"\s+")
-    coords = lines.select(parts.getItem(0).cast("long").alias("i"), parts.getItem(1).cast("long").alias("j"))
+    number = lambda i: F.get(parts, F.lit(i)).try_cast("long")
+    coords = lines.select(number(0).alias("i"), number(1).alias("j"))
     # the first non-comment line is the size line "rows cols nnz"
     entries = _drop_size_line(coords)
 
@@ -93,7 +114,7 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     """Header-less TSV with embedded NULs turned into spaces; 19 names by position."""
     raw = spark.read.text(path).select(F.translate("value", "\u0000", " ").alias("value"))
     parts = F.split("value", "\t")
-    return raw.select(*[parts.getItem(i).alias(n) for i, n in enumerate(schemas.PANEL_PROFILE_NAMES)])
+    return raw.select(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(schemas.PANEL_PROFILE_NAMES)])
 
 
 def read_assignments(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
