@@ -25,7 +25,7 @@ PROXY_SQL: dict[str, str] = {
                CASE WHEN e.event_type IN ('click', 'purchase') THEN 1 END AS retweeted_id,
                CASE WHEN e.event_type = 'error' THEN 1 END AS quoted_id,
                CASE WHEN e.event_type = 'signup' OR e.value > 400 THEN 1 END AS reply_user
-        FROM events e JOIN documents d ON d.doc_id = e.event_id""",
+        FROM events e JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)""",
     "p_follows": """
         SELECT DISTINCT o_custkey AS source, l_partkey AS target
         FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",

@@ -7,7 +7,7 @@ TPC-H-like tables and derives the logical tables below with Spark. Entities:
 * accounts / influencers (followed side)  <- ``part``
 * panelists (following side)              <- ``customer``
 * follow edges                            <- ``orders`` x ``lineitem`` (distinct customer -> part)
-* tweets (nested JSON shape)              <- ``events`` x ``documents`` (every document once, whole text)
+* tweets (nested JSON shape)              <- ``events`` x ``documents`` (every event, documents in turn, whole text)
 * daily keyword counts                    <- ``lineitem`` per (ship day, part): total / R / A flags
 * cluster labels                          <- ``nation`` x ``region`` (25 clusters)
 * loadings                                <- ``embeddings`` (64 loadings per id)
@@ -38,10 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested tweets: one per document, user / time / kind from the event of the same id."""
+    """Nested tweets: one per event, which takes the document of its id modulo the number of documents."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    j = ev.join(docs, ev.event_id == docs.doc_id, "inner")
+    # events take the documents in turn, so every row of both tables is used
+    n_docs = docs.count()
+    j = ev.join(docs, F.pmod("event_id", F.lit(n_docs)) == docs.doc_id, "inner")
     sid = F.col("event_id").cast("string")
     short = F.when(F.col("n_chars") <= 280, F.col("text"))
     is_rt = F.col("event_type").isin("click", "purchase")
