@@ -580,7 +580,7 @@ def q_model_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     x11 = _x11(spark, sf_dir).persist()
     base = _glm.binomial_fit(x11, _x11_design(x11, False), "v", "total")
     full = _glm.binomial_fit(x11, _x11_design(x11, True), "v", "total")
-    return _models.compare_models(spark, {"base": base, "full": full})
+    return _models.compare_models(spark, {"base": base, "full": full}, {"full": "base"})
 
 
 def _lmm_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -621,7 +621,7 @@ def q_mixed_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
                         ("b5", star("t", "regex_type", "event"))):
         d = make_design(df, terms, factors=["t", "regex_type", "event"], levels={"t": list(T_LEVELS)})
         fits[name] = _mixed.mixed_fit(df, d, "v", "grp", reml=False)
-    return _models.compare_models(spark, fits)
+    return _models.compare_models(spark, fits, {"b2": "b1", "b5": "b2"})
 
 
 def _x12(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -657,19 +657,17 @@ def q_subset_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     fits = _models.subset_models(df, base, [("verified",), ("cent_fol",), ("cent_pop",)], "v", "total",
                                  ["variable", "grp"])
     named = {"+".join(t[0] for t in k) or "base": f for k, f in fits.items()}
-    return _models.compare_models(spark, named)
+    return _models.compare_models(spark, named, {n: "base" for n in named if n != "base"})
 
 
-@register("fit_diagnostics", None, ref="G14 U4 A16")
+@register("fit_diagnostics", None, ref="G14")
 def q_fit_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed vs fitted of base and full FE models, one row per account x public."""
     df = _x12(spark, sf_dir).persist()
     base = _models.fe_binomial_fit(df, make_design(df, []), "v", "total", ["variable", "grp"])
     full = _models.fe_binomial_fit(df, _fe_design(df), "v", "total", ["variable", "grp"])
     diag = _models.fit_diagnostics(df, {"base": base, "full": full}, "v", "total")
-    diag = diag.select("id", "variable", "observed", "pred_base", "pred_full")
-    # the diagnostic pairs are drawn as a repeatable 10,000-row sample (U4)
-    return frames.sample_rows(diag, 10_000, seed=587, key=["id", "variable"])
+    return diag.select("id", "variable", "observed", "pred_base", "pred_full")
 
 
 from ..stats import bootstrap as _boot  # noqa: E402
@@ -765,4 +763,4 @@ def q_binomial_model_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
         d = make_design(x11, terms, factors=["issuepublic", "meta"], levels={"issuepublic": ["blm", "pol"]},
                         poly=["par_diff"])
         fits[name] = _glm.binomial_fit(x11, d, "v", "total")
-    return _models.compare_models(spark, fits)
+    return _models.compare_models(spark, fits, {n: "base" for n in fits if n != "base"})

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .glm import GLMFit, find_aliased
+from .glm import GLMFit, clamp, complete, find_aliased
 from .gram import _unpack, partition_sums, stack, tri_upper
 
 log = logging.getLogger(__name__)
@@ -38,7 +38,8 @@ def cluster_multiplicities(df: DataFrame, cluster: str, reps: int, seed: int) ->
     spark = df.sparkSession
     draws = (spark.range(reps * n_g)
              .select((F.col("id") / n_g).cast("int").alias("rep"),
-                     F.floor(F.rand(seed) * n_g).cast("int").alias("__idx")))
+                     # a draw is a hash of (seed, number): the same for any partitioning
+                     F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(n_g)).cast("int").alias("__idx")))
     counts = draws.groupBy("rep", "__idx").agg(F.count(F.lit(1)).alias("m"))
     return counts.join(F.broadcast(ids), "__idx").select("rep", cluster, F.col("m").cast("double"))
 
@@ -62,7 +63,7 @@ def _batched_irls(frame: DataFrame, reps: list[int], beta0: np.ndarray, p: int,
             y = pdf["__y"].to_numpy(np.float64)
             w = pdf["__w"].to_numpy(np.float64)
             eta = x @ beta
-            mu = 1.0 / (1.0 + np.exp(-eta))
+            mu = clamp(1.0 / (1.0 + np.exp(-eta)))
             var = mu * (1.0 - mu)
             wt = w * var
             z = eta + (y - mu) / var
@@ -77,10 +78,12 @@ def _batched_irls(frame: DataFrame, reps: list[int], beta0: np.ndarray, p: int,
                               p * (p + 1) // 2 + p + 3, by="rep")
         for rep, vec in sums.items():
             g = _unpack(vec, p)
-            keep = find_aliased(g.xtwx)
             try:
+                keep = find_aliased(g.xtwx)
                 sol = np.zeros(p)
                 sol[keep] = np.linalg.solve(g.xtwx[np.ix_(keep, keep)], g.xtwz[keep])
+                if not np.isfinite(sol).all():
+                    raise np.linalg.LinAlgError("coefficients are not finite")
             except np.linalg.LinAlgError:
                 failed.add(rep)
                 active.discard(rep)
@@ -89,7 +92,7 @@ def _batched_irls(frame: DataFrame, reps: list[int], beta0: np.ndarray, p: int,
                 active.discard(rep)
             dev_old[rep] = g.ztwz
             betas[rep] = sol
-    for r in failed:
+    for r in failed | active:  # what has not converged by the last step is no replicate either
         betas.pop(r, None)
     return betas
 
@@ -102,7 +105,7 @@ def bootstrap_fits(fit: GLMFit, df: DataFrame, cluster: str, reps: int = 1000, s
     base = (df.where(F.col(fit.y).isNotNull() & (w > 0))
             .select(F.col(cluster), fit.x().alias("__x"), F.col(fit.y).cast("double").alias("__y"),
                     w.alias("__w0"))
-            .where(F.forall("__x", lambda v: v.isNotNull() & ~F.isnan(v))).persist())
+            .where(complete("__x")).persist())
     p = len(fit.keep)
     out: dict[int, np.ndarray] = {}
     for start in range(0, reps, batch):

@@ -48,6 +48,7 @@ def poly2(df: DataFrame, col: str, weight: str | None = None) -> Poly2:
     """
     x = F.col(col).cast("double")
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    df = df.where(x.isNotNull() & ~F.isnan(x) & w.isNotNull())  # NULL and NaN count nowhere, also not in n
     first = df.agg(F.sum(w).alias("n"), F.sum(w * x).alias("sx")).first()
     n = float(first["n"])
     a0 = float(first["sx"]) / n
@@ -80,7 +81,8 @@ class Design:
         if var in self.factors:
             levels = list(self.factors[var])
             s = src.cast("string")
-            return [(f"{var}{lv}", F.when(s == F.lit(lv), 1.0).otherwise(0.0)) for lv in levels[1:]]
+            return [(f"{var}{lv}", F.when(s.isNull(), F.lit(None).cast("double")).when(s == F.lit(lv), 1.0)
+                     .otherwise(0.0)) for lv in levels[1:]]
         if var in self.polys:
             p1, p2 = self.polys[var].columns(src.cast("double"))
             return [(f"poly({var},2)1", p1), (f"poly({var},2)2", p2)]

@@ -10,8 +10,10 @@ first cross-product and dropped, as R reports them as NA.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -76,6 +78,8 @@ class GLMFit:
 
 def find_aliased(a: np.ndarray, tol: float = ALIAS_TOL) -> list[int]:
     """Indices kept after sequential (column-order) collinearity screening of X'WX."""
+    if not np.isfinite(a).all():
+        raise np.linalg.LinAlgError("cross-product is not finite")
     keep: list[int] = []
     for j in range(a.shape[0]):
         ajj = a[j, j]
@@ -92,11 +96,14 @@ def find_aliased(a: np.ndarray, tol: float = ALIAS_TOL) -> list[int]:
     return keep
 
 
-def _binomial_dev(y: Column, mu: Column, w: Column) -> Column:
-    """Unit deviance contribution 2 w [y log(y/mu) + (1-y) log((1-y)/(1-mu))], 0 log 0 = 0."""
-    t1 = F.when(y > 0, y * F.log(y / mu)).otherwise(0.0)
-    t2 = F.when(y < 1, (F.lit(1.0) - y) * F.log((F.lit(1.0) - y) / (F.lit(1.0) - mu))).otherwise(0.0)
-    return F.lit(2.0) * w * (t1 + t2)
+def clamp(mu: np.ndarray) -> np.ndarray:
+    """Keep fitted proportions off 0 and 1 (as R does), so weights stay positive under separation."""
+    return np.clip(mu, np.finfo(float).eps, 1.0 - np.finfo(float).eps)
+
+
+def complete(x: str) -> Column:
+    """Rows whose design array has no NULL or NaN: the NA rule of fits, errors and predictions alike."""
+    return F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v))
 
 
 def _irls_size(p: int) -> int:
@@ -114,7 +121,7 @@ def _irls_partial(beta: np.ndarray | None, offset: float):
             eta = np.log(mu / (1.0 - mu))
         else:
             eta = x @ beta + offset
-            mu = 1.0 / (1.0 + np.exp(-eta))
+            mu = clamp(1.0 / (1.0 + np.exp(-eta)))
         var = mu * (1.0 - mu)
         wt = w * var
         z = eta - offset + (y - mu) / var
@@ -141,7 +148,7 @@ def binomial_fit(df: DataFrame, design: Design, y: str, weight: str | None = Non
                           w_all.alias("__w")).persist()
     # filter on the cached array (no re-derivation of the design per element)
     frame = projected.where(F.col("__y").isNotNull() & F.col("__w").isNotNull() & (F.col("__w") > 0)
-                            & F.forall("__x", lambda v: v.isNotNull() & ~F.isnan(v)))
+                            & complete("__x"))
     x, yy, w = F.col("__x"), F.col("__y"), F.col("__w")
     off = F.lit(float(offset)) if offset is not None else F.lit(0.0)
     off_value = float(offset) if offset is not None else 0.0
@@ -171,6 +178,8 @@ def binomial_fit(df: DataFrame, design: Design, y: str, weight: str | None = Non
         dev_old = dev
         beta = np.linalg.solve(a, b)
         cov = np.linalg.inv(a)
+    if not converged:
+        warnings.warn(f"binomial fit of {y!r} did not converge in {max_iter} iterations", RuntimeWarning, stacklevel=2)
     n_obs = g.n
     fit = GLMFit(design, names, keep, beta, cov, dev_old if not converged else dev, 0.0, n_obs, it, converged,
                  y, weight)
@@ -188,7 +197,7 @@ def _binomial_loglik(frame: DataFrame, fit: GLMFit, off: float) -> float:
         x = stack(pdf["__x"])
         w = pdf["__w"].to_numpy(np.float64)
         y = pdf["__y"].to_numpy(np.float64)
-        mu = 1.0 / (1.0 + np.exp(-(x @ beta + off)))
+        mu = clamp(1.0 / (1.0 + np.exp(-(x @ beta + off))))
         m = np.round(w)
         k = np.round(w * y)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -209,7 +218,7 @@ def cluster_vcov(fit: GLMFit, df: DataFrame, cluster: str, adjust: str = "G") ->
     """
     w = F.col(fit.weight).cast("double") if fit.weight else F.lit(1.0)
     ok = df.where(F.col(fit.y).isNotNull() & w.isNotNull() & (w > 0))
-    rows = ok.select(F.col(cluster), fit.x().alias("__x"), w.alias("__w"), F.col(fit.y).cast("double").alias("__y"))
+    rows = ok.select(F.col(cluster), fit.x().alias("__x"), w.alias("__w"), F.col(fit.y).cast("double").alias("__y")).where(complete("__x"))
     rows = rows.select(cluster, "__x", (F.col("__w") * (F.col("__y") - F.lit(1.0) / (F.lit(1.0) + F.exp(
         -dot(F.col("__x"), fit.beta))))).alias("__r"))
     score = F.transform("__x", lambda v: v * F.col("__r"))
@@ -257,31 +266,8 @@ def coef_table(spark: SparkSession, fit: GLMFit, vcov: np.ndarray | None = None,
 
 
 def _norm_quantile(p: float) -> float:
-    """Inverse standard normal CDF (Acklam's rational approximation + one Newton step)."""
-    a = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02, 1.383577518672690e+02,
-         -3.066479806614716e+01, 2.506628277459239e+00]
-    b = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02, 6.680131188771972e+01,
-         -1.328068155288572e+01]
-    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00, -2.549732539343734e+00,
-         4.374664141464968e+00, 2.938163982698783e+00]
-    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00]
-    lo = 0.02425
-    if p < lo:
-        q = math.sqrt(-2 * math.log(p))
-        x = (((((c[0] * q + c[1]) * q + c[2]) * q + c[3]) * q + c[4]) * q + c[5]) / \
-            ((((d[0] * q + d[1]) * q + d[2]) * q + d[3]) * q + 1)
-    elif p > 1 - lo:
-        q = math.sqrt(-2 * math.log(1 - p))
-        x = -(((((c[0] * q + c[1]) * q + c[2]) * q + c[3]) * q + c[4]) * q + c[5]) / \
-            ((((d[0] * q + d[1]) * q + d[2]) * q + d[3]) * q + 1)
-    else:
-        q = p - 0.5
-        r = q * q
-        x = (((((a[0] * r + a[1]) * r + a[2]) * r + a[3]) * r + a[4]) * r + a[5]) * q / \
-            (((((b[0] * r + b[1]) * r + b[2]) * r + b[3]) * r + b[4]) * r + 1)
-    e = 0.5 * math.erfc(-x / math.sqrt(2)) - p
-    u = e * math.sqrt(2 * math.pi) * math.exp(x * x / 2)
-    return x - u / (1 + x * u / 2)
+    """Inverse standard normal CDF."""
+    return NormalDist().inv_cdf(p)
 
 
 # ---------------------------------------------------------------- predictions
@@ -300,7 +286,7 @@ def avg_predictions(fit: GLMFit, df: DataFrame, var: str, values: Sequence[float
     over = {var: F.col("__value")}
     wcol = F.col(weight).cast("double") if weight else F.lit(1.0)
     keys = ["__value", *by]
-    rows = rows.select(*keys, fit.x(over).alias("__x"), wcol.alias("__w"))
+    rows = rows.select(*keys, fit.x(over).alias("__x"), wcol.alias("__w")).where(complete("__x") & F.col("__w").isNotNull())
     rows = rows.select(*keys, "__x", "__w", (F.lit(1.0) / (F.lit(1.0) + F.exp(-dot(F.col("__x"), fit.beta))))
                        .alias("__mu"))
     mu = F.col("__mu")
@@ -317,8 +303,3 @@ def avg_predictions(fit: GLMFit, df: DataFrame, var: str, values: Sequence[float
             .withColumn("conf_low", F.col("estimate") - F.lit(zq) * F.col("std_error"))
             .withColumn("conf_high", F.col("estimate") + F.lit(zq) * F.col("std_error"))
             .drop("__grad"))
-
-
-def predict_columns(fit: GLMFit, link: bool = False) -> Column:
-    """Fitted values (response scale by default) as a column expression."""
-    return fit.eta() if link else fit.mu()

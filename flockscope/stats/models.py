@@ -20,7 +20,7 @@ def drop_separated_levels(df: DataFrame, fe: Sequence[str], y: str, weight: str
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     out = df
-    for _ in range(10):
+    while True:  # ends: every round but the last drops a level
         dropped = 0
         for f in fe:
             bad = (out.groupBy(f).agg(F.sum(w * F.col(y)).alias("s1"),
@@ -53,30 +53,14 @@ def fe_binomial_fit(df: DataFrame, design: Design, y: str, weight: str | None, f
     return fit
 
 
-def slope_table(fit: GLMFit) -> dict[str, float]:
-    """Coefficients without intercept and fixed-effect dummies."""
-    fe_prefix = tuple(fit.fe)
-    out = {}
-    for name, b in zip(fit.kept_names, fit.beta):
-        if name == "(Intercept)":
-            continue
-        if any(name.startswith(f) and ":" not in name and name[len(f):] in fit.design.factors.get(f, ())
-               for f in fe_prefix):
-            continue
-        out[name] = float(b)
-    return out
-
-
 def subset_models(df: DataFrame, design: Design, optional_terms: Sequence[tuple[str, ...]], y: str,
                   weight: str | None, fe: Sequence[str] = ()) -> dict[tuple, GLMFit]:
     """One fit per subset of ``optional_terms`` (including the empty set)."""
     fits = {}
-    df = df.persist()
     for r in range(len(optional_terms) + 1):
         for subset in combinations(optional_terms, r):
             d = Design(design.factors, design.numeric, design.polys, [*design.terms, *subset], design.intercept)
             fits[subset] = fe_binomial_fit(df, d, y, weight, fe) if fe else binomial_fit(df, d, y, weight)
-    df.unpersist()
     return fits
 
 
@@ -115,21 +99,29 @@ def chi2_sf(x: float, k: float) -> float:
     return math.exp(-z + a * math.log(z) - gln) * h
 
 
-def compare_models(spark: SparkSession, fits: dict[str, object]) -> DataFrame:
-    """logLik, AIC, BIC, parameters and a likelihood-ratio test against the previous model."""
+def compare_models(spark: SparkSession, fits: dict[str, object], against: dict[str, str] | None = None) -> DataFrame:
+    """logLik, AIC, BIC, parameters, deviance, and a likelihood-ratio test where one is asked for.
+
+    ``against`` names the smaller model each tested one extends. A pair that is
+    not nested (a parameter of the smaller is missing from the larger, or there
+    is none more) is an error; a statistic is 0 at least, up to rounding.
+    """
+    against = against or {}
     rows = []
-    prev = None
     for name, f in fits.items():
         ll, k = float(f.loglik), int(f.n_params)
         lr = p = None
-        if prev is not None and k != prev[1]:
-            lr = 2 * abs(ll - prev[0])
-            p = chi2_sf(lr, abs(k - prev[1]))
+        if name in against:
+            small = fits[against[name]]
+            more = k - int(small.n_params)
+            if more <= 0 or not set(small.kept_names) <= set(f.kept_names):
+                raise ValueError(f"{against[name]!r} is not nested in {name!r}")
+            lr = max(2 * (ll - float(small.loglik)), 0.0)
+            p = chi2_sf(lr, more)
         dev = float(getattr(f, "deviance", float("nan")))
-        rows.append((name, ll, float(f.aic), float(f.bic), k, dev, lr, p))
-        prev = (ll, k)
+        rows.append((name, ll, float(f.aic), float(f.bic), k, dev, against.get(name), lr, p))
     return spark.createDataFrame(rows, "model string, loglik double, aic double, bic double, n_params int, "
-                                      "deviance double, lr_stat double, p_value double")
+                                       "deviance double, against string, lr_stat double, p_value double")
 
 
 def fit_diagnostics(df: DataFrame, fits: dict[str, GLMFit], y: str, weight: str | None) -> DataFrame:
