@@ -691,9 +691,9 @@ from ..operators import factor as _factor  # noqa: E402
 
 @register("vsp_sweep", None, ref="M2 M3 M4 M5 M1")
 def q_vsp_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pruned follow graph -> one factorisation at k = 25 -> varimax assignments for k in (10, 25)."""
-    edges = network.prune_follows(P.follows(spark, sf_dir), 25, 10)
-    return _factor.sweep_k(edges, [10, 25], power_iters=8, seed=42)
+    """Pruned follow graph -> one converged factorisation at k = 25 -> varimax assignments for k in (5, 25)."""
+    edges = network.prune_follows(P.planted_follows(spark, sf_dir), 25, 10)
+    return _factor.sweep_k(edges, [5, 25], seed=42)
 
 
 @register("density_curves", with_proxies(_PANEL_SQL_BODY + """,

@@ -92,6 +92,24 @@ def follows(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("o_custkey").alias("source"), F.col("l_partkey").alias("target")).distinct())
 
 
+def planted_follows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Follows with a community structure that a spectral method can find.
+
+    To the follows of ``follows`` every customer adds 24 accounts: 16 of its own
+    nation's block (parts by key modulo 25) and 8 of any block of its group of
+    five nations. Drawn by hash, so linear in the customers.
+    """
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("target"))
+    per_block = F.greatest(F.floor(F.lit(parts.count()) / N_CLUSTERS), F.lit(1))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("j"))
+    near = F.floor(F.col("c_nationkey") / 5) * 5 + F.pmod(F.xxhash64(F.lit("block"), "c_custkey", "j"), F.lit(5))
+    block = F.when(F.col("j") < 16, F.col("c_nationkey")).otherwise(near)
+    place = F.pmod(F.xxhash64(F.lit("place"), "c_custkey", "j"), per_block)
+    added = c.select(F.col("c_custkey").cast("long").alias("source"), (block + N_CLUSTERS * place).cast("long").alias("target"))
+    old = follows(spark, sf_dir).select(F.col("source").cast("long"), F.col("target").cast("long"))
+    return old.union(added.join(parts, "target", "left_semi").select("source", "target")).distinct()
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
