@@ -1,8 +1,7 @@
 """Agreement between cluster solutions.
 
-Pair rows come from a self join on id restricted to k1 < k2 (each id has one
-row per k setting, so the join emits at most C(#k, 2) rows per id) and are
-mirrored. Everything after that works on the contingency table, whose size
+Pair rows come from packing an id's settings (one row per k setting) and pairing
+them with k1 < k2: one scan, no self join. Everything after that works on the contingency table, whose size
 is bounded by (#clusters)^2 per pair of settings: n_ij by one ``groupBy``,
 margins by a second. The expected mutual information of AMI is a sum over
 the hypergeometric support of every cell, evaluated in ``mapInPandas`` with a
@@ -20,17 +19,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 PAIR_KEYS = ("k1", "k2")
 
 
+def _one_way_pairs(assign: DataFrame, k: str, id_col: str, grp: str) -> DataFrame:
+    """(id, k1, k2, g1, g2) with k1 < k2, from one scan: an id's settings are packed, then paired."""
+    packed = assign.groupBy(F.col(id_col).alias("id")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(k).alias("k"), F.col(grp).alias("g")))).alias("a"))
+    pairs = F.flatten(F.transform("a", lambda x: F.transform(
+        F.filter("a", lambda y: y["k"] > x["k"]), lambda y: F.struct(
+            x["k"].alias("k1"), y["k"].alias("k2"), x["g"].alias("g1"), y["g"].alias("g2")))))
+    return packed.select("id", F.explode(pairs).alias("p")).select("id", "p.*")
+
+
+def _mirrored(one: DataFrame, *other: str) -> DataFrame:
+    """Rows of both directions: every (k1, g1) exchanged with (k2, g2)."""
+    swap = F.array(*[F.struct(F.col(f"k{a}").alias("k1"), F.col(f"k{b}").alias("k2"), F.col(f"g{a}").alias("g1"),
+                              F.col(f"g{b}").alias("g2")) for a, b in ((1, 2), (2, 1))])
+    return one.select(*other, F.explode(swap).alias("p")).select(*other, "p.*")
+
+
 def assignment_pairs(assign: DataFrame, k: str = "k", id_col: str = "id", grp: str = "grp") -> DataFrame:
-    """(k1, k2, id, g1, g2) for every pair of settings, both directions."""
-    a = assign.select(F.col(id_col).alias("id"), F.col(k).alias("k1"), F.col(grp).alias("g1"))
-    b = assign.select(F.col(id_col).alias("id"), F.col(k).alias("k2"), F.col(grp).alias("g2"))
-    one = a.join(b, "id").where(F.col("k1") < F.col("k2"))
-    mirror = one.select("id", F.col("k2").alias("k1"), F.col("k1").alias("k2"),
-                        F.col("g2").alias("g1"), F.col("g1").alias("g2"))
-    return one.select("id", "k1", "k2", "g1", "g2").unionByName(mirror)
+    """(id, k1, k2, g1, g2) for every pair of settings, both directions."""
+    return _mirrored(_one_way_pairs(assign, k, id_col, grp), "id")
 
 
 def contingency(pairs: DataFrame) -> DataFrame:
@@ -168,8 +181,18 @@ def expected_mutual_information(cont: DataFrame) -> DataFrame:
 
 
 def cluster_agreement(assign: DataFrame, with_ami: bool = True) -> DataFrame:
-    """A12 end to end: (k1, k2, mi, hu, hv, nmi, ari[, emi, ami]) both directions."""
-    return agreement_measures(contingency(assignment_pairs(assign)), with_ami)
+    """A12 end to end: (k1, k2, mi, hu, hv, nmi, ari[, emi, ami]) both directions.
+
+    One scan counts one direction; the table (clusters squared per pair of
+    settings) is checkpointed, and the symmetric measures are mirrored with the
+    two entropies exchanged.
+    """
+    cont = cut_lineage(contingency(_one_way_pairs(assign, "k", "id", "grp")))
+    one = agreement_measures(cont, with_ami)
+    rest = [c for c in one.columns if c not in (*PAIR_KEYS, "hu", "hv")]
+    both = F.array(*[F.struct(F.col(f"k{a}").alias("k1"), F.col(f"k{b}").alias("k2"), F.col(f"h{x}").alias("hu"),
+                              F.col(f"h{y}").alias("hv")) for a, b, x, y in ((1, 2, "u", "v"), (2, 1, "v", "u"))])
+    return one.select(F.explode(both).alias("p"), *rest).select("p.*", *rest)
 
 
 def mean_agreement(agree: DataFrame, col: str = "ami", by: str = "k1") -> DataFrame:
@@ -194,7 +217,7 @@ def bootstrap_mean_ci(df: DataFrame, by: str, col: str, conf: float = 0.66, reps
     own resample from a seeded generator.
     """
     lo_q, hi_q = (1 - conf) / 2, 1 - (1 - conf) / 2
-    vals = df.groupBy(by).agg(F.collect_list(F.col(col).cast("double")).alias("vals"),
+    vals = df.groupBy(by).agg(F.sort_array(F.collect_list(F.col(col).cast("double"))).alias("vals"),
                               F.avg(col).alias("mean"))
     reps_df = vals.select(by, "vals", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     # resample indices: floor(rand * n) per draw, seeded per (group, replicate) row
