@@ -70,19 +70,13 @@ def top_influencer_edges(edges: DataFrame, top: DataFrame) -> DataFrame:
     return edges.join(keys, "target", "left_semi").select("source", "target")
 
 
-def assign_clusters(loadings: DataFrame, ks: tuple[int, ...] | None = None, id_col: str = "id",
-                    col: str = "loadings") -> DataFrame:
-    """Argmax cluster (1-based, first maximum) and max loading per id.
+def assign_clusters(loadings: DataFrame, keep: tuple[str, ...] = ("id", "k"), col: str = "loadings") -> DataFrame:
+    """Argmax cluster (1-based, first maximum) and max loading of every row.
 
-    With ``ks`` the first k loadings define the k-cluster solution; all k
-    values come out of one scan as (id, k, grp, grp_val).
+    One row per id and setting k, each with its own loadings: a solution for k
+    clusters is not the first k columns of one for more.
     """
-    if not ks:
-        return loadings.select(id_col, row_argmax(col).alias("grp"), row_max(col).alias("grp_val"))
-    per_k = F.array(*[F.struct(F.lit(k).alias("k"),
-                               row_argmax(F.slice(col, 1, k)).alias("grp"),
-                               row_max(F.slice(col, 1, k)).alias("grp_val")) for k in ks])
-    return (loadings.select(id_col, F.inline(per_k)))
+    return loadings.select(*keep, row_argmax(col).alias("grp"), row_max(col).alias("grp_val"))
 
 
 def one_per_group(df: DataFrame, by: str, order: str) -> DataFrame:

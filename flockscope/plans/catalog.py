@@ -421,10 +421,10 @@ def q_account_model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 # =========================================================== assignments
 @register("assign_clusters", """
 SELECT vec_id AS id, k, CAST(list_position(l, list_max(l)) AS INTEGER) AS grp, list_max(l) AS grp_val
-FROM (SELECT vec_id, k, list_slice(CAST(embedding AS DOUBLE[]), 1, k) AS l
+FROM (SELECT vec_id, k, list_transform(range(k), lambda i: list_sum(list_slice(CAST(embedding AS DOUBLE[]), i * (64 // k) + 1, (i + 1) * (64 // k)))) AS l
       FROM embeddings, (VALUES (16), (32), (64)) AS ks(k)) AS s""", doubles=("grp_val",), ref="M4 F11 K3")
 def q_assign_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.assign_clusters(P.loadings(spark, sf_dir), (16, 32, 64))
+    return network.assign_clusters(P.loadings(spark, sf_dir))
 
 
 @register("panel_frame", with_proxies("""
@@ -475,7 +475,7 @@ from ..operators import agreement  # noqa: E402
 _ASSIGN_SQL = """
 assign AS (
   SELECT vec_id AS id, k, CAST(list_position(l, list_max(l)) AS INTEGER) AS grp
-  FROM (SELECT vec_id, k, list_slice(CAST(embedding AS DOUBLE[]), 1, k) AS l
+  FROM (SELECT vec_id, k, list_transform(range(k), lambda i: list_sum(list_slice(CAST(embedding AS DOUBLE[]), i * (64 // k) + 1, (i + 1) * (64 // k)))) AS l
         FROM embeddings, (VALUES (16), (32), (64)) AS ks(k)) AS s
   UNION ALL SELECT vec_id, 0, label FROM embeddings),
 pairs AS (
@@ -502,10 +502,8 @@ agree AS (
 
 
 def _assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lo = P.loadings(spark, sf_dir)
-    by_k = network.assign_clusters(lo, (16, 32, 64)).select("id", "k", "grp")
-    by_label = lo.select("id", F.lit(0).alias("k"), F.col("label").alias("grp"))
-    return by_k.unionByName(by_label)
+    by_k = network.assign_clusters(P.loadings(spark, sf_dir)).select("id", "k", "grp")
+    return by_k.unionByName(P.label_assignments(spark, sf_dir))
 
 
 @register("cluster_agreement", "WITH " + _ASSIGN_SQL + "\nSELECT * FROM agree",

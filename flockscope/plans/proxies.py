@@ -196,7 +196,19 @@ def new_bios(spark: SparkSession, sf_dir: str) -> DataFrame:
                     created.alias("created_at"), F.col("p_type").alias("description"))
 
 
+K_SETTINGS = (16, 32, 64)
+
+
 def loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("loadings"),
-                    F.col("label"))
+    """(id, k, loadings): for every k the 64 values of a vector summed into k neighbouring groups."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
+    size = lambda k: 64 // k
+    part = lambda k: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.aggregate(
+        F.slice("e", i * size(k) + 1, F.lit(size(k))), F.lit(0.0), lambda s, x: s + x))
+    settings = F.array(*[F.struct(F.lit(k).alias("k"), part(k).alias("loadings")) for k in K_SETTINGS])
+    return e.select("id", F.inline(settings))
+
+
+def label_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A further labeling of the same ids, as setting 0."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit(0).alias("k"), F.col("label").alias("grp"))
