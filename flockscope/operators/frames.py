@@ -202,5 +202,5 @@ def sample_rows(df: DataFrame, n: int, seed: int, key: Sequence[str] | str = "id
     the cost is one scan; the limit is the operator itself.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    h = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
     return df.withColumn("__h", h).orderBy(F.col("__h"), *[F.col(k) for k in keys]).limit(n).drop("__h")

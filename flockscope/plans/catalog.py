@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 import numpy as np
 
+from ..functions import columns
 from ..functions.columns import party_from_score
 from ..operators import counts, events, frames, network
+from ..sources import sinks
 from . import lists
 from . import proxies as P
 from .oracle import with_proxies
@@ -762,3 +764,63 @@ def q_binomial_model_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
                         poly=["par_diff"])
         fits[name] = _glm.binomial_fit(x11, d, "v", "total")
     return _models.compare_models(spark, fits, {n: "base" for n in fits if n != "base"})
+
+
+# =========================================================== small operators on their own
+@register("pre_event_segments", "SELECT *, '+6' AS \"end\" FROM (\n" + REGISTRY["pooled_proportions"].sql
+          + "\n) AS q WHERE t IN ('-2', '-1')", ref="U6 A11")
+def q_pre_event_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.pre_event_segments(REGISTRY["pooled_proportions"].fn(spark, sf_dir))
+
+
+@register("display_names", with_proxies("""
+SELECT CAST(strptime(date, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP) AS day, 'y' || lpad(CAST(grp AS VARCHAR), 2, '0') AS cluster,
+       CASE WHEN regex_type = 'blm' THEN 'BLM Public' ELSE 'Electoral Public' END AS public, CAST(sum(count) AS BIGINT) AS n
+FROM p_tweet_counts WHERE regex_type <> 'total' GROUP BY ALL""", "p_tweet_counts"), ref="P15 F3 F10 A4")
+def q_display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts under display names: parsed day, zero-padded cluster, public."""
+    t = P.tweet_counts(spark, sf_dir).where(F.col("regex_type") != "total")
+    return (t.groupBy(columns.parse_day_key("date").alias("day"), columns.zero_pad_name("y", "grp", P.N_CLUSTERS).alias("cluster"),
+                      columns.public_name("regex_type").alias("public")).agg(F.sum("count").cast("long").alias("n")))
+
+
+@register("chosen_k", "WITH " + _ASSIGN_SQL + "\nSELECT id, k, grp FROM assign WHERE k = 32", ref="K3")
+def q_chosen_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.select_k(_assignments(spark, sf_dir), 32)
+
+
+@register("measure_ranges", with_proxies(_X11_SQL + """
+SELECT issuepublic, min(age) AS age_min, max(age) AS age_max, min(par_diff) AS par_diff_min, max(par_diff) AS par_diff_max
+FROM x11 GROUP BY issuepublic""", "p_infl", "p_clust_stats"),
+          doubles=("age_min", "age_max", "par_diff_min", "par_diff_max"), ref="A15")
+def q_measure_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends of the prediction grids, per issue public."""
+    ends = [f(c).alias(f"{c}_{n}") for c in ("age", "par_diff") for n, f in (("min", F.min), ("max", F.max))]
+    return _x11(spark, sf_dir).groupBy("issuepublic").agg(*ends)
+
+
+@register("level_grid", with_proxies("""
+SELECT * FROM (SELECT DISTINCT regex_type FROM p_tweet_counts) AS a, (SELECT DISTINCT grp FROM p_tweet_counts) AS b,
+              (SELECT DISTINCT is_rt FROM p_tweet_counts) AS c""", "p_tweet_counts"), ref="J9")
+def q_level_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All combinations of the observed levels of the daily counts."""
+    return _mixed.prediction_grid(P.tweet_counts(spark, sf_dir), ["regex_type", "grp", "is_rt"])
+
+
+_CENT = ("cent_age", "cent_male", "cent_fol", "cent_pop", "cent_bet")
+
+
+@register("account_correlations", "WITH f AS (\n" + REGISTRY["account_model_frame"].sql + "\n)\n" + "\nUNION ALL ".join(
+    f"SELECT '{a}' AS var1, '{b}' AS var2, corr({a}, {b}) AS r FROM f" for i, a in enumerate(_CENT) for b in _CENT[i + 1:]),
+          doubles=("r",), ref="A16 X12")
+def q_account_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pearson correlations of the five centred account measures."""
+    return frames.correlation_matrix(REGISTRY["account_model_frame"].fn(spark, sf_dir), list(_CENT))
+
+
+@register("row_sample", with_proxies("""
+SELECT id, grp, grp_val FROM p_accounts ORDER BY md5('587|' || id), id LIMIT 500""", "p_accounts"),
+          doubles=("grp_val",), ref="U4")
+def q_row_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repeatable sample of 500 accounts (the sample size is the feature)."""
+    return frames.sample_rows(P.accounts(spark, sf_dir).select("id", "grp", "grp_val"), 500, seed=587)
