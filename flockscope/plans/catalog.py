@@ -758,6 +758,8 @@ def q_binomial_model_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
              "m3_male": [("male",), ("male", "issuepublic")],
              "m4_log_n": [("log_n",), ("log_n", "issuepublic")]}
     full = base + [t for ts in extra.values() for t in ts]
+    whole = make_design(x11, full, factors=["issuepublic", "meta"], levels={"issuepublic": ["blm", "pol"]}, poly=["par_diff"])
+    x11 = _models.common_rows(x11, whole).persist()
     fits = {}
     for name, terms in [("base", base), *[(k, base + v) for k, v in extra.items()], ("full", full)]:
         d = make_design(x11, terms, factors=["issuepublic", "meta"], levels={"issuepublic": ["blm", "pol"]},

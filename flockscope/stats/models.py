@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .design import Design, factor_levels
-from .glm import GLMFit, binomial_fit
+from .glm import GLMFit, binomial_fit, complete
 
 
 def drop_separated_levels(df: DataFrame, fe: Sequence[str], y: str, weight: str | None) -> DataFrame:
@@ -53,10 +53,19 @@ def fe_binomial_fit(df: DataFrame, design: Design, y: str, weight: str | None, f
     return fit
 
 
+def common_rows(df: DataFrame, design: Design) -> DataFrame:
+    """Rows that are complete for a design: models compared with each other need the same rows."""
+    return df.withColumn("__x", design.array()).where(complete("__x")).drop("__x")
+
+
 def subset_models(df: DataFrame, design: Design, optional_terms: Sequence[tuple[str, ...]], y: str,
                   weight: str | None, fe: Sequence[str] = ()) -> dict[tuple, GLMFit]:
-    """One fit per subset of ``optional_terms`` (including the empty set)."""
+    """One fit per subset of ``optional_terms`` (including the empty set).
+
+    All fits use the rows that are complete for every optional term.
+    """
     fits = {}
+    df = common_rows(df, Design(design.factors, design.numeric, design.polys, [*design.terms, *optional_terms], design.intercept))
     for r in range(len(optional_terms) + 1):
         for subset in combinations(optional_terms, r):
             d = Design(design.factors, design.numeric, design.polys, [*design.terms, *subset], design.intercept)
