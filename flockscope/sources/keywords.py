@@ -1,9 +1,9 @@
 """Keyword lists (S4) and the list regex.
 
-A list file holds one regex fragment per line (first TAB field). Each line is
-trimmed and every ``#`` and ``@`` is deleted so hashtag and mention variants of a
-term match the bare word. Fragments are OR-joined inside ``\\b(...)\\b``; they
-are regex fragments (some are escaped) and are therefore *not* quoted.
+The first TAB field of a line is a piece of a pattern, not a literal, so it is
+never quoted. It is stripped of blanks and of all ``#`` and ``@``: tags, mentions
+and bare words match alike. A list becomes one alternation between word
+boundaries.
 
 Departures from the analysed pipeline, on purpose:
 

@@ -55,10 +55,3 @@ USER_DETAILS = _struct(("id", S), ("username", S), ("description", S), ("expande
 
 LOADINGS = T.StructType([T.StructField("id", L, False), T.StructField("k", I, False),
                          T.StructField("loadings", T.ArrayType(D, False), False)])
-
-# Names of the per-account audience table (one has a hyphen).
-AUDIENCE_COLUMNS = ("influencer_id", "age_avg", "source_id_count", "age_std", "age_median",
-                    "race_Asian", "race_African-American", "race_None", "race_Unknown",
-                    "race_Caucasian", "race_Hispanic", "race_Other", "party_Independent",
-                    "party_Democrat", "party_Republican", "gender_Male", "gender_Female",
-                    "gender_None", "gender_Unknown")

@@ -118,9 +118,9 @@ def bootstrap_fits(fit: GLMFit, df: DataFrame, cluster: str, reps: int = 1000, s
     base.unpersist()
     n_ok = len(out)
     if n_ok == 0:
-        raise RuntimeError(f"all {reps} bootstrap replicates failed")
+        raise RuntimeError(f"no replicate of {reps} could be fitted")
     if n_ok < reps:
-        log.warning("%d of %d replicates failed and were skipped", reps - n_ok, reps)
+        log.warning("interval from %d replicates; %d could not be fitted", n_ok, reps - n_ok)
     return out, mult
 
 
@@ -130,9 +130,8 @@ def bootstrap_curves(spark: SparkSession, fit: GLMFit, df: DataFrame, varnames:
                      batch: int = 100, level: float = 0.95) -> DataFrame:
     """Population-averaged prediction curves with cluster-bootstrap percentile CIs.
 
-    Grids are quantiles of the *original* data (continuous) or sorted unique
-    values (discrete, booleans as 0/1). Every replicate's curves come from the
-    same refit. Each task evaluates a row at a grid value for the point fit and
+    A continuous variable's grid has evenly spaced quantiles of ``df``, a discrete
+    one's all its values. One refit per replicate serves all variables. Each task evaluates a row at a grid value for the point fit and
     all replicates at once (one matrix product with the p x R coefficients)
     and weights it by its cluster's multiplicity in every replicate; per-cell
     sums are added by Spark. Cells are grid values x groups (bounded).
