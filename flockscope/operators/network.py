@@ -52,8 +52,9 @@ def top_per_cluster(y: DataFrame, n: int, grp: str = "grp", val: str = "grp_val"
 
 
 def annotation_sheet(y: DataFrame, n: int = 50,
-                     fields: tuple[str, ...] = ("username", "description", "location", "followers_count",
-                                                "following_count", "verified")) -> DataFrame:
+                     fields: tuple[str, ...] = ("username", "description", "expanded_url", "pinned_tweet_text", "location",
+                                                "followers_count", "following_count", "tweet_count",
+                                                "verified")) -> DataFrame:
     """Top n accounts per cluster with profile fields, a profile link and k = cluster.
 
     Within its own cluster an account's loading on that cluster is its maximum

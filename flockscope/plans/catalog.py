@@ -180,12 +180,14 @@ def q_top_per_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("annotation_sheet", with_proxies("""
-SELECT username, description, location, followers_count, following_count, verified,
+SELECT username, description, 'https://example.org/' || location AS expanded_url,
+       username || ' ' || description AS pinned_tweet_text, location, followers_count, following_count,
+       following_count * 7 AS tweet_count, verified,
        'https://twitter.com/intent/user?user_id=' || CAST(id AS VARCHAR) AS url, grp AS k
 FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY grp_val DESC, id) AS rn FROM p_accounts) WHERE rn <= 50""",
                                            "p_accounts"), ref="W4 F8")
 def q_annotation_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.annotation_sheet(P.accounts(spark, sf_dir), P.ANNOTATE_PER_CLUSTER)
+    return network.annotation_sheet(P.account_profiles(spark, sf_dir), P.ANNOTATE_PER_CLUSTER)
 
 
 @register("top_influencer_edges", with_proxies("""

@@ -79,6 +79,14 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def account_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts with the further profile fields of the annotation sheet."""
+    more = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.concat(F.lit("https://example.org/"), F.col("p_brand")).alias("expanded_url"),
+        F.concat_ws(" ", "p_name", "p_type").alias("pinned_tweet_text"), (F.col("p_size") * 7).cast("long").alias("tweet_count"))
+    return accounts(spark, sf_dir).join(more, "id")
+
+
 def influencers(spark: SparkSession, sf_dir: str, n: int = TOP_PER_CLUSTER) -> DataFrame:
     """(uid, grp): the top-n accounts per cluster by loading."""
     top = network.top_per_cluster(accounts(spark, sf_dir), n)
