@@ -78,6 +78,39 @@ def test_lmm_theta_zero_is_ols(spark, frame):
     assert np.allclose(beta, fit.beta, atol=1e-8)
 
 
+def test_reml_criterion_estimates_and_errors_against_dense_numpy(frame):
+    des = make_design(frame, [("pub",), ("age",)], factors=["pub"])
+    fit = mixed.mixed_fit(frame, des, "v", "grp", reml=True)
+    pdf = frame.select(des.array().alias("x"), "v", "grp").toPandas()
+    X, y = np.array(pdf.x.tolist()), pdf.v.to_numpy()
+    n, p = X.shape
+    Z = (pdf.grp.to_numpy()[:, None] == np.unique(pdf.grp)[None, :]).astype(float)
+
+    def dense(theta):
+        V = np.eye(n) + theta * Z @ Z.T
+        Vi = np.linalg.inv(V)
+        xvx = X.T @ Vi @ X
+        beta = np.linalg.solve(xvx, X.T @ Vi @ y)
+        r = y - X @ beta
+        s2 = r @ Vi @ r / (n - p)
+        m2 = (n - p) * (np.log(2 * np.pi * s2) + 1) + np.linalg.slogdet(V)[1] + np.linalg.slogdet(xvx)[1]
+        return m2, beta, s2, np.linalg.inv(xvx) * s2
+
+    m2, beta, s2, cov = dense(fit.theta)
+    assert -2 * fit.loglik == pytest.approx(m2, rel=1e-8)
+    assert np.allclose(beta, fit.beta, atol=1e-8) and fit.sigma2 == pytest.approx(s2, rel=1e-8)
+    assert fit.sigma_b2 == pytest.approx(fit.theta * s2, rel=1e-8) and np.allclose(cov, fit.cov, rtol=1e-6)
+    assert all(dense(fit.theta * f)[0] >= m2 - 1e-9 for f in (0.9, 0.99, 1.01, 1.1))
+
+
+def test_fixed_effect_slopes_equal_a_dummy_fit(frame):
+    df = frame.withColumn("grp_f", frame["grp"].cast("string"))
+    full = glm.binomial_fit(df, make_design(df, [("grp_f",), ("pub",), ("age",)], factors=["grp_f", "pub"]), "v", "total")
+    fe = models.fe_binomial_fit(df, make_design(df, [("pub",), ("age",)], factors=["pub"]), "v", "total", ["grp_f"])
+    assert fe.coef()["age"] == pytest.approx(full.coef()["age"], rel=1e-7)
+    assert fe.coef()["pubpol"] == pytest.approx(full.coef()["pubpol"], rel=1e-7) and fe.deviance == pytest.approx(full.deviance, rel=1e-9)
+
+
 def _parts(X, y, g):
     from flockscope.stats.gram import Gram
     gram = Gram(X.T @ X, X.T @ y, float(y @ y), float(len(y)), float(len(y)))
