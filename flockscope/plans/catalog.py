@@ -828,3 +828,57 @@ SELECT id, grp, grp_val FROM p_accounts ORDER BY md5('587|' || id), id LIMIT 500
 def q_row_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A repeatable sample of 500 accounts (the sample size is the feature)."""
     return frames.sample_rows(P.accounts(spark, sf_dir).select("id", "grp", "grp_val"), 500, seed=587)
+
+
+@register("saturated_fit", with_proxies(_X11_SQL + """
+SELECT issuepublic, meta, sum(v * total) / sum(total) AS fitted, CAST(count(*) AS BIGINT) AS n
+FROM x11 WHERE v IS NOT NULL AND total > 0 GROUP BY ALL""", "p_infl", "p_clust_stats"), doubles=("fitted",), ref="G5 G1")
+def q_saturated_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted proportions of the saturated model issuepublic * meta, which have a closed form."""
+    x11 = _x11(spark, sf_dir).where(F.col("v").isNotNull() & (F.col("total") > 0))
+    d = make_design(x11, star("issuepublic", "meta"), factors=["issuepublic", "meta"])
+    fit = _glm.binomial_fit(x11, d, "v", "total")
+    return (x11.select("issuepublic", "meta", fit.mu().alias("fitted"))
+            .groupBy("issuepublic", "meta").agg(F.avg("fitted").alias("fitted"), F.count(F.lit(1)).alias("n")))
+
+
+@register("fit_table", with_proxies(_X11_SQL + """,
+cells AS (SELECT issuepublic, sum(v * total) / sum(total) AS p, sum(total) AS w FROM x11
+          WHERE v IS NOT NULL AND total > 0 GROUP BY ALL),
+ab AS (SELECT max(CASE WHEN issuepublic = 'blm' THEN ln(p / (1 - p)) END) AS a, max(CASE WHEN issuepublic = 'pol' THEN ln(p / (1 - p)) END) AS b,
+              max(CASE WHEN issuepublic = 'blm' THEN 1 / (w * p * (1 - p)) END) AS va, max(CASE WHEN issuepublic = 'pol' THEN 1 / (w * p * (1 - p)) END) AS vb
+       FROM cells)
+SELECT '(Intercept)' AS term, a AS estimate, sqrt(va) AS std_error FROM ab
+UNION ALL SELECT 'issuepublicpol', b - a, sqrt(va + vb) FROM ab""", "p_infl", "p_clust_stats"),
+          doubles=("estimate", "std_error"), ref="G5 G9")
+def q_fit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficient table of a two-group logit: log-odds, their difference, and model-based errors."""
+    x11 = _x11(spark, sf_dir).where(F.col("v").isNotNull() & (F.col("total") > 0))
+    d = make_design(x11, [("issuepublic",)], factors=["issuepublic"], levels={"issuepublic": ["blm", "pol"]})
+    return _glm.coef_table(spark, _glm.binomial_fit(x11, d, "v", "total")).select("term", "estimate", "std_error")
+
+
+@register("clustered_errors", with_proxies(_X11_SQL + """,
+r AS (SELECT grp, issuepublic, total, v FROM x11 WHERE v IS NOT NULL AND total > 0),
+m AS (SELECT sum(v * total) / sum(total) AS p, sum(total) AS w FROM r),
+u AS (SELECT grp, sum(total * (v - p)) AS s FROM r, m GROUP BY grp)
+SELECT ln(any_value(p) / (1 - any_value(p))) AS estimate,
+       sqrt(sum(s * s) * count(*) / (count(*) - 1.0)) / (any_value(w) * any_value(p) * (1 - any_value(p))) AS std_error
+FROM u, m""", "p_infl", "p_clust_stats"), doubles=("estimate", "std_error"), ref="G8 G9")
+def q_clustered_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pooled log-odds with its cluster-robust standard error, which have a closed form."""
+    x11 = _x11(spark, sf_dir).where(F.col("v").isNotNull() & (F.col("total") > 0))
+    fit = _glm.binomial_fit(x11, make_design(x11, []), "v", "total")
+    return _glm.coef_table(spark, fit, _glm.cluster_vcov(fit, x11, "grp")).select("estimate", "std_error")
+
+
+@register("fe_level_fit", "WITH f AS (\n" + REGISTRY["account_model_frame"].sql + "\n)\n" + """
+SELECT grp, sum(value) / sum(total) AS fitted, CAST(count(*) AS BIGINT) AS n FROM f GROUP BY grp
+HAVING sum(value) > 0 AND sum(value) < sum(total)""", doubles=("fitted",), ref="G6 G14")
+def q_fe_level_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted values of a model with cluster effects only: each cluster's pooled proportion;
+    clusters without variation are dropped."""
+    df = _x12(spark, sf_dir)
+    fit = _models.fe_binomial_fit(df, make_design(df, []), "v", "total", ["grp"])
+    kept = df.where(F.col("grp").cast("string").isin(fit.design.factors["grp"]))
+    return kept.groupBy("grp").agg(F.avg(fit.mu()).alias("fitted"), F.count(F.lit(1)).alias("n"))
