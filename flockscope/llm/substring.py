@@ -8,16 +8,21 @@ seed is extended both ways to all windows that own it, and equal windows meet
 by hash: a window is removed where a smaller id has it too. (3) Overlapping
 removed windows merge into maximal repeats, which are cut out.
 
+Exact copies of a text are settled before: only the one with the smallest id
+goes through the steps, the others are cut whole.
+
 Hot seeds and windows (a passage in a third of all documents) are settled inside
 each batch first: only one witness per batch goes to the seed's group, the
 other rows are already decided and are dealt out by a key of their own. No
 group therefore has more rows than there are batches. Texts are shuffled once
-(both joins use the same exchange), only hashes otherwise.
+(all joins use the same exchange), only hashes and places otherwise; decided
+windows that follow each other travel as one run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -107,9 +112,14 @@ def _window_rows(window: int, seed: int):
             text_mark = np.array([xxhash.xxh32_intdigest(t or "") for t in texts], dtype=np.int64)
             begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             place = (text_mark[owner] << 32) | (start - begins[owner])
+            # a row for each open window, and for each run of decided ones
+            follows = np.zeros(len(place), bool)
+            follows[1:] = removed[1:] & removed[:-1] & (owner[1:] == owner[:-1]) & (start[1:] == start[:-1] + 1)
+            head = np.flatnonzero(~follows)
+            run_length = np.diff(np.append(head, len(place))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(two), pa.array(doc), pa.array(place), pa.array(removed)],
-                ["key", "key2", "doc", "place", "known"])
+                [pa.array(key[head].view(np.int64)), pa.array(two[head]), pa.array(doc[head]), pa.array(place[head]),
+                 pa.array(run_length), pa.array(removed[head])], ["key", "key2", "doc", "place", "n", "known"])
     return run
 
 
@@ -117,17 +127,21 @@ def _cut_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, kept = [], [], []
-            for text, places in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+            columns = (b.column(i).to_pylist() for i in (1, 2))
+            for text, copy, places, runs in zip(*columns, b.column(3), b.column(4), strict=True):
                 words = split_words(text)
                 n = len(words)
-                if places.is_valid and len(places.values):
+                if copy and n >= window:
+                    words = []
+                elif places.is_valid and len(places.values):
                     own = places.values.to_numpy(zero_copy_only=False)
-                    own = own[(own >> 32) & 0xFFFFFFFF == xxhash.xxh32_intdigest(text or "")] & 0xFFFFFFFF
+                    length = runs.values.to_numpy(zero_copy_only=False)
+                    mine = (own >> 32) & 0xFFFFFFFF == xxhash.xxh32_intdigest(text or "")
+                    own, length = own[mine] & 0xFFFFFFFF, length[mine]
                     edge = np.zeros(n + 1, dtype=np.int64)
                     np.add.at(edge, own, 1)
-                    np.add.at(edge, own + window, -1)
-                    cover = np.cumsum(edge[:n]) > 0
-                    words = [w for w, gone in zip(words, cover.tolist(), strict=True) if not gone]
+                    np.add.at(edge, own + length + window - 1, -1)
+                    words = list(compress(words, (np.cumsum(edge[:n]) == 0).tolist()))
                 n_words.append(n)
                 n_removed.append(n - len(words))
                 kept.append(b" ".join(words).decode("utf-8"))
@@ -152,17 +166,27 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     known = rows.where("id IS NOT NULL")
-    seeds = known.mapInArrow(_seed_rows(window, seed), "key long, seed long, doc long, known boolean")
+    marks = known.select("id", F.xxhash64("text").alias("m1"), F.hash("text").alias("m2"), F.octet_length("text").alias("m3"))
+    least = marks.groupBy("m1", "m2", "m3").agg(F.min("id").alias("least"))
+    copies = (marks.join(least, ["m1", "m2", "m3"]).where("least < id")
+              .groupBy("id").agg(F.collect_set("m1").alias("marks")).withColumnRenamed("id", "copy_id"))
+    is_copy = F.coalesce(F.array_contains("marks", F.xxhash64("text")), F.lit(False))
+    # every join below is on id, so they all read this one exchange of the texts
+    texts = known.join(copies, known["id"] == copies["copy_id"], "left").select("id", "text", is_copy.alias("copy"))
+    seeds = texts.where("NOT copy").select("id", "text").mapInArrow(
+        _seed_rows(window, seed), "key long, seed long, doc long, known boolean")
     group = Window.partitionBy("key")
     shared = (seeds.withColumn("many", F.min("doc").over(group) != F.max("doc").over(group))
               .where("known OR many").groupBy("doc").agg(F.collect_list("seed").alias("seeds")))
     extended = (known.join(shared, known["id"] == shared["doc"])
                 .select("id", "text", "seeds")
-                .mapInArrow(_window_rows(window, seed), "key long, key2 int, doc long, place long, known boolean"))
+                .mapInArrow(_window_rows(window, seed), "key long, key2 int, doc long, place long, n int, known boolean"))
     same = Window.partitionBy("key", "key2")
     gone = (extended.withColumn("least", F.min("doc").over(same)).where("known OR least < doc")
-            .groupBy("doc").agg(F.collect_list("place").alias("places")))
-    out = known.join(gone, known["id"] == gone["doc"], "left").select("id", "text", "places")
-    anonymous = rows.where("id IS NULL").withColumn("places", F.lit(None).cast("array<long>"))
+            .groupBy("doc").agg(F.collect_list("place").alias("places"), F.collect_list("n").alias("runs")))
+    out = texts.join(gone, texts["id"] == gone["doc"], "left").select("id", "text", "copy", "places", "runs")
+    anonymous = rows.where("id IS NULL").select(
+        "id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<long>").alias("places"),
+        F.lit(None).cast("array<int>").alias("runs"))
     return out.unionByName(anonymous).mapInArrow(
         _cut_rows(window), "id long, n_words long, n_removed long, kept_text string")
