@@ -164,29 +164,30 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     any, so its row stays whole and cuts nothing. Empty table: empty result.
     Windows are compared by 95 bits of hash.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("body"))
     known = rows.where("id IS NOT NULL")
-    marks = known.select("id", F.xxhash64("text").alias("m1"), F.hash("text").alias("m2"), F.octet_length("text").alias("m3"))
+    marks = known.select("id", F.xxhash64("body").alias("m1"), F.hash("body").alias("m2"), F.octet_length("body").alias("m3"))
     least = marks.groupBy("m1", "m2", "m3").agg(F.min("id").alias("least"))
     copies = (marks.join(least, ["m1", "m2", "m3"]).where("least < id")
               .groupBy("id").agg(F.collect_set("m1").alias("marks")).withColumnRenamed("id", "copy_id"))
-    is_copy = F.coalesce(F.array_contains("marks", F.xxhash64("text")), F.lit(False))
-    # every join below is on id, so they all read this one exchange of the texts
-    texts = known.join(copies, known["id"] == copies["copy_id"], "left").select("id", "text", is_copy.alias("copy"))
-    seeds = texts.where("NOT copy").select("id", "text").mapInArrow(
+    is_copy = F.coalesce(F.array_contains("marks", F.xxhash64("body")), F.lit(False))
+    # every join below is on id, so they all read this one exchange of the texts (the column has a new name
+    # because an alias that changes nothing is dropped in some branches, which then do not count as equal)
+    texts = known.join(copies, known["id"] == copies["copy_id"], "left").select("id", "body", is_copy.alias("copy"))
+    seeds = texts.where("NOT copy").select("id", "body").mapInArrow(
         _seed_rows(window, seed), "key long, seed long, doc long, known boolean")
     group = Window.partitionBy("key")
     shared = (seeds.withColumn("many", F.min("doc").over(group) != F.max("doc").over(group))
               .where("known OR many").groupBy("doc").agg(F.collect_list("seed").alias("seeds")))
     extended = (known.join(shared, known["id"] == shared["doc"])
-                .select("id", "text", "seeds")
+                .select("id", "body", "seeds")
                 .mapInArrow(_window_rows(window, seed), "key long, key2 int, doc long, place long, n int, known boolean"))
     same = Window.partitionBy("key", "key2")
     gone = (extended.withColumn("least", F.min("doc").over(same)).where("known OR least < doc")
             .groupBy("doc").agg(F.collect_list("place").alias("places"), F.collect_list("n").alias("runs")))
-    out = texts.join(gone, texts["id"] == gone["doc"], "left").select("id", "text", "copy", "places", "runs")
+    out = texts.join(gone, texts["id"] == gone["doc"], "left").select("id", "body", "copy", "places", "runs")
     anonymous = rows.where("id IS NULL").select(
-        "id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<long>").alias("places"),
+        "id", "body", F.lit(False).alias("copy"), F.lit(None).cast("array<long>").alias("places"),
         F.lit(None).cast("array<int>").alias("runs"))
     return out.unionByName(anonymous).mapInArrow(
         _cut_rows(window), "id long, n_words long, n_removed long, kept_text string")
