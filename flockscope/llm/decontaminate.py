@@ -11,8 +11,8 @@ the copy. An alignment that scores enough is a leak.
 
 Membership is tested against a bitmap of fixed size (``SLOTS`` bits) whatever
 the size of the benchmark; the joins settle what the bitmap lets through. Only
-stretches are shuffled, not texts. Words are compared in lower case (A-Z) and
-without punctuation at their ends.
+stretches are shuffled, not texts. Words are compared in lower case and without
+punctuation at their ends.
 """
 
 from __future__ import annotations
@@ -80,10 +80,17 @@ def _hits(b: pa.RecordBatch, col: int, n: int, bits: np.ndarray, memo: WordHash)
     return lists, start[hit] - begins[owner[hit]], owner[hit], grams[hit]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller pieces: word lists take many times the memory of their texts."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _gram_counts(n: int, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, table = PlainWordHash(), np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
-        for b in batches:
+        for b in _slices(batches):
             _, _, owner, grams = _hits(b, 0, n, table, memo)
             order = np.lexsort((owner, grams))
             g, o = grams[order], owner[order]
@@ -97,7 +104,7 @@ def _gram_counts(n: int, bits):
 def _stretches(n: int, reach: int, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, table = PlainWordHash(), np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
-        for b in batches:
+        for b in _slices(batches):
             lists, place, owner, grams = _hits(b, 2, n, table, memo)
             rows, froms, texts, seeds = [], [], [], []
             if len(place):
