@@ -30,7 +30,7 @@ from flockscope.llm.wordarrays import WordHash, hash_words, split_words, window_
 
 SLOTS = 1 << 22
 MATCH, MISMATCH, GAP = 2, -1, -1
-TRIM = b".,;:!?\"'()[]{}"
+TRIM = ".,;:!?\"'()[]{}“”‘’«»¿¡"
 
 
 class PlainWordHash(WordHash):
@@ -39,7 +39,8 @@ class PlainWordHash(WordHash):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.lower().strip(TRIM) or word)
+        plain = word.decode("utf-8").lower().strip(TRIM)
+        h = self[word] = xxhash.xxh64_intdigest(plain.encode("utf-8") if plain else word)
         return h
 
 

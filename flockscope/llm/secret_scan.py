@@ -77,7 +77,7 @@ def ownership(candidates: DataFrame, max_owners: int, max_repos: int) -> DataFra
 
 def scan(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id",
          max_owners: int = 1, max_repos: int = 5) -> DataFrame:
-    """``_row`` (the input row) with ``base``, ``added`` (span arrays), ``n_live``, ``n_copied``.
+    """``_row`` (the input row without its text) with ``base``, ``added`` (span arrays), ``n_live``, ``n_copied``.
 
     Spans are structs (s, k, e): start, kind number, end. ``n_live`` and
     ``n_copied`` count the row's candidates (base values and opaque tokens that
