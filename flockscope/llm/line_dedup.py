@@ -49,10 +49,12 @@ def repeated_lines(rows: DataFrame, min_run: int) -> DataFrame:
     place = F.xxhash64("id", "rk", "at")
     shared = (found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b"))
               .where("a != b").select("fp"))
-    extended = found.join(shared, "fp")
+    # windows meet by keys of their own, not by the fingerprint: so no fingerprint's rows need stay together,
+    # Spark may split a hot one in the join, and equal windows are reduced before they are shuffled
+    extended = found.join(shared, "fp").select("id", "rk", "s", "key", F.xxhash64("fp", "key").alias("key2"), "li")
     here = F.struct("id", "rk", "s")
-    first = extended.groupBy("fp", "key").agg(F.min(here).alias("first"))
-    later = extended.join(first, ["fp", "key"]).where(here != F.col("first"))
+    first = extended.groupBy("key", "key2").agg(F.min(here).alias("first"))
+    later = extended.join(first, ["key", "key2"]).where(here != F.col("first"))
     return later.groupBy("id", "rk").agg(F.flatten(F.collect_list("li")).alias("gone"))
 
 
