@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flockscope.llm.common import BLANKS, boxed, let
+from flockscope.llm.common import BLANKS, boxed, let, write_shared
 
 LINES = "array<struct<fp:bigint,at:int,s:int,key:bigint,li:array<int>>>"
 
@@ -49,11 +49,13 @@ def repeated_lines(rows: DataFrame, min_run: int) -> DataFrame:
     place = F.xxhash64("id", "rk", "at")
     shared = (found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b"))
               .where("a != b").select("fp"))
+    shared = write_shared(shared, "line-seeds")  # read back as a plain side, so that Spark may split a hot join
     # windows meet by keys of their own, not by the fingerprint: so no fingerprint's rows need stay together,
     # Spark may split a hot one in the join, and equal windows are reduced before they are shuffled
-    extended = found.join(shared, "fp").select("id", "rk", "s", "key", F.xxhash64("fp", "key").alias("key2"), "li")
+    extended = write_shared(found.join(shared, "fp").select("id", "rk", "s", "key", F.xxhash64("fp", "key").alias("key2"), "li"),
+                            "line-windows")
     here = F.struct("id", "rk", "s")
-    first = extended.groupBy("key", "key2").agg(F.min(here).alias("first"))
+    first = write_shared(extended.groupBy("key", "key2").agg(F.min(here).alias("first")), "line-firsts")
     later = extended.join(first, ["key", "key2"]).where(here != F.col("first"))
     return later.groupBy("id", "rk").agg(F.flatten(F.collect_list("li")).alias("gone"))
 
