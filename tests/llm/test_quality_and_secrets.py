@@ -52,7 +52,8 @@ def test_quality_against_brute_force(spark):
         for b in grams(t, 512):
             raw[b] += 1
             tgt[b] += i in trusted
-    lr = [round(math.log((t + 1) / (sum(tgt) + 512)) - math.log((r + 1) / (sum(raw) + 512)), 9) for t, r in zip(tgt, raw, strict=True)]
+    want = [r * sum(tgt) / sum(raw) for r in raw]
+    lr = [round(math.log((t + 1) / (e + 1)), 9) if e >= 5 else 0.0 for t, e in zip(tgt, want, strict=True)]
     rejected = 0
     for i, t in enumerate(texts):
         g, r = grams(t, 512), got[i]
