@@ -16,7 +16,7 @@ each batch first: only one witness per batch goes to the seed's group, the
 other rows are already decided and are dealt out by a key of their own. No
 group therefore has more rows than there are batches. Texts are shuffled once
 (all joins use the same exchange), only hashes and places otherwise; decided
-windows that follow each other travel as one run.
+windows that follow each other, and equal ones of a text, travel as one run.
 """
 
 from __future__ import annotations
@@ -86,6 +86,28 @@ def _seed_rows(window: int, seed: int):
     return run
 
 
+def _runs(start: np.ndarray, owner: np.ndarray, one: np.ndarray, two: np.ndarray, removed: np.ndarray):
+    """``(first row, count, step)``: windows that share a verdict, as evenly spaced runs.
+
+    Decided windows of a text run on wherever they follow each other. Open ones
+    run over the equal windows of a text, so text that repeats itself ("a b a b")
+    sends a row for each of its windows' contents and not for each place.
+    """
+    text, first, second = owner.astype(np.int64), np.where(removed, 0, one), np.where(removed, 0, two)
+    order = np.lexsort((start, second, first, removed, text))
+    t, f, s, r, at = text[order], first[order], second[order], removed[order], start[order]
+    same = np.zeros(len(order), bool)
+    same[1:] = (t[1:] == t[:-1]) & (r[1:] == r[:-1]) & (f[1:] == f[:-1]) & (s[1:] == s[:-1])
+    gap = np.ones(len(order), dtype=np.int64)
+    gap[1:] = at[1:] - at[:-1]
+    on = same & (~r | (gap == 1))
+    on[1:] &= ~on[:-1] | (gap[1:] == gap[:-1])  # a run keeps its step
+    head = np.flatnonzero(~on)
+    count = np.diff(np.append(head, len(order)))
+    step = np.where(count > 1, gap[np.minimum(head + 1, len(order) - 1)], 1)
+    return order[head], count.astype(np.int32), step.astype(np.int32)
+
+
 def _window_rows(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
@@ -112,14 +134,11 @@ def _window_rows(window: int, seed: int):
             text_mark = np.array([xxhash.xxh32_intdigest(t or "") for t in texts], dtype=np.int64)
             begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             place = (text_mark[owner] << 32) | (start - begins[owner])
-            # a row for each open window, and for each run of decided ones
-            follows = np.zeros(len(place), bool)
-            follows[1:] = removed[1:] & removed[:-1] & (owner[1:] == owner[:-1]) & (start[1:] == start[:-1] + 1)
-            head = np.flatnonzero(~follows)
-            run_length = np.diff(np.append(head, len(place))).astype(np.int32)
+            row, n, step = _runs(start, owner, one, two, removed)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[head].view(np.int64)), pa.array(two[head]), pa.array(doc[head]), pa.array(place[head]),
-                 pa.array(run_length), pa.array(removed[head])], ["key", "key2", "doc", "place", "n", "known"])
+                [pa.array(key[row].view(np.int64)), pa.array(two[row]), pa.array(doc[row]), pa.array(place[row]),
+                 pa.array(n), pa.array(step), pa.array(removed[row])],
+                ["key", "key2", "doc", "place", "n", "step", "known"])
     return run
 
 
@@ -128,19 +147,20 @@ def _cut_rows(window: int):
         for b in batches:
             n_words, n_removed, kept = [], [], []
             columns = (b.column(i).to_pylist() for i in (1, 2))
-            for text, copy, places, runs in zip(*columns, b.column(3), b.column(4), strict=True):
+            for text, copy, runs in zip(*columns, b.column(3), strict=True):
                 words = split_words(text)
                 n = len(words)
                 if copy and n >= window:
                     words = []
-                elif places.is_valid and len(places.values):
-                    own = places.values.to_numpy(zero_copy_only=False)
-                    length = runs.values.to_numpy(zero_copy_only=False)
-                    mine = (own >> 32) & 0xFFFFFFFF == xxhash.xxh32_intdigest(text or "")
-                    own, length = own[mine] & 0xFFFFFFFF, length[mine]
+                elif runs.is_valid and len(runs.values):
+                    first, count, step = (runs.values.field(c).to_numpy(zero_copy_only=False) for c in ("place", "n", "step"))
+                    mine = (first >> 32) & 0xFFFFFFFF == xxhash.xxh32_intdigest(text or "")
+                    first, count, step = first[mine] & 0xFFFFFFFF, count[mine], step[mine].astype(np.int64)
+                    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    own = np.repeat(first, count) + nth * np.repeat(step, count)
                     edge = np.zeros(n + 1, dtype=np.int64)
                     np.add.at(edge, own, 1)
-                    np.add.at(edge, own + length + window - 1, -1)
+                    np.add.at(edge, own + window, -1)
                     words = list(compress(words, (np.cumsum(edge[:n]) == 0).tolist()))
                 n_words.append(n)
                 n_removed.append(n - len(words))
@@ -181,13 +201,12 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
               .where("known OR many").groupBy("doc").agg(F.collect_list("seed").alias("seeds")))
     extended = (known.join(shared, known["id"] == shared["doc"])
                 .select("id", "body", "seeds")
-                .mapInArrow(_window_rows(window, seed), "key long, key2 int, doc long, place long, n int, known boolean"))
+                .mapInArrow(_window_rows(window, seed), "key long, key2 int, doc long, place long, n int, step int, known boolean"))
     same = Window.partitionBy("key", "key2")
     gone = (extended.withColumn("least", F.min("doc").over(same)).where("known OR least < doc")
-            .groupBy("doc").agg(F.collect_list("place").alias("places"), F.collect_list("n").alias("runs")))
-    out = texts.join(gone, texts["id"] == gone["doc"], "left").select("id", "body", "copy", "places", "runs")
+            .groupBy("doc").agg(F.collect_list(F.struct("place", "n", "step")).alias("runs")))
+    out = texts.join(gone, texts["id"] == gone["doc"], "left").select("id", "body", "copy", "runs")
     anonymous = rows.where("id IS NULL").select(
-        "id", "body", F.lit(False).alias("copy"), F.lit(None).cast("array<long>").alias("places"),
-        F.lit(None).cast("array<int>").alias("runs"))
+        "id", "body", F.lit(False).alias("copy"), F.lit(None).cast("array<struct<place:long,n:int,step:int>>").alias("runs"))
     return out.unionByName(anonymous).mapInArrow(
         _cut_rows(window), "id long, n_words long, n_removed long, kept_text string")
