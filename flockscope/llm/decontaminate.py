@@ -1,13 +1,16 @@
-"""Operator 10 - benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
+"""Operator 10 - benchmark decontamination: n-gram seeds, then Smith-Waterman.
 
-(1) All n-grams of all documents that may belong to a test item are counted by
-document. (2) Of every ``spread`` neighbouring n-grams of an item the rarest in
-the corpus becomes a seed, so any verbatim run of ``spread + n - 1`` item words
-holds one, and common phrases are passed over wherever a rarer one stands near.
-(3) Documents are read again; stretches around seed hits meet the items by an
-equi-join on the seed. (4) Each (stretch, item) is aligned word by word with
-Smith-Waterman; edits, insertions and losses lower the score instead of hiding
-the copy. An alignment that scores enough is a leak.
+(1) Every n-gram of a test item is a seed, however common: which words an edit
+has spared is not known beforehand. (2) Documents are read once; stretches
+around seed hits meet the items by an equi-join on the seed. A stretch reaches
+as far as an alignment that scores enough can, so none is cut off. (3) Each
+(stretch, item) is aligned word by word with Smith-Waterman; edits, insertions
+and losses lower the score instead of hiding the copy. An alignment that scores
+enough is a leak. Pairs with too few words in common for such a score are
+settled by that bound.
+
+Every alignment that scores enough and holds ``n`` words of the item in a row
+is found; one without such a run has no seed.
 
 Membership is tested against a bitmap of fixed size (``SLOTS`` bits) whatever
 the size of the benchmark; the joins settle what the bitmap lets through. Only
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flockscope.llm.common import boxed, write_shared
@@ -51,11 +54,9 @@ def _item_grams(n: int):
             h, lengths = hash_words((split_words(t) for t in b.column(1).to_pylist()), memo)
             start, owner = window_starts(lengths, n)
             grams = window_hashes(h, n)[start]
-            begins = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(owner)), pa.array(grams.view(np.int64)),
-                 pa.array((start - begins[owner]).astype(np.int32)), pa.array(lengths[owner].astype(np.int32))],
-                ["item_id", "gram", "at", "item_words"])
+                 pa.array(lengths[owner].astype(np.int32))], ["item_key", "gram", "item_words"])
     return run
 
 
@@ -70,9 +71,9 @@ def bitmap(grams: DataFrame) -> np.ndarray:
     return np.unpackbits(cells.view(np.uint8), bitorder="little").astype(bool)
 
 
-def _hits(b: pa.RecordBatch, col: int, n: int, bits: np.ndarray, memo: WordHash):
+def _hits(b: pa.RecordBatch, n: int, bits: np.ndarray, memo: WordHash):
     """Word lists, ``(place, owner, gram)`` of the n-grams the bitmap lets through, first word of each text."""
-    lists = [split_words(t) for t in b.column(col).to_pylist()]
+    lists = [split_words(t) for t in b.column(2).to_pylist()]
     h, lengths = hash_words(lists, memo)
     start, owner = window_starts(lengths, n)
     grams = window_hashes(h, n)[start] if len(start) else np.empty(0, np.uint64)
@@ -88,25 +89,11 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
             yield b.slice(at, rows)
 
 
-def _gram_counts(n: int, bits):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, table = PlainWordHash(), np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
-        for b in _slices(batches):
-            _, _, owner, grams = _hits(b, 0, n, table, memo)
-            order = np.lexsort((owner, grams))
-            g, o = grams[order], owner[order]
-            once = np.ones(len(g), bool)
-            once[1:] = (g[1:] != g[:-1]) | (o[1:] != o[:-1])
-            g, c = np.unique(g[once], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], ["gram", "n_docs"])
-    return run
-
-
 def _stretches(n: int, reach: int, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, table = PlainWordHash(), np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
         for b in _slices(batches):
-            lists, place, owner, grams = _hits(b, 2, n, table, memo)
+            lists, place, owner, grams = _hits(b, n, table, memo)
             rows, froms, texts, seeds = [], [], [], []
             if len(place):
                 apart = np.ones(len(place), bool)
@@ -148,13 +135,16 @@ def align(items: list[np.ndarray], stretches: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def _aligned(full: int):
+def _aligned(full: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = PlainWordHash()
         words = lambda t: np.fromiter(map(memo.__getitem__, split_words(t)), dtype=np.uint64)
         for b in batches:
             items, parts = [words(t) for t in b.column(3).to_pylist()], [words(t) for t in b.column(4).to_pylist()]
-            order = sorted(range(len(items)), key=lambda i: (len(parts[i]), len(items[i])))
+            # an alignment cannot match more words than the item has in the stretch
+            able = [i for i, (a, p) in enumerate(zip(items, parts, strict=True))
+                    if np.isin(a, p).sum() >= threshold * min(len(a), full) - 1e-9]
+            order = sorted(able, key=lambda i: (len(parts[i]), len(items[i])))
             score, at = np.zeros(len(items)), 0
             while at < len(order):  # pairs of like length together, a bounded number of cells at a time
                 step = at + 1
@@ -170,46 +160,39 @@ def _aligned(full: int):
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 3,
-               spread: int = 4, threshold: float = 0.6, full: int = 40) -> DataFrame:
+               threshold: float = 0.6, full: int = 40) -> DataFrame:
     """``(id, rk, item_id, similarity)`` of every document with a copy of a test item.
 
     ``items`` has ``item_id`` and ``text``. Similarity is the best alignment
     score over that of a verbatim copy (of ``full`` words, for longer items);
-    a leak has ``threshold`` or more. ``rk`` is the text's hash: rows of equal id
+    a leak has ``threshold`` or more and ``n`` words of the item in a row. ``rk`` is the text's hash: rows of equal id
     and text give one result. Null and blank texts and items and items of fewer
     than ``n`` words match nothing. Items repeated under an id count as one item
     each, the best similarity is given; null ids are results like others.
-    Empty tables give empty results. Counting runs when the plan is built.
+    Empty tables give empty results. Seeds and stretches are written when the
+    plan is built.
     """
     spark = docs.sparkSession
     given = items.select("item_id", F.col("text").alias("item_text")).where("item_text IS NOT NULL")
-    schema = f"item_id {dict(given.dtypes)['item_id']}, gram long, at int, item_words int"
     keyed = given.withColumn("item_key", F.xxhash64("item_text"))
-    grams = write_shared(keyed.select("item_key", "item_text").distinct()
-                         .mapInArrow(_item_grams(n), schema.replace(dict(given.dtypes)["item_id"], "long", 1)), "item-grams")
-    pack = lambda bits: spark.sparkContext.broadcast(np.packbits(bits).tobytes())
+    seeds = write_shared(keyed.select("item_key", "item_text").distinct().mapInArrow(
+        _item_grams(n), "item_key long, gram long, item_words int").distinct(), "item-seeds")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("rk"),
                         F.col(f"`{text_col}`").alias("text"))
-    counts = (texts.select("text").mapInArrow(_gram_counts(n, pack(bitmap(grams))), "gram long, n_docs long")
-              .groupBy("gram").agg(F.sum("n_docs").alias("n_docs")))
-    ranked = grams.join(counts, "gram", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
-    ahead = Window.partitionBy("item_id").orderBy("at").rowsBetween(0, spread - 1)
-    last = F.greatest(F.max("at").over(Window.partitionBy("item_id")) - (spread - 1), F.lit(0))
-    rarest = ranked.withColumn("pick", F.min(F.struct("n_docs", "gram")).over(ahead)).withColumn("last", last)
-    seeds = write_shared(rarest.where("at <= last").select(F.col("item_id").alias("item_key"), F.col("pick.gram").alias("gram"),
-                                                           "item_words").distinct(), "item-seeds")
-    longest = seeds.agg(F.max("item_words")).first()[0]
-    reach = int((longest or 0) * 1.25) + 8
+    # m matches of an item of L words pay for 2 m - score further words, so an alignment spans at most 3 L - score
+    longest = seeds.agg(F.max("item_words")).first()[0] or 0
+    reach = (MATCH + 1) * longest - int(MATCH * threshold * min(longest, full))
+    bits = spark.sparkContext.broadcast(np.packbits(bitmap(seeds)).tobytes())
     schema = f"id {dict(texts.dtypes)['id']}, rk long, begin long, stretch string, seeds array<long>"
     near = write_shared(texts.select("id", "rk", "text").mapInArrow(
-        _stretches(n, reach, pack(bitmap(seeds))), schema).distinct(), "leak-stretches")
+        _stretches(n, reach, bits), schema).distinct(), "leak-stretches")
     same = lambda a, b: a["rk"].eqNullSafe(b["rk"]) & a["id"].eqNullSafe(b["id"]) & (a["begin"] == b["begin"])
     met = (near.select("id", "rk", "begin", F.explode("seeds").alias("gram")).join(seeds.select("item_key", "gram"), "gram")
            .select("id", "rk", "begin", "item_key").distinct())
     pairs = (met.join(near, same(met, near)).select(met["id"], met["rk"], "item_key", "stretch")
              .join(keyed, "item_key").select("id", "rk", "item_id", "item_text", "stretch"))
     schema = f"id {dict(texts.dtypes)['id']}, rk long, item_id {dict(given.dtypes)['item_id']}, similarity double"
-    return (pairs.mapInArrow(_aligned(full), schema).where(F.col("similarity") >= threshold)
+    return (pairs.mapInArrow(_aligned(full, threshold), schema).where(F.col("similarity") >= threshold)
             .groupBy("id", "rk", "item_id").agg(F.max("similarity").alias("similarity")))
 
 

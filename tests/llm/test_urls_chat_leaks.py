@@ -129,3 +129,32 @@ def test_every_verbatim_run_holds_a_seed(spark):
     texts = [f"{prose(rng, 20, 9)} {' '.join(w[p:p + 30])} {prose(rng, 20, 9)}" for p in range(0, 20)]
     got = decontaminate.find_leaks(documents(spark, texts), spark.createDataFrame([(1, item)], "item_id int, text string"), threshold=0.5)
     assert got.count() == len(texts) and all(words(t) for t in texts)
+
+
+def test_edited_copies_against_alignment_of_all_pairs(spark):
+    rng = random.Random(3)
+    common = ["of the end", "in the end", "to the end"]
+    items = [[*prose(rng, rng.randrange(18, 50), 100_000).split(), *rng.choice(common).split()] for _ in range(12)]
+    edits = {"replaced": lambda w, i: [f"new{i}"], "inserted": lambda w, i: [w, f"new{i}"], "dropped": lambda w, i: []}
+    texts = [" ".join(w) for w in items]  # the grams that edits remove stand in the verbatim copies
+    for w in items:
+        for every in (4, 5, 6):
+            for edit in edits.values():
+                copy = [y for i, x in enumerate(w) for y in (edit(x, i) if i % every == every - 1 else [x])]
+                texts.append(f"{prose(rng, 20, 100_000)} {' '.join(copy)} {prose(rng, 20, 100_000)}")
+    # a run of three at one end, then pairs of words with one more between: as far as an alignment can reach
+    texts += [" ".join([*w[:3], *(y for i in range(3, len(w)) for y in ([w[i], "more"] if i % 2 else [w[i]]))]) for w in items]
+    texts += [f"{prose(rng, 40, 100_000)} {rng.choice(common)} {prose(rng, 40, 100_000)}" for _ in range(40)]
+    grams = [set(zip(w, w[1:], w[2:], strict=False)) for w in items]
+    want = {}
+    for d, t in enumerate(texts):
+        w = t.split()
+        for i, item in enumerate(items):
+            if grams[i] & set(zip(w, w[1:], w[2:], strict=False)):
+                score = smith_waterman(item, w) / (decontaminate.MATCH * min(len(item), 40))
+                if score >= 0.6:
+                    want[d, i] = round(min(score, 1.0), 6)
+    assert len(want) >= 11 * len(items)
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id int, text string")
+    got = {(r.id, r.item_id): round(r.similarity, 6) for r in decontaminate.find_leaks(documents(spark, texts), table).collect()}
+    assert got == want
