@@ -179,3 +179,22 @@ def test_lines_against_brute_force(spark):
         key = lambda r: (r[0] is None, r[0] or 0, str(r[3]), r[1])
         assert sorted(got, key=key) == sorted(cut_lines(list(zip(ids, texts, strict=True)), run), key=key)
     assert line_dedup.dedup_lines(documents(spark, [])).collect() == []
+
+
+def test_long_lines_that_stand_alone(spark):
+    rng = random.Random(13)
+    pool = [" ".join(f"l{i}w{j}" for j in range(n)) for i, n in enumerate([1, 3, 7, 11, 12, 12, 13, 60, 300])] + ["", " "]
+    texts = ["\n".join(rng.choice(pool) if rng.random() < 0.4 else f"own {rng.random()}" for _ in range(rng.randrange(1, 9))) for _ in range(80)]
+    texts += [pool[8], pool[7] + "\n" + pool[7], None, ""]
+    first, want = {}, []
+    for i, t in enumerate(texts):
+        lines, gone = t.split("\n") if t is not None else [], set()
+        full = [j for j, x in enumerate(lines) if words(x)]
+        windows = [full[s:s + 2] for s in range(len(full) - 1)] + [[j] for j in full if len(words(lines[j])) >= 12]
+        for at in windows:
+            if first.setdefault(tuple(lines[j] for j in at), (i, at)) != (i, at):
+                gone.update(at)
+        want.append((i, len(lines), len(gone), None if t is None else "\n".join(x for j, x in enumerate(lines) if j not in gone)))
+    got = [(r["_row"].doc_id, r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.dedup_lines(documents(spark, texts), long_line=12).collect()]
+    assert sorted(got) == want
+    assert any(n for _, _, n, _ in want[80:82])
