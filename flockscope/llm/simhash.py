@@ -108,6 +108,21 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, pair_bucket: int = 64) ->
     return links.distinct()
 
 
+def _grouped(docs: DataFrame, text_col: str, id_col: str, shingle: int, radius: int, **more: Column) -> DataFrame:
+    """``id``, ``fp``, the columns of ``more`` and ``component_id`` of every row."""
+    rows = boxed(docs).select(F.col(f"_row.`{id_col}`").alias("id"),
+                              fingerprints(F.col(f"_row.`{text_col}`"), shingle).alias("fp"),
+                              *[c.alias(k) for k, c in more.items()])
+    rows = write_shared(rows, "simhash-fingerprints")
+    distinct = write_shared(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-distinct")
+    comps = connected_components(fingerprint_links(distinct.select("fp"), radius))
+    named = distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left") \
+        .withColumn("root", F.coalesce("root", "fp"))
+    heads = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    by_fp = named.join(heads, "root").select("fp", "component_id")
+    return rows.join(by_fp, "fp")
+
+
 def near_duplicate_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                           shingle: int = 3, radius: int = 2) -> DataFrame:
     """Rows ``(id, fingerprint_value, component_id)``, one per input row.
@@ -119,16 +134,8 @@ def near_duplicate_groups(docs: DataFrame, text_col: str = "text", id_col: str =
     an id). Null and blank texts have fingerprint 0. An empty table gives an
     empty result. Ties need no rule: the smallest id is unique.
     """
-    rows = boxed(docs).select(F.col(f"_row.`{id_col}`").alias("id"),
-                              fingerprints(F.col(f"_row.`{text_col}`"), shingle).alias("fp"))
-    rows = write_shared(rows, "simhash-fingerprints")
-    distinct = write_shared(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-distinct")
-    comps = connected_components(fingerprint_links(distinct.select("fp"), radius))
-    named = distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left") \
-        .withColumn("root", F.coalesce("root", "fp"))
-    heads = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.join(heads, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("id", F.col("fp").alias("fingerprint_value"), "component_id")
+    groups = _grouped(docs, text_col, id_col, shingle, radius)
+    return groups.select("id", F.col("fp").alias("fingerprint_value"), "component_id")
 
 
 def hex16(fp: Column) -> Column:
@@ -141,12 +148,12 @@ def keep_representatives(docs: DataFrame, text_col: str = "text", id_col: str =
 
     Input columns are returned unchanged. Rows with a null id are kept: they
     cannot be told apart and never name a group. Rows repeating the naming id
-    are one document, so one of them stays.
+    are one document, so one of them stays: one whose own group the id names.
     """
-    groups = near_duplicate_groups(docs, text_col, id_col, shingle, radius)
-    heads = groups.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("_keep")).distinct()
     rows = boxed(docs)
-    key = F.col(f"_row.`{id_col}`")
-    named = (rows.join(heads, key == F.col("_keep"), "left_semi").groupBy(key.alias("_id"))
-             .agg(F.min_by("_row", F.xxhash64(F.col(f"_row.`{text_col}`"))).alias("_row")))
+    key, rk = F.col(f"_row.`{id_col}`"), F.xxhash64(F.col(f"_row.`{text_col}`"))
+    groups = _grouped(docs, text_col, id_col, shingle, radius, rk=rk)
+    heads = groups.where(F.col("id") == F.col("component_id")).groupBy(F.col("id").alias("_keep")).agg(F.min("rk").alias("_rk"))
+    named = (rows.join(heads, (key == F.col("_keep")) & (rk == F.col("_rk")), "left_semi").groupBy(key.alias("_id"))
+             .agg(F.min_by("_row", rk).alias("_row")))
     return named.select("_row.*").unionByName(rows.where(key.isNull()).select("_row.*"))

@@ -198,3 +198,13 @@ def test_long_lines_that_stand_alone(spark):
     got = [(r["_row"].doc_id, r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.dedup_lines(documents(spark, texts), long_line=12).collect()]
     assert sorted(got) == want
     assert any(n for _, _, n, _ in want[80:82])
+
+
+def test_representative_of_a_repeated_id_is_in_the_group_it_names(spark):
+    rng = random.Random(14)
+    for _ in range(2):
+        a, b = (" ".join(prose(rng, 300, 10_000).split()) for _ in range(2))
+        for low, other in ((a, b), (b, a)):
+            # 7 names the group of ``other`` only: that of ``low`` is named by 1
+            kept = simhash.keep_representatives(documents(spark, [low, low, other], [1, 7, 7])).collect()
+            assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, low), (7, other)])
