@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flockscope.llm.common import boxed, write_shared
-from flockscope.llm.wordarrays import WordHash, hash_words, split_words, window_hashes, window_starts
+from flockscope.llm.wordarrays import LONGEST, WordHash, hash_words, split_words, window_hashes, window_starts
 
 SLOTS = 1 << 22
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -40,10 +40,12 @@ class PlainWordHash(WordHash):
     """Hash of a word in lower case without punctuation at its ends."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
         plain = word.decode("utf-8").lower().strip(TRIM)
-        h = self[word] = xxhash.xxh64_intdigest(plain.encode("utf-8") if plain else word)
+        h = xxhash.xxh64_intdigest(plain.encode("utf-8") if plain else word)
+        if len(word) <= LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = h
         return h
 
 

@@ -13,12 +13,14 @@ from flockscope.llm import (
     chat,
     decontaminate,
     line_dedup,
+    minhash,
     quality,
     secret_scan,
     simhash,
     substring,
     token_counts,
     url_filter,
+    whitening,
 )
 from flockscope.llm.common import read_table
 
@@ -97,6 +99,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "item_id", decontaminate.rounded(F.col("similarity")).alias("similarity"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = minhash.near_duplicates(docs, shingle=3, percent=85)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id",
+                      F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_url_filters, op4_secret_scans,
                                    op5_substring_dedup, op6_bpe, op7_simhash, op8_chat_formatting, op9_line_dedup,
-                                   op10_decontamination)}
+                                   op10_decontamination, op11_embedding_whitening, op13_minhash)}
