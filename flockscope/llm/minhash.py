@@ -14,10 +14,12 @@ pairs:
    pair a node, whatever the size of the group.
 2. Only in buckets that still hold several components, members outside the
    bucket's largest component meet the members of other components, once, in
-   the first band they share, and only if sizes, the bit count and the overlaps
-   both have with a common centre leave the threshold possible. The first and
-   the last of these are exact bounds; the bit count is five standard deviations
-   wide of the threshold, and is not asked for sets below ``SMALL``.
+   the first band they share, and only if sizes, the bit count and what is known
+   of a common centre leave the threshold possible. Sizes and the overlaps with a
+   common centre are exact bounds; where both differ little from it, the
+   differences give their overlap itself. The bit count is five standard
+   deviations wide of the threshold, and is not asked for sets below ``SMALL``.
+   Pairs that remain are confirmed like those of round 1.
 
 A pair at the threshold shares no band with probability (1 - 0.85^5)^32, some
 7e-9; pairs above it with less.
@@ -38,6 +40,8 @@ from flockscope.llm.components import connected_components
 from flockscope.llm.wordarrays import WordHash, hash_words, window_hashes
 
 LANES, BANDS, ROWS, SMALL = 512, 32, 5, 32
+#: Hashes in which a node may differ from its centre for the difference to travel with it.
+DIFFERENCE = 256
 SPREAD = 5.0
 #: Fixed constants of the lanes (a mask and an odd factor each) and of the bands' rows.
 _draw = np.random.default_rng(13)
@@ -128,20 +132,33 @@ def _node_sets(shingle: int):
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        both = []
-        for x, y in zip(b.column(2), b.column(3), strict=True):
-            u, v = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
-            both.append(len(u) + len(v) - len(np.union1d(u, v)))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both, pa.int64())], ["a", "b", "both"])
+def _overlaps(differences: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both, gone, added = [], [], []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                u, v = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
+                inside = np.isin(u, v, assume_unique=True)
+                both.append(int(inside.sum()))
+                if differences:
+                    near = len(u) + len(v) - 2 * both[-1] <= DIFFERENCE
+                    gone.append(np.setdiff1d(v, u, assume_unique=True).view(np.int64) if near else None)
+                    added.append(u[~inside].view(np.int64) if near else None)
+            more = [pa.array(z, pa.list_(pa.int64())) for z in (gone, added)] if differences else []
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(both, pa.int64()), *more],
+                                             ["a", "b", "both", "gone", "added"][:3 + len(more)])
+    return run
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(a, b, both)``: sizes of the intersections of the full sets of the pairs ``(a, b)``."""
+def overlaps(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
+    """``(a, b, both)``: sizes of the intersections of the full sets of the pairs ``(a, b)``.
+
+    With ``differences``, also the hashes of b that a lacks (``gone``) and has beside (``added``), where they are few.
+    """
     one = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
     two = one.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").select("a", "b", "ha", "hb")
-    return two.mapInArrow(_overlaps, "a binary, b binary, both long")
+    return two.mapInArrow(_overlaps(differences), "a binary, b binary, both long"
+                          + (", gone array<long>, added array<long>" if differences else ""))
 
 
 def most_unequal(percent: int) -> int:
@@ -172,10 +189,12 @@ def enough(both: Column, na: Column, nb: Column, percent: int) -> Column:
 def _residual_pairs(busy: DataFrame, nodes: DataFrame, met: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of round 2 (see the module docstring)."""
     root = F.coalesce("root", "node")
-    facts = (nodes.join(met.select(F.col("a").alias("node"), F.col("b").alias("centre"), F.col("both").alias("own")), "node", "left")
+    none = F.when(F.col("centre").isNull(), F.array().cast("array<long>"))  # a node without a centre is its own
+    facts = (nodes.join(met.select(F.col("a").alias("node"), F.col("b").alias("centre"), F.col("both").alias("own"), "gone", "added"),
+                        "node", "left")
              .join(comps, "node", "left")
              .select("node", "n", "bands", "planes", F.coalesce("centre", "node").alias("centre"), F.coalesce("own", "n").alias("own"),
-                     root.alias("root")))
+                     F.coalesce("gone", none).alias("gone"), F.coalesce("added", none).alias("added"), root.alias("root")))
     placed = busy.select("t", "key", "node").join(facts.select("node", "root"), "node")
     parts = placed.groupBy("t", "key", "root").agg(F.count(F.lit(1)).alias("m"))
     mixed = parts.groupBy("t", "key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "root")).alias("largest")) \
@@ -189,6 +208,9 @@ def _residual_pairs(busy: DataFrame, nodes: DataFrame, met: DataFrame, comps: Da
     fits &= enough(F.least(na, nb), na, nb, percent)
     fits &= (ca != cb) | enough(F.least(oa, ob) + F.least(na - oa, nb - ob), na, nb, percent)
     fits &= (F.least(na, nb) < SMALL) | (unequal_lanes(*c("planes")) <= most_unequal(percent))
+    (ga, gb), (ma, mb) = c("gone"), c("added")
+    known = oa - F.size(gb) + F.size(F.array_intersect(ga, gb)) + F.size(F.array_intersect(ma, mb))
+    fits &= (ca != cb) | ga.isNull() | gb.isNull() | enough(known, na, nb, percent)
     fits &= shared == F.col("x.t")  # any bucket they share holds two components, so the first one is among the rows
     met_once = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & fits)
     return met_once.select(F.least(*c("node")).alias("a"), F.greatest(*c("node")).alias("b")).distinct()
@@ -235,7 +257,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     wanted = busy.select("node").distinct().join(nodes.select("node", "at"), "node")
     texts = rows.join(wanted, rows["id"].eqNullSafe(F.col("at.id")) & rows["rk"].eqNullSafe(F.col("at.rk")))
     sets = write_shared(texts.select("node", "body").mapInArrow(_node_sets(shingle), "node binary, hashes binary"), "minhash-sets")
-    met = write_shared(overlaps(stars, sets).distinct(), "minhash-met")
+    met = write_shared(overlaps(stars, sets, differences=True).dropDuplicates(["a"]), "minhash-met")
     size = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"))
     linked = lambda p: (p.join(size("a"), "a").join(size("b"), "b")
                         .where(enough(F.col("both"), F.col("na"), F.col("nb"), percent)).select("a", "b"))
