@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flockscope.llm import (
+    alignment,
     bpe,
     chat,
     decontaminate,
@@ -104,6 +105,12 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return out.select(F.col("id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = minhash.near_duplicates(docs, shingle=3, percent=85)
@@ -113,4 +120,5 @@ def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_url_filters, op4_secret_scans,
                                    op5_substring_dedup, op6_bpe, op7_simhash, op8_chat_formatting, op9_line_dedup,
-                                   op10_decontamination, op11_embedding_whitening, op13_minhash)}
+                                   op10_decontamination, op11_embedding_whitening,
+                                   op12_tokenizer_alignment, op13_minhash)}
