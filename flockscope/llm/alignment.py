@@ -33,13 +33,12 @@ from pyspark.sql import functions as F
 
 from flockscope.llm.bpe import byte_letters
 from flockscope.llm.common import write_shared
-from flockscope.llm.wordarrays import LONGEST
 
 FAN = 16
 #: Bytes of a chunk; shorter texts are not cut.
-CHUNK = 1 << 15
-#: Bytes of texts that share a block.
-BLOCK = 1 << 24
+CHUNK = 1 << 16
+#: Characters of texts that share a block.
+BLOCK = 1 << 23
 MARK = "▁"
 
 CUT = re.compile(r"(?<=\S)(?= \S|\n)")
@@ -47,136 +46,138 @@ CUT = re.compile(r"(?<=\S)(?= \S|\n)")
 SURE_CUT = re.compile(rb"(?<=[!-~])(?= [!-~]|\n)")
 
 
+class Facts:
+    """What is known of distinct segments: counts, links end to end, and group strings (each group ends with ``;``)."""
+
+    def __init__(self, parts: list[tuple]):
+        self.ok, self.n_a, self.n_b, self.n_groups, self.sizes, self.links = (
+            np.concatenate([*(p[c] for p in parts), np.empty(0, kind)])
+            for c, kind in enumerate((bool, np.int64, np.int64, np.int64, np.int64, np.int64)))
+        self.groups = [g for p in parts for g in p[6]]
+
+
 class Aligner:
-    """Both tokenizers; remembers up to ``most`` segments of at most LONGEST bytes."""
+    """Both tokenizers. Many segments are encoded as one text, which is what their cuts allow, and aligned as arrays."""
 
-    def __init__(self, spec_a: str, model_b: bytes, most: int = 150_000):
+    def __init__(self, spec_a: str, model_b: bytes, most: int = 1 << 16):
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(spec_a)
+        self.a, self.most = Tokenizer.from_str(spec_a), most
         self.a.encode_special_tokens = True  # their strings in a text are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model_b)
         letter = {c: i for i, c in enumerate(byte_letters())}
-        self.bytes_a = {i: bytes(letter[c] for c in t) if all(c in letter for c in t) else t.encode("utf-8")
-                        for t, i in self.a.get_vocab().items()}
+        vocab = self.a.get_vocab()
+        self.bytes_a = [b""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            self.bytes_a[i] = bytes(letter[c] for c in t) if all(c in letter for c in t) else t.encode("utf-8")
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode("utf-8")
                         for i, p in enumerate(pieces)]
+        self.len_a, self.len_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
+        shown = lambda n, end: np.array([f"{i}{end}" for i in range(n)], dtype=object)
+        self.inner_a, self.final_a = shown(len(self.bytes_a), ","), shown(len(self.bytes_a), "|")
+        self.inner_b, self.final_b = shown(len(pieces), ","), shown(len(pieces), ";")
         plain = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         #: Whether no piece reaches over a cut; else a text is one segment.
         self.separable = not any(MARK in p.lstrip(MARK) or "\n" in p for p in plain)
-        self.most, self.known = most, {}
 
     def cut(self, text: str) -> list[str]:
         return CUT.split(text) if self.separable else [text]
 
-    def segment(self, text: str) -> tuple:
-        """``(ok, n_a, n_b, n_groups, groups, links)`` of a segment (it begins with a space or a line feed)."""
-        got = self.known.get(text)
-        if got is None:
-            got = self._align(text)
-            if len(text) <= LONGEST // 4:  # a character has four bytes at most
-                if len(self.known) >= self.most:
-                    self.known.clear()
-                self.known[text] = got
-        return got
-
-    def _align(self, text: str) -> tuple:
-        a = self.a.encode(text, add_special_tokens=False).ids
-        # B puts a space before what it is given: it stands for the segment's own, or is its first token before a line feed
-        b = self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:]
-        whole, ta, tb = text.encode("utf-8"), [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(ta) != whole or b"".join(tb) != whole:
-            return False, 0, 0, 0, "", np.empty(0, np.int64)
-        groups, links, ga, gb = [], [], [], []
-        i = j = end_a = end_b = 0
-        while i < len(a) or j < len(b):
-            # every step takes the next token of the side that is behind; the two newest tokens overlap
-            if end_a <= end_b:
-                step_a, step_b = True, end_a == end_b
-            else:
-                step_a, step_b = False, True
-            if step_a:
-                ga.append(a[i])
-                end_a += len(ta[i])
-                i += 1
-            if step_b:
-                gb.append(b[j])
-                end_b += len(tb[j])
-                j += 1
-            links.append(ga[-1] << 32 | gb[-1])
-            if end_a == end_b:
-                groups.append(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)))
-                ga, gb = [], []
-        return True, len(a), len(b), len(groups), ";".join(groups), np.array(links, dtype=np.int64)
-
-
-@lru_cache(maxsize=2)
+    def _together(self, segments: list[str]) -> tuple | None:
+        """Facts of segments that follow each other as one text; None if a side's tokens do not spell it."""
+        text = "".join(segments)
+        a = np.array(self.a.encode(text, add_special_tokens=False).ids, dtype=np.int64)
+        # B puts a space before what it is given: it stands for the text's own, or is its first token before a line feed
+        b = np.array(self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:], dtype=np.int64)
+        whole = text.encode("utf-8")
+        if b"".join([self.bytes_a[i] for i in a.tolist()]) != whole or b"".join([self.bytes_b[i] for i in b.tolist()]) != whole:
+            return None
+        ends = np.cumsum([len(s.encode("utf-8")) for s in segments])
+        end_a, end_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
+        cuts, points = np.intersect1d(end_a, end_b), np.union1d(end_a, end_b)
+        if len(segments) > 1 and not np.isin(ends, cuts, assume_unique=True).all():
+            return None
+        n = len(segments)
+        per = lambda x: np.bincount(np.searchsorted(ends, x), minlength=n)
+        # between two neighbouring token ends of either side exactly one pair of tokens overlaps
+        links = a[np.searchsorted(end_a, points)] << 32 | b[np.searchsorted(end_b, points)]
+        group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
+        words = np.concatenate([np.where(cuts[group_a] == end_a, self.final_a[a], self.inner_a[a]),
+                                np.where(cuts[group_b] == end_b, self.final_b[b], self.inner_b[b])])
+        words = words[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")].tolist()
+        n_a, n_b = per(end_a), per(end_b)
+        to = np.cumsum(n_a + n_b).tolist()
+        return np.ones(n, bool), n_a, n_b, per(cuts), per(points), links, ["".join(words[s:e]) for s, e in zip([0, *to], to, strict=False)]
+
+    def _facts(self, segments: list[str]) -> list[tuple]:
+        found = self._together(segments)
+        if found:
+            return [found]
+        if len(segments) == 1:
+            none = np.zeros(1, np.int64)
+            return [(np.zeros(1, bool), none, none, none, none, none[:0], [""])]
+        half = len(segments) // 2
+        return self._facts(segments[:half]) + self._facts(segments[half:])
+
+    def facts(self, segments: list[str]) -> Facts:
+        """Facts of segments (each begins with a space or a line feed), some ``most`` characters at a time."""
+        parts, some, size = [], [], 0
+        for s in segments:
+            some.append(s)
+            size += len(s)
+            if size >= self.most or s[-1].isspace():  # nothing is certain after a blank
+                parts += self._facts(some)
+                some, size = [], 0
+        return Facts(parts + (self._facts(some) if some else []))
+
+
+@lru_cache(maxsize=1)
 def _aligner(spec_a: str, model_b: bytes) -> Aligner:
     return Aligner(spec_a, model_b)
 
 
-class Block:
-    """Texts that share a dictionary of segments; see the module docstring."""
-
-    def __init__(self, aligner: Aligner):
-        self.aligner, self.at, self.facts, self.bytes = aligner, {}, [], 0
-        self.ids, self.copies, self.seqs, self.digests = [], [], [], []
+class Numbers(dict):
+    """Numbers distinct segments by first use."""
 
-    def number(self, segment: str) -> int:
-        k = self.at.get(segment)
-        if k is None:
-            k = self.at[segment] = len(self.facts)
-            self.facts.append(self.aligner.segment(segment))
+    def __missing__(self, segment: str) -> int:
+        k = self[segment] = len(self)
         return k
 
-    def text(self, row_id, text: str | None) -> None:
-        seq, digest = [], ""
-        if text:
-            number = self.number
-            seq = [number(s) for s in self.aligner.cut(" " + text)]
-            facts = self.facts
-            if all([facts[k][0] for k in seq]):
-                digest = hashlib.sha256(";".join([facts[k][4] for k in seq]).encode()).hexdigest()
-            else:
-                seq = []
-            self.bytes += len(text)
-        self.ids.append(row_id)
-        self.copies.append(1)
-        self.seqs.append(np.array(seq, dtype=np.uint32))
-        self.digests.append(digest)
-
-    def whole(self, row_id, copies: int, fragment: dict) -> None:
-        """A composed long text, as a segment of its own."""
-        ok = fragment["ok"]
-        self.facts.append((True, fragment["n_a"], fragment["n_b"], fragment["n_groups"], "",
-                           np.repeat(fragment["pairs"], fragment["times"])) if ok else (True, 0, 0, 0, "", np.empty(0, np.int64)))
-        self.ids.append(row_id)
-        self.copies.append(copies)
-        self.seqs.append(np.array([len(self.facts) - 1] if ok else [], dtype=np.uint32))
-        self.digests.append(hashlib.sha256(fragment["groups"].encode()).hexdigest() if ok else "")
-
-    def batch(self, number: int, id_type: pa.DataType) -> pa.RecordBatch:
-        """A row for each text, and last one with the dictionary."""
-        n = len(self.ids)
-        lengths = np.array([len(s) for s in self.seqs], dtype=np.int64)
-        flat = np.concatenate([*self.seqs, np.empty(0, np.uint32)])
-        owner = np.repeat(np.arange(n), lengths)
-        n_links = np.array([len(f[5]) for f in self.facts], dtype=np.int64)
-        per = lambda x: np.bincount(owner, np.asarray(x, dtype=float)[flat], n).astype(np.int64) if len(flat) else np.zeros(n, np.int64)
-        sums = [*(per([f[c] for f in self.facts]) for c in (1, 2, 3)), per(n_links)]
-        pairs, place = np.unique(np.concatenate([*(f[5] for f in self.facts), np.empty(0, np.int64)]), return_inverse=True)
-        used = np.bincount(flat, np.repeat(np.array(self.copies), lengths), len(self.facts)) if len(flat) else np.zeros(len(self.facts))
-        totals = np.bincount(place, np.repeat(used, n_links), len(pairs)).astype(np.int64)
-        some = lambda x: pa.array([x], pa.list_(pa.int64()))
-        none = pa.nulls(n, pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n + 1, number)), pa.array([*self.ids, None], id_type), pa.array([*self.copies, 0], pa.int64()),
-             *[pa.array([*s, 0], pa.int64()) for s in sums], pa.array([*self.digests, ""]),
-             pa.array([*[s.tobytes() for s in self.seqs], place.astype(np.uint32).tobytes()], pa.binary()),
-             pa.concat_arrays([none, some(pairs)]), pa.concat_arrays([none, some(totals)]), pa.concat_arrays([none, some(n_links)])],
-            ["block", "id", "copies", "n_a", "n_b", "n_groups", "n_links", "digest", "seq", "pairs", "totals", "sizes"])
+
+def block_batch(number: int, id_type: pa.DataType, ids: list, copies: list[int], seqs: list[np.ndarray], digests: list[str],
+                facts: Facts) -> pa.RecordBatch:
+    """A row for each text, and last one with the block's dictionary of pairs; ``seqs`` number the facts' segments."""
+    n, m = len(ids), len(facts.sizes)
+    lengths = np.array([len(s) for s in seqs], dtype=np.int64)
+    flat = np.concatenate([*seqs, np.empty(0, np.uint32)]).astype(np.int64)
+    owner = np.repeat(np.arange(n), lengths)
+    per = lambda x: np.bincount(owner, x[flat], n).astype(np.int64)
+    sums = [per(x) for x in (facts.n_a, facts.n_b, facts.n_groups, facts.sizes)]
+    pairs, place = np.unique(facts.links, return_inverse=True)
+    used = np.bincount(flat, np.repeat(np.array(copies, dtype=np.int64), lengths), m)
+    totals = np.bincount(place, np.repeat(used, facts.sizes), len(pairs)).astype(np.int64)
+    some = lambda x: pa.array([x], pa.list_(pa.int64()))
+    none = pa.nulls(n, pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(n + 1, number)), pa.array([*ids, None], id_type), pa.array([*copies, 0], pa.int64()),
+         *[pa.array([*s, 0], pa.int64()) for s in sums], pa.array([*digests, ""]),
+         pa.array([*[s.astype(np.uint32).tobytes() for s in seqs], place.astype(np.uint32).tobytes()], pa.binary()),
+         pa.concat_arrays([none, some(pairs)]), pa.concat_arrays([none, some(totals)]), pa.concat_arrays([none, some(facts.sizes)])],
+        ["block", "id", "copies", "n_a", "n_b", "n_groups", "n_links", "digest", "seq", "pairs", "totals", "sizes"])
+
+
+def digest(groups: str) -> str:
+    return hashlib.sha256(groups[:-1].encode()).hexdigest() if groups else ""
+
+
+def texts_batch(aligner: Aligner, number: int, id_type: pa.DataType, ids: list, seqs: list[np.ndarray], at: Numbers) -> pa.RecordBatch:
+    """A block of texts, given as numbers of their segments."""
+    facts = aligner.facts(list(at))
+    seqs = [s if facts.ok[s].all() else s[:0] for s in seqs]
+    groups = facts.groups
+    return block_batch(number, id_type, ids, [1] * len(ids), seqs, [digest("".join([groups[k] for k in s.tolist()])) for s in seqs], facts)
 
 
 BLOCK_SCHEMA = ("block long, id {id}, copies long, n_a long, n_b long, n_groups long, n_links long, digest string, seq binary, "
@@ -185,17 +186,22 @@ BLOCK_SCHEMA = ("block long, id {id}, copies long, n_a long, n_b long, n_groups
 
 def _short_blocks(files):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, number, block = _aligner(*files.value), TaskContext.get().partitionId() << 32, None
-        for b in batches:
-            for row_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                block = block or Block(aligner)
-                block.text(row_id, text)
-                if block.bytes >= BLOCK or len(block.ids) >= 1 << 16:
-                    yield block.batch(number, b.schema.field(0).type)
-                    number, block = number + 1, None
-            kind = b.schema.field(0).type
-        if block:
-            yield block.batch(number, kind)
+        aligner, number, kind = _aligner(*files.value), TaskContext.get().partitionId() << 32, None
+        ids, seqs, at, size = [], [], Numbers(), 0
+        for whole in batches:
+            kind = whole.schema.field(0).type
+            for begin in range(0, whole.num_rows, 512):
+                b = whole.slice(begin, 512)
+                for row_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    ids.append(row_id)
+                    cut = aligner.cut(" " + text) if text else []
+                    seqs.append(np.fromiter(map(at.__getitem__, cut), dtype=np.uint32, count=len(cut)))
+                    size += len(text or "")
+                if size >= BLOCK or len(ids) >= 1 << 16:
+                    yield texts_batch(aligner, number, kind, ids, seqs, at)
+                    number, ids, seqs, at, size = number + 1, [], [], Numbers(), 0
+        if ids:
+            yield texts_batch(aligner, number, kind, ids, seqs, at)
     return run
 
 
@@ -209,10 +215,14 @@ NOTHING = {"cut": False, "head": b"", "tail": b"", "ok": True, "n_a": 0, "n_b":
 
 def closed(aligner: Aligner, stretch: bytes) -> dict:
     """Closed groups of a stretch of bytes between two cuts (or ends of the text)."""
-    facts = [aligner.segment(s) for s in aligner.cut(stretch.decode("utf-8", "replace")) if s]
-    pairs, times = np.unique(np.concatenate([*(f[5] for f in facts), np.empty(0, np.int64)]), return_counts=True)
-    return {"ok": all(f[0] for f in facts), "n_a": sum(f[1] for f in facts), "n_b": sum(f[2] for f in facts),
-            "n_groups": sum(f[3] for f in facts), "groups": ";".join(f[4] for f in facts), "pairs": pairs, "times": times}
+    at = Numbers()
+    seq = np.array([at[s] for s in aligner.cut(stretch.decode("utf-8", "replace")) if s], dtype=np.int64)
+    f = aligner.facts(list(at))
+    pairs, place = np.unique(f.links, return_inverse=True)
+    times = np.bincount(place, np.repeat(np.bincount(seq, minlength=len(f.sizes)), f.sizes), len(pairs)).astype(np.int64)
+    total = lambda x: int(x[seq].sum())
+    return {"ok": bool(f.ok.all()), "n_a": total(f.n_a), "n_b": total(f.n_b), "n_groups": total(f.n_groups),
+            "groups": "".join([f.groups[k] for k in seq.tolist()]), "pairs": pairs, "times": times}
 
 
 def fragment(aligner: Aligner, data: bytes) -> dict:
@@ -227,7 +237,7 @@ def merged(parts: list[dict]) -> dict:
     """Closed groups that follow each other."""
     pairs, place = np.unique(np.concatenate([np.asarray(p["pairs"], dtype=np.int64) for p in parts]), return_inverse=True)
     times = np.bincount(place, np.concatenate([np.asarray(p["times"], dtype=np.int64) for p in parts]), len(pairs)).astype(np.int64)
-    return {"ok": all(p["ok"] for p in parts), "groups": ";".join(p["groups"] for p in parts if p["groups"]), "pairs": pairs,
+    return {"ok": all(p["ok"] for p in parts), "groups": "".join(p["groups"] for p in parts), "pairs": pairs,
             "times": times} | {k: sum(p[k] for p in parts) for k in ("n_a", "n_b", "n_groups")}
 
 
@@ -283,11 +293,18 @@ def _composed(files, keys: list[str]):
 def _long_blocks(files):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, number = _aligner(*files.value), (TaskContext.get().partitionId() << 32) + (1 << 62)
-        for b in batches:
-            for r in b.to_pylist():  # a long text is a block of its own
-                block = Block(aligner)
-                block.whole(r["id"], r["copies"], finished(aligner, r))
-                yield block.batch(number, b.schema.field("id").type)
+        for whole in batches:
+            for at in range(whole.num_rows):  # a long text is a block of its own, and one segment of it
+                r = whole.slice(at, 1).to_pylist()[0]
+                f = finished(aligner, r)
+                count = lambda x: np.array([x], dtype=np.int64)
+                if f["ok"]:
+                    links = np.repeat(np.asarray(f["pairs"], dtype=np.int64), f["times"])
+                    facts = Facts([(count(1) > 0, count(f["n_a"]), count(f["n_b"]), count(f["n_groups"]), count(len(links)), links, [""])])
+                else:
+                    facts = Facts([])
+                yield block_batch(number, whole.schema.field("id").type, [r["id"]], [r["copies"]],
+                                  [np.arange(len(facts.sizes))], [digest(f["groups"]) if f["ok"] else ""], facts)
                 number += 1
     return run
 
