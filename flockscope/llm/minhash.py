@@ -40,6 +40,8 @@ from flockscope.llm.components import connected_components
 from flockscope.llm.wordarrays import WordHash, hash_words, window_hashes
 
 LANES, BANDS, ROWS, SMALL = 512, 32, 5, 32
+#: Longest word that a memo keeps, in bytes.
+LONGEST = 100
 #: Hashes in which a node may differ from its centre for the difference to travel with it.
 DIFFERENCE = 256
 SPREAD = 5.0
@@ -51,6 +53,13 @@ ROW_FACTOR = _draw.integers(0, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
+class ShortWords(WordHash):
+    """A word memo that keeps no words above LONGEST bytes, so its bytes are bounded too."""
+
+    def __missing__(self, word: bytes) -> int:
+        return super().__missing__(word) if len(word) <= LONGEST else xxhash.xxh64_intdigest(word)
+
+
 def shingle_sets(texts: list[str | None], shingle: int, memo: WordHash) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text; none without words."""
     lists = [t.encode("utf-8").lower().split() if t else [] for t in texts]  # bytes.lower() folds A-Z only
@@ -105,7 +114,7 @@ def _lists(x: np.ndarray) -> pa.Array:
 
 def _sketches(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
+        memo = ShortWords()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):  # word lists take many times the memory of their texts
                 b = whole.slice(at, 1000)
@@ -123,7 +132,7 @@ def _sketches(shingle: int):
 
 def _node_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
+        memo = ShortWords()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)

@@ -11,23 +11,17 @@ import xxhash
 PLACES = np.array([xxhash.xxh64_intdigest(f"place{i}") | 1 for i in range(64)], dtype=np.uint64)
 
 
-#: Longest word a memo keeps, in bytes.
-LONGEST = 100
-
-
 class WordHash(dict):
-    """Memo of word -> XXH64; emptied when it holds ``most`` words. Words above LONGEST bytes are not kept, so its bytes stay bounded."""
+    """Memo of word -> XXH64; emptied when it holds ``most`` words, so memory stays bounded."""
 
     def __init__(self, most: int = 400_000):
         super().__init__()
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= LONGEST:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = h
+        if len(self) >= self.most:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
 
