@@ -7,6 +7,7 @@ to 6 decimals on both sides before comparison.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ import numpy as np
 
 from ..functions import columns
 from ..functions.columns import party_from_score
+from ..session import ensure_checkpoint_dir
 from ..operators import counts, events, frames, network
 from ..sources import sinks
 from . import lists
@@ -691,11 +693,30 @@ def q_bootstrap_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 from ..operators import factor as _factor  # noqa: E402
 
 
-@register("vsp_sweep", None, ref="M2 M3 M4 M5 M1")
-def q_vsp_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pruned follow graph -> one converged factorisation at k = 25 -> varimax assignments for k in (5, 25)."""
+def _stored_factors(spark: SparkSession, sf_dir: str, ks: list[int]) -> str:
+    """Folder of the factors of the pruned follow graph, written by K4 below the shared checkpoint folder."""
     edges = network.prune_follows(P.planted_follows(spark, sf_dir), 25, 10)
-    return _factor.sweep_k(edges, [5, 25], seed=42)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/factors-{uuid.uuid4().hex}"
+    sinks.save_factors(_factor.sweep_factors(edges, ks, seed=42), path)
+    return path
+
+
+#: Eight settings up to the number of planted blocks.
+SWEEP = [5, 8, 11, 14, 17, 20, 23, 25]
+
+
+@register("vsp_sweep", None, ref="M1 M2 M3 M4 M5 K4")
+def q_vsp_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pruned follow graph -> one converged factorisation -> varimax for eight k -> factors saved and reloaded -> assignments."""
+    return _factor.assign_from_loadings(sinks.load_factors(spark, _stored_factors(spark, sf_dir, SWEEP)))
+
+
+@register("vsp_mixing", None, ref="M3 K4")
+def q_vsp_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixing matrix between the panelists' and the accounts' five factors, from the saved table."""
+    stored = sinks.load_factors(spark, _stored_factors(spark, sf_dir, [5]), k=5, side="b")
+    return stored.select(F.col("id").cast("int").alias("row"), F.posexplode("loadings").alias("col0", "value")) \
+        .select("row", (F.col("col0") + 1).alias("col"), "value")
 
 
 @register("density_curves", with_proxies(_PANEL_SQL_BODY + """,
