@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import log_ratio_plus_one, ratio
+from ..stats.distributions import t_two_sided
 from .counts import cluster_totals
 from .events import drop_non_publics
 
@@ -119,12 +120,16 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def linear_trend(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:
-    """Least-squares line of y on x, R^2, n and the slope's t statistic."""
+    """Least-squares line of y on x, R^2, n, the slope's t statistic and its two-sided p-value.
+
+    Both are NULL where the line is exact or has two points or fewer.
+    """
     g = df.groupBy(*by) if by else df.groupBy()
     out = g.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
                 F.regr_r2(y, x).alias("r2"), F.regr_count(y, x).alias("n"), F.corr(y, x).alias("r"))
-    t = F.col("r") * F.sqrt((F.col("n") - 2) / (F.lit(1.0) - F.col("r") * F.col("r")))
-    return out.withColumn("t_stat", t)
+    t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, F.lit(1.0) - F.col("r") * F.col("r")))
+    out = out.withColumn("t_stat", t)
+    return out.withColumn("p_value", t_two_sided(F.col("t_stat"), F.col("n") - 2))
 
 
 # ---------------------------------------------------------------- A18 density curves

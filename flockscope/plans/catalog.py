@@ -359,10 +359,22 @@ SELECT regr_slope(blm_rate, pol_rate) AS slope, regr_intercept(blm_rate, pol_rat
 FROM w""", "p_infl", "p_clust_stats"),
           doubles=("slope", "intercept", "r2", "r", "t_stat"), ref="A17")
 def q_linear_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _x11(spark, sf_dir)
-    w = (x.groupBy("grp").agg(F.max(F.when(F.col("issuepublic") == "pol", F.col("v"))).alias("pol_rate"),
-                              F.max(F.when(F.col("issuepublic") == "blm", F.col("v"))).alias("blm_rate")))
-    return frames.linear_trend(w, "blm_rate", "pol_rate").withColumn("n", F.col("n").cast("long"))
+    w = _overlap_rates(spark, sf_dir)
+    return frames.linear_trend(w, "blm_rate", "pol_rate").withColumn("n", F.col("n").cast("long")).drop("p_value")
+
+
+def _overlap_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rate = lambda name: F.max(F.when(F.col("issuepublic") == name, F.col("v"))).alias(f"{name}_rate")
+    return _x11(spark, sf_dir).groupBy("grp", "meta").agg(rate("pol"), rate("blm"))
+
+
+@register("trend_significance", None, ref="A17")
+def q_trend_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlap trend over all clusters (meta NULL) and within each type, with p-values."""
+    w = _overlap_rates(spark, sf_dir)
+    whole = frames.linear_trend(w, "blm_rate", "pol_rate").withColumn("meta", F.lit(None).cast("string"))
+    cols = ["meta", "slope", "r", "n", "t_stat", "p_value"]
+    return whole.select(*cols).unionByName(frames.linear_trend(w, "blm_rate", "pol_rate", ["meta"]).select(*cols))
 
 
 @register("quantiles", with_proxies(_X11_SQL + """
@@ -832,15 +844,22 @@ def q_level_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed.prediction_grid(P.tweet_counts(spark, sf_dir), ["regex_type", "grp", "is_rt"])
 
 
-_CENT = ("cent_age", "cent_male", "cent_fol", "cent_pop", "cent_bet")
-
-
-@register("account_correlations", "WITH f AS (\n" + REGISTRY["account_model_frame"].sql + "\n)\n" + "\nUNION ALL ".join(
-    f"SELECT '{a}' AS var1, '{b}' AS var2, corr({a}, {b}) AS r FROM f" for i, a in enumerate(_CENT) for b in _CENT[i + 1:]),
+@register("account_correlations", "WITH f AS (\n" + REGISTRY["account_model_frame"].sql + """
+)
+SELECT var1, var2, r FROM (SELECT
+  corr(cent_pop, cent_pardiff) AS r1, corr(cent_pop, cent_age) AS r2, corr(cent_pop, cent_male) AS r3,
+  corr(cent_pop, approx_rw_centr) AS r4, corr(cent_pardiff, cent_age) AS r5, corr(cent_pardiff, cent_male) AS r6,
+  corr(cent_pardiff, approx_rw_centr) AS r7, corr(cent_age, cent_male) AS r8, corr(cent_age, approx_rw_centr) AS r9,
+  corr(cent_male, approx_rw_centr) AS r10 FROM f) c,
+  LATERAL (VALUES ('cent_pop', 'cent_pardiff', r1), ('cent_pop', 'cent_age', r2), ('cent_pop', 'cent_male', r3),
+           ('cent_pop', 'approx_rw_centr', r4), ('cent_pardiff', 'cent_age', r5), ('cent_pardiff', 'cent_male', r6),
+           ('cent_pardiff', 'approx_rw_centr', r7), ('cent_age', 'cent_male', r8), ('cent_age', 'approx_rw_centr', r9),
+           ('cent_male', 'approx_rw_centr', r10)) t(var1, var2, r)""",
           doubles=("r",), ref="A16 X12")
 def q_account_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pearson correlations of the five centred account measures."""
-    return frames.correlation_matrix(REGISTRY["account_model_frame"].fn(spark, sf_dir), list(_CENT))
+    """Pearson correlations of the five predictors whose collinearity is checked."""
+    return frames.correlation_matrix(REGISTRY["account_model_frame"].fn(spark, sf_dir),
+                                     ["cent_pop", "cent_pardiff", "cent_age", "cent_male", "approx_rw_centr"])
 
 
 @register("row_sample", with_proxies("""

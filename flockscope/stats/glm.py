@@ -45,6 +45,7 @@ class GLMFit:
     y: str = ""
     weight: str | None = None
     fe: Sequence[str] = ()
+    rmse: float = float("nan")
     extra: dict = field(default_factory=dict)
 
     @property
@@ -183,14 +184,14 @@ def binomial_fit(df: DataFrame, design: Design, y: str, weight: str | None = Non
     n_obs = g.n
     fit = GLMFit(design, names, keep, beta, cov, dev_old if not converged else dev, 0.0, n_obs, it, converged,
                  y, weight)
-    fit.loglik = _binomial_loglik(frame, fit, off_value)
+    fit.loglik, fit.rmse = _binomial_loglik(frame, fit, off_value)
     frame.unpersist()
     projected.unpersist()
     return fit
 
 
-def _binomial_loglik(frame: DataFrame, fit: GLMFit, off: float) -> float:
-    """R's binomial log-likelihood: sum dbinom(round(w y), round(w), mu, log = TRUE)."""
+def _binomial_loglik(frame: DataFrame, fit: GLMFit, off: float) -> tuple[float, float]:
+    """R's binomial log-likelihood, sum dbinom(round(w y), round(w), mu, log = TRUE), and the RMSE of the response, in one pass."""
     beta = fit.beta
 
     def fn(pdf: pd.DataFrame) -> np.ndarray:
@@ -203,9 +204,10 @@ def _binomial_loglik(frame: DataFrame, fit: GLMFit, off: float) -> float:
         with np.errstate(divide="ignore", invalid="ignore"):
             ll = (log_factorial(m) - log_factorial(k) - log_factorial(m - k)
                   + np.where(k > 0, k * np.log(mu), 0.0) + np.where(m - k > 0, (m - k) * np.log(1.0 - mu), 0.0))
-        return np.array([ll.sum()])
+        return np.array([ll.sum(), ((y - mu) ** 2).sum(), float(len(y))])
 
-    return float(partition_sums(frame, fn, 1)[0])
+    ll, squares, n = partition_sums(frame, fn, 3)
+    return float(ll), math.sqrt(squares / n) if n else float("nan")
 
 
 # ---------------------------------------------------------------- vcov / tables

@@ -109,7 +109,7 @@ def chi2_sf(x: float, k: float) -> float:
 
 
 def compare_models(spark: SparkSession, fits: dict[str, object], against: dict[str, str] | None = None) -> DataFrame:
-    """logLik, AIC, BIC, parameters, deviance, and a likelihood-ratio test where one is asked for.
+    """logLik, AIC, BIC, parameters, deviance, RMSE, whether the fit converged, and a likelihood-ratio test where one is asked for.
 
     ``against`` names the smaller model each tested one extends. A pair that is
     not nested (a parameter of the smaller is missing from the larger, or there
@@ -128,9 +128,10 @@ def compare_models(spark: SparkSession, fits: dict[str, object], against: dict[s
             lr = max(2 * (ll - float(small.loglik)), 0.0)
             p = chi2_sf(lr, more)
         dev = float(getattr(f, "deviance", float("nan")))
-        rows.append((name, ll, float(f.aic), float(f.bic), k, dev, against.get(name), lr, p))
+        rmse, converged = getattr(f, "rmse", None), getattr(f, "converged", None)
+        rows.append((name, ll, float(f.aic), float(f.bic), k, dev, rmse, converged, against.get(name), lr, p))
     return spark.createDataFrame(rows, "model string, loglik double, aic double, bic double, n_params int, "
-                                       "deviance double, against string, lr_stat double, p_value double")
+                                       "deviance double, rmse double, converged boolean, against string, lr_stat double, p_value double")
 
 
 def fit_diagnostics(df: DataFrame, fits: dict[str, GLMFit], y: str, weight: str | None) -> DataFrame:
