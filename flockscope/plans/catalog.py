@@ -640,6 +640,43 @@ def q_mixed_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _models.compare_models(spark, fits, {"b2": "b1", "b5": "b2"})
 
 
+_META_TERMS = star("t", "regex_type", "event")
+#: Mixed models compared with each other; each but the first and third extends the one before it.
+_MIXED_SEQUENCE = {
+    "base_model_3": [("t",), ("event",), ("regex_type",), ("t", "event"), ("t", "regex_type")],
+    "base_model_5": [("t",), ("event",), ("regex_type",), ("t", "event"), ("t", "regex_type"), ("regex_type", "event"), ("t", "regex_type", "event")],
+    "meta_1": [*_META_TERMS, ("meta",)],
+    "meta_2": [*_META_TERMS, ("meta",), ("regex_type", "meta")],
+    "meta_3": [*_META_TERMS, ("meta",), ("regex_type", "meta"), ("t", "meta"), ("t", "regex_type", "meta")],
+    "meta_5": star("t", "regex_type", "event", "meta"),
+}
+
+
+@register("mixed_sequence", None, ref="G10 G3")
+def q_mixed_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML refits of the base models 3 and 5 and the four models with the type of public, with LR tests."""
+    df = _lmm_frame(spark, sf_dir).persist()
+    fits = {}
+    for name, terms in _MIXED_SEQUENCE.items():
+        d = make_design(df, terms, factors=["t", "regex_type", "event", "meta"], levels={"t": list(T_LEVELS)})
+        fits[name] = _mixed.mixed_fit(df, d, "v", "grp", reml=False)
+    out = _models.compare_models(spark, fits, {"base_model_5": "base_model_3", "meta_2": "meta_1", "meta_3": "meta_2", "meta_5": "meta_3"})
+    df.unpersist()
+    return out
+
+
+@register("mixed_cell_means", "WITH p AS (\n" + REGISTRY["cluster_event_panel"].sql + "\n)\n" + """
+SELECT t, regex_type, event, sum(polcnt / total) / count(*) AS fitted, CAST(count(*) AS BIGINT) AS n
+FROM p WHERE polcnt IS NOT NULL AND total > 0 GROUP BY ALL""", doubles=("fitted",), ref="G4 G3 U6")
+def q_mixed_cell_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean fitted value, group intercepts included, of every cell of the saturated random-intercept model:
+    the observed mean, by the model's normal equations."""
+    df = _lmm_frame(spark, sf_dir).where("v IS NOT NULL")
+    fit = _mixed.mixed_fit(df, _lmm_design(df, False), "v", "grp", reml=True)
+    return (_mixed.mixed_predict(spark, fit, df, population=False).groupBy("t", "regex_type", "event")
+            .agg(F.avg("estimate").alias("fitted"), F.count(F.lit(1)).alias("n")))
+
+
 def _x12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (frames.account_model_frame(P.infl_w_tweet_count(spark, sf_dir), P.infl_audience(spark, sf_dir),
                                        P.centrality(spark, sf_dir))
@@ -922,3 +959,29 @@ def q_fe_level_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = _models.fe_binomial_fit(df, make_design(df, []), "v", "total", ["grp"])
     kept = df.where(F.col("grp").cast("string").isin(fit.design.factors["grp"]))
     return kept.groupBy("grp").agg(F.avg(fit.mu()).alias("fitted"), F.count(F.lit(1)).alias("n"))
+
+
+from ..stats import absorb as _absorb  # noqa: E402
+
+
+def _account_fit(df: DataFrame):
+    """Crossed effects of the issue public and of every account: the latter grow with the accounts."""
+    terms = [("cent_pop", "variable"), ("cent_age", "variable")]
+    return _absorb.absorbed_binomial_fit(df, make_design(df, terms, factors=["variable"]), "v", "total", ["variable", "id"])
+
+
+@register("fe_account_fit", None, ref="G6 G9")
+def q_fe_account_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slopes within accounts: v ~ (cent_pop + cent_age):variable | variable + id."""
+    return _glm.coef_table(spark, _account_fit(_x12(spark, sf_dir)))
+
+
+@register("fe_account_totals", "WITH f AS (\n" + REGISTRY["account_model_frame"].sql + "\n)\n" + """
+SELECT id, CAST(sum(value) AS DOUBLE) AS fitted, CAST(count(*) AS BIGINT) AS n FROM f
+WHERE cent_pop IS NOT NULL AND cent_age IS NOT NULL GROUP BY id
+HAVING sum(value) > 0 AND sum(value) < sum(total)""", doubles=("fitted",), ref="G6 G14")
+def q_fe_account_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted totals of every account under the model with account effects: the observed ones, by its score equations."""
+    df = _x12(spark, sf_dir)
+    return (_account_fit(df).fitted(df).groupBy("id")
+            .agg(F.round(F.sum(F.col("fitted") * F.col("total")), 3).alias("fitted"), F.count(F.lit(1)).alias("n")))

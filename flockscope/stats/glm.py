@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..operators.agreement import log_factorial
 from .design import Design
-from .gram import _tri_products, _unpack, dot, partition_sums, quad_form_sqrt, stack, tri_upper, vector_sums
+from .gram import _unpack, dot, partition_sums, quad_form_sqrt, stack, tri_upper, vector_sums
 
 ALIAS_TOL = 1e-9
 
@@ -184,16 +184,14 @@ def binomial_fit(df: DataFrame, design: Design, y: str, weight: str | None = Non
     n_obs = g.n
     fit = GLMFit(design, names, keep, beta, cov, dev_old if not converged else dev, 0.0, n_obs, it, converged,
                  y, weight)
-    fit.loglik, fit.rmse = _binomial_loglik(frame, fit, off_value)
+    fit.loglik, fit.rmse = _binomial_loglik(frame, fit.beta, off_value)
     frame.unpersist()
     projected.unpersist()
     return fit
 
 
-def _binomial_loglik(frame: DataFrame, fit: GLMFit, off: float) -> tuple[float, float]:
+def _binomial_loglik(frame: DataFrame, beta: np.ndarray, off: float) -> tuple[float, float]:
     """R's binomial log-likelihood, sum dbinom(round(w y), round(w), mu, log = TRUE), and the RMSE of the response, in one pass."""
-    beta = fit.beta
-
     def fn(pdf: pd.DataFrame) -> np.ndarray:
         x = stack(pdf["__x"])
         w = pdf["__w"].to_numpy(np.float64)

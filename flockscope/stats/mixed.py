@@ -2,24 +2,30 @@
 
 With theta = sigma_b^2 / sigma^2, V_g^{-1} = I - c_g 1 1' with
 c_g = theta / (1 + n_g theta). So one pass for X'X, X'y, y'y plus one grouped
-pass for (n_g, sum_g x, sum_g y) is all the data the likelihood needs; theta
-is profiled in one dimension on the driver. Group count = cluster count.
+pass for (n_g, sum_g x, sum_g y) is all the data the likelihood needs. The group
+sums stay in Spark: theta is profiled on a grid that is refined around its best
+point, and one pass over the group sums gives the criterion of a whole grid.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .design import Design
 from .glm import _norm_quantile, find_aliased
-from .gram import _unpack, dot, partition_sums, quad_form_sqrt, stack, tri_upper
+from .gram import Gram, _unpack, dot, partition_sums, quad_form_sqrt, stack, tri_upper, vector_sums
+
+#: Range of log(theta), grid points of a pass, and the step at which the search ends.
+LOG_THETA = (-18.0, 8.0)
+GRID, FINE = 33, 1e-6
 
 
 @dataclass
@@ -37,7 +43,8 @@ class MixedFit:
     n_groups: int
     group: str
     y: Column | None = None
-    blup: dict = field(default_factory=dict)
+    #: One row per group: the group, its predicted intercept ``blup`` and its rows ``n``.
+    blup: DataFrame | None = None
 
     @property
     def kept_names(self) -> list[str]:
@@ -63,28 +70,42 @@ class MixedFit:
         return self.design.array(overrides, self.keep)
 
 
-def _profile(theta: float, gram, groups, reml: bool) -> tuple[float, np.ndarray, np.ndarray, float]:
+def _group_terms(thetas: Sequence[float], n: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """What groups of ``n`` rows with sums ``s`` of x and ``t`` of y take from the totals, one row per theta.
+
+    Columns: triangle of sum c s s', sum c t s, sum c t^2, sum log(1 + n theta).
+    """
+    out = []
+    for theta in thetas:
+        c = theta / (1.0 + n * theta)
+        cs = s * c[:, None]
+        out.append(np.concatenate([tri_upper(cs.T @ s), cs.T @ t, [float(c @ (t * t)), float(np.log1p(n * theta).sum())]]))
+    return np.array(out)
+
+
+def _criterion(terms: np.ndarray, gram: Gram, reml: bool) -> tuple[float, np.ndarray, np.ndarray, float]:
+    """-2 log-likelihood, coefficients, X'V^-1 X and residual variance for the group terms of one theta."""
     n, p = gram.n, gram.xtwx.shape[0]
-    a = gram.xtwx.copy()
-    b = gram.xtwz.copy()
-    q = gram.ztwz
-    logdet_v = 0.0
-    for n_g, s_g, t_g in groups:
-        c = theta / (1.0 + n_g * theta)
-        a -= c * np.outer(s_g, s_g)
-        b -= c * s_g * t_g
-        q -= c * t_g * t_g
-        logdet_v += math.log1p(n_g * theta)
+    m = p * (p + 1) // 2
+    taken = np.zeros((p, p))
+    taken[np.triu_indices(p)] = terms[:m]
+    a = gram.xtwx - (taken + np.triu(taken, 1).T)
+    b = gram.xtwz - terms[m:m + p]
     beta = np.linalg.solve(a, b)
-    rss = q - b @ beta
     denom = n - p if reml else n
-    sigma2 = rss / denom
-    m2 = denom * math.log(2 * math.pi * sigma2) + logdet_v + denom
+    sigma2 = (gram.ztwz - terms[m + p] - b @ beta) / denom
+    m2 = denom * math.log(2 * math.pi * sigma2) + terms[m + p + 1] + denom
     if reml:
         m2 += np.linalg.slogdet(a)[1]
     return m2, beta, a, sigma2
 
 
+def _profile(theta: float, gram: Gram, groups: Sequence[tuple], reml: bool) -> tuple[float, np.ndarray, np.ndarray, float]:
+    """The criterion for group sums ``(n, s, t)`` at hand."""
+    n, s, t = (np.array(v, dtype=np.float64) for v in zip(*groups, strict=True))
+    return _criterion(_group_terms([theta], n, s, t)[0], gram, reml)
+
+
 def mixed_fit(df: DataFrame, design: Design, y: Column | str, group: str, reml: bool = True) -> MixedFit:
     """Random-intercept linear mixed model (lme4 ``(1 | group)``)."""
     names, cols = design.build()
@@ -107,46 +128,39 @@ def mixed_fit(df: DataFrame, design: Design, y: Column | str, group: str, reml:
     full.xtwz = full.xtwz[keep]
     k = len(keep)
 
-    def per_group(pdf: pd.DataFrame) -> np.ndarray:
-        xm = stack(pdf["__x"])[:, keep]
-        yv = pdf["__y"].to_numpy(np.float64)
-        return np.concatenate([xm.sum(0), [yv.sum(), float(len(yv))]])
-
-    per = partition_sums(frame, per_group, k + 2, by="__g")
-    groups = []
-    gids = []
-    for gid, v in per.items():
-        groups.append((v[k + 1], v[:k], v[k]))
-        gids.append(gid)
+    kept = F.concat(F.array(*[F.col("__x")[i] for i in keep]), F.array(F.col("__y"), F.lit(1.0)))
+    groups = cut_lineage(vector_sums(frame, "__g", kept))
     projected.unpersist()
-
-    def crit(phi: float) -> float:
-        return _profile(math.exp(phi), full, groups, reml)[0]
-
-    # golden-section search on log(theta), then compare with the boundary theta = 0
-    lo, hi = -18.0, 8.0
-    gr = (math.sqrt(5) - 1) / 2
-    c, d = hi - gr * (hi - lo), lo + gr * (hi - lo)
-    fc, fd = crit(c), crit(d)
-    for _ in range(80):
-        if fc < fd:
-            hi, d, fd = d, c, fc
-            c = hi - gr * (hi - lo)
-            fc = crit(c)
-        else:
-            lo, c, fc = c, d, fd
-            d = lo + gr * (hi - lo)
-            fd = crit(d)
-    theta = math.exp((lo + hi) / 2)
-    m2, beta, a, sigma2 = _profile(theta, full, groups, reml)
-    m0 = _profile(0.0, full, groups, reml)
-    if m0[0] <= m2:
-        theta, (m2, beta, a, sigma2) = 0.0, m0
-    blup = {}
-    for gid, (n_g, s_g, t_g) in zip(gids, groups):
-        blup[gid] = theta / (1.0 + n_g * theta) * (t_g - s_g @ beta)
+    n_groups = groups.count()
+
+    def criteria(thetas: Sequence[float]) -> list[tuple]:
+        def fn(pdf: pd.DataFrame) -> np.ndarray:
+            v = stack(pdf["s"])
+            return _group_terms(thetas, v[:, k + 1], v[:, :k], v[:, k]).ravel()
+        size = k * (k + 1) // 2 + k + 2
+        found = partition_sums(groups.select("s"), fn, size * len(thetas)).reshape(len(thetas), size)
+        return [_criterion(row, full, reml) for row in found]
+
+    (lo, hi), best = LOG_THETA, None
+    while True:
+        grid = np.linspace(lo, hi, GRID)
+        thetas = [0.0, *np.exp(grid)] if best is None else list(np.exp(grid))
+        found = criteria(thetas)
+        if best is None:
+            zero, found = found[0], found[1:]
+        at = min(range(GRID), key=lambda i: found[i][0])
+        best, theta = found[at], math.exp(grid[at])
+        if grid[1] - grid[0] < FINE:
+            break
+        lo, hi = grid[max(at - 1, 0)], grid[min(at + 1, GRID - 1)]
+    if zero[0] <= best[0]:  # the boundary theta = 0
+        theta, best = 0.0, zero
+    m2, beta, a, sigma2 = best
+    s, n_g = F.col("s"), F.col("s")[k + 1]
+    blup = groups.select(F.col("__g").alias(group), (F.lit(theta) / (1.0 + n_g * F.lit(theta)) * (
+        s[k] - dot(F.slice("s", 1, k), beta))).alias("blup"), n_g.cast("long").alias("n"))
     return MixedFit(design, names, keep, beta, sigma2 * np.linalg.inv(a), sigma2, theta, -m2 / 2, reml,
-                    full.n, len(groups), group, ycol, blup)
+                    full.n, n_groups, group, ycol, blup)
 
 
 def mixed_predict(spark: SparkSession, fit: MixedFit, df: DataFrame, population: bool = True,
@@ -155,20 +169,15 @@ def mixed_predict(spark: SparkSession, fit: MixedFit, df: DataFrame, population:
     base = df.select("*", fit.x().alias("__x"))
     est = dot(F.col("__x"), fit.beta)
     if not population:
-        blup = spark.createDataFrame([(k, float(v)) for k, v in fit.blup.items()],
-                                     f"{fit.group} {_type(df, fit.group)}, __b double")
-        return (base.join(F.broadcast(blup), fit.group, "left")
-                .withColumn("estimate", est + F.coalesce(F.col("__b"), F.lit(0.0))).drop("__b", "__x"))
+        own = fit.blup.select(F.col(fit.group).alias("__group"), F.col("blup").alias("__b"))
+        return (base.join(own, F.col(fit.group).eqNullSafe(F.col("__group")), "left")
+                .withColumn("estimate", est + F.coalesce(F.col("__b"), F.lit(0.0))).drop("__b", "__x", "__group"))
     zq = _norm_quantile(0.5 + level / 2)
     return (base.withColumn("estimate", est).withColumn("std_error", quad_form_sqrt(F.col("__x"), fit.cov))
             .withColumn("conf_low", F.col("estimate") - F.lit(zq) * F.col("std_error"))
             .withColumn("conf_high", F.col("estimate") + F.lit(zq) * F.col("std_error")).drop("__x"))
 
 
-def _type(df: DataFrame, col: str) -> str:
-    return df.schema[col].dataType.simpleString()
-
-
 def prediction_grid(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Every combination of the observed levels of ``cols``.
 

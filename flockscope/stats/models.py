@@ -9,37 +9,17 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .absorb import drop_separated_levels
 from .design import Design, factor_levels
 from .glm import GLMFit, binomial_fit, complete
 
 
-def drop_separated_levels(df: DataFrame, fe: Sequence[str], y: str, weight: str | None) -> DataFrame:
-    """Drop rows of fixed-effect levels whose outcome is all 0 or all 1 (repeated to a fixpoint).
-
-    Per-level sums are cluster-sized aggregates joined back by key.
-    """
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    out = df
-    while True:  # ends: every round but the last drops a level
-        dropped = 0
-        for f in fe:
-            bad = (out.groupBy(f).agg(F.sum(w * F.col(y)).alias("s1"),
-                                      F.sum(w * (F.lit(1.0) - F.col(y))).alias("s0"))
-                   .where((F.col("s1") <= 0) | (F.col("s0") <= 0)).select(f)).collect()
-            if bad:
-                dropped += len(bad)
-                out = out.where(~F.col(f).isin([r[0] for r in bad]))
-        if not dropped:
-            break
-    return out
-
-
 def fe_binomial_fit(df: DataFrame, design: Design, y: str, weight: str | None, fe: Sequence[str],
                     fe_levels: dict | None = None) -> GLMFit:
-    """Logistic GLM with absorbed fixed effects (one-hot, first level of each FE as base).
+    """Logistic GLM with fixed effects of few levels (one-hot, first level of each FE as base).
 
-    Slopes equal those of a within (absorbed) estimator; FE coefficients are
-    reported with treatment coding. Levels with an all-0 / all-1 outcome are
+    FE coefficients are reported with treatment coding; for effects of many
+    levels ``absorb.absorbed_binomial_fit`` gives the same slopes. Levels with an all-0 / all-1 outcome are
     dropped first, as the FE estimator does.
     """
     data = drop_separated_levels(df.where(F.col(y).isNotNull()), fe, y, weight)
