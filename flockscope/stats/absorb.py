@@ -177,17 +177,26 @@ def _working(first: bool):
     return w * var, eta + (y - mu) / var
 
 
+def _deviance(y: np.ndarray, w: np.ndarray, mu: np.ndarray) -> float:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        each = (np.where(y > 0, y * np.log(y / mu), 0.0)
+                + np.where(y < 1, (1.0 - y) * np.log((1.0 - y) / (1.0 - mu)), 0.0))
+    return 2.0 * float(w @ each)
+
+
+def _final_deviance(pdf: pd.DataFrame) -> np.ndarray:
+    mu = clamp(1.0 / (1.0 + np.exp(-pdf["__eta"].to_numpy(np.float64))))
+    return np.array([_deviance(pdf["__y"].to_numpy(np.float64), pdf["__w"].to_numpy(np.float64), mu)])
+
+
 def _totals(first: bool):
     """Per batch: cross-products of [x, z] and the deviance."""
     def fn(pdf: pd.DataFrame) -> np.ndarray:
         c = np.column_stack([stack(pdf["__x"]), pdf["__z"].to_numpy(np.float64)])
         y, w = pdf["__y"].to_numpy(np.float64), pdf["__w"].to_numpy(np.float64)
         mu = (w * y + 0.5) / (w + 1.0) if first else clamp(1.0 / (1.0 + np.exp(-pdf["__eta"].to_numpy(np.float64))))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            dev = (np.where(y > 0, y * np.log(y / mu), 0.0)
-                   + np.where(y < 1, (1.0 - y) * np.log((1.0 - y) / (1.0 - mu)), 0.0))
         cross = (c * pdf["__wt"].to_numpy(np.float64)[:, None]).T @ c
-        return np.concatenate([cross.ravel(), [2.0 * float(w @ dev), float(len(y))]])
+        return np.concatenate([cross.ravel(), [_deviance(y, w, mu), float(len(y))]])
     return fn
 
 
@@ -225,6 +234,8 @@ def absorbed_binomial_fit(df: DataFrame, design: Design, y: str, weight: str | N
     try:
         rows = tables.store(rows.where(known & (F.col("__w") > 0) & complete("__x")))
         rows = drop_separated_levels(rows, _keys(n), "__y", "__w")
+        if rows.isEmpty():
+            raise ValueError("no rows with a level that varies")
         keep, beta = list(range(len(names))), np.zeros(len(names))
         effects = solved = None
         dev_old, change, converged, it = math.inf, 1e-8, False, 0
@@ -238,8 +249,6 @@ def absorbed_binomial_fit(df: DataFrame, design: Design, y: str, weight: str | N
             now = now.withColumn("__wt", wt).withColumn("__z", z).persist()
             sums = partition_sums(now.select("__x", "__y", "__w", "__eta", "__wt", "__z"), _totals(first), q * q + 2)
             cross, dev, n_obs = sums[:q * q].reshape(q, q), float(sums[-2]), sums[-1]
-            if not n_obs:
-                raise ValueError("no rows with a level that varies")
             if not math.isfinite(dev):
                 raise RuntimeError("deviance is not finite")
             c = [F.col("__x")[j] for j in range(p)] + [F.col("__z")]
@@ -289,6 +298,7 @@ def absorbed_binomial_fit(df: DataFrame, design: Design, y: str, weight: str | N
         fit = AbsorbedFit(design, names, keep, beta, cov, dev, 0.0, float(n_obs), it, True, y, weight, tuple(fe),
                           effects=effects, n_levels=int(taken[-1]))
         last = _with_effects(rows.withColumn("__eta", dot(F.col("__x"), beta) if p else F.lit(0.0)), effects, n)
+        fit.deviance = float(partition_sums(last.select("__y", "__w", "__eta"), _final_deviance, 1)[0])
         fit.loglik, fit.rmse = _binomial_loglik(last.select(F.array("__eta").alias("__x"), "__y", "__w"), np.ones(1), 0.0)
         return fit
     finally:
