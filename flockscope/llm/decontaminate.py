@@ -1,16 +1,21 @@
-"""Operator 10 - benchmark decontamination: n-gram seeds, then Smith-Waterman.
-
-(1) Every n-gram of a test item is a seed, however common: which words an edit
-has spared is not known beforehand. (2) Documents are read once; stretches
-around seed hits meet the items by an equi-join on the seed. A stretch reaches
-as far as an alignment that scores enough can, so none is cut off. (3) Each
-(stretch, item) is aligned word by word with Smith-Waterman; edits, insertions
-and losses lower the score instead of hiding the copy. An alignment that scores
-enough is a leak. Pairs with too few words in common for such a score are
-settled by that bound.
-
-Every alignment that scores enough and holds ``n`` words of the item in a row
-is found; one without such a run has no seed.
+"""Operator 10 - benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
+
+(1) The n-grams of a test item that some document holds are counted over all
+documents. A rare one (held by ``few`` documents or less) is a seed. Of more
+frequent ones only the rarest of every ``window`` neighbours is a seed, so
+phrases that everyone uses bring no pairs, while every ``window`` neighbouring
+n-grams of an item that occur at all still hold a seed. (2) Documents are read
+once; stretches around item n-grams meet the items by an equi-join on the
+seeds. A stretch reaches as far as an alignment that scores enough can, so none
+is cut off. (3) Each (stretch, item) is aligned word by word with
+Smith-Waterman; edits, insertions and losses lower the score instead of hiding
+the copy. An alignment that scores enough is a leak. Pairs with too few words
+in common for such a score are settled by that bound.
+
+Every alignment that scores enough and holds a seed is found: with rare n-grams
+every one that holds ``n`` words of the item in a row, with frequent ones every
+one that holds ``n + window - 1``, and shorter runs where one of them is the
+rarest of its neighbours.
 
 Membership is tested against a bitmap of fixed size (``SLOTS`` bits) whatever
 the size of the benchmark; the joins settle what the bitmap lets through. Only
@@ -25,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flockscope.llm.common import boxed, write_shared
@@ -56,7 +61,8 @@ def _item_grams(n: int):
             grams = window_hashes(h, n)[start]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(owner)), pa.array(grams.view(np.int64)),
-                 pa.array(lengths[owner].astype(np.int32))], ["item_key", "gram", "item_words"])
+                 pa.array(start.astype(np.int64)), pa.array(lengths[owner].astype(np.int32))],
+                ["item_key", "gram", "place", "item_words"])
     return run
 
 
@@ -159,14 +165,30 @@ def _aligned(full: int, threshold: float):
     return run
 
 
+def choose_seeds(grams: DataFrame, near: DataFrame, few: int, window: int) -> DataFrame:
+    """``(item_key, gram)`` of the item n-grams that join documents.
+
+    ``grams`` has ``item_key, gram, place`` (places rise along an item), ``near``
+    the ``seeds`` of every stretch. N-grams that no stretch holds are left out.
+    Of equally frequent neighbours the first is taken.
+    """
+    held = near.select(F.explode("seeds").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    known = grams.join(held, "gram")
+    ahead = Window.partitionBy("item_key").orderBy("place").rowsBetween(0, window - 1)
+    frequent = (known.select("item_key", F.min(F.struct("held", "place", "gram")).over(ahead).alias("least"))
+                .select("item_key", F.col("least.gram").alias("gram")))
+    return known.where(F.col("held") <= few).select("item_key", "gram").unionByName(frequent).distinct()
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 3,
-               threshold: float = 0.6, full: int = 40) -> DataFrame:
+               threshold: float = 0.6, full: int = 40, few: int = 1000, window: int = 4) -> DataFrame:
     """``(id, rk, item_id, similarity)`` of every document with a copy of a test item.
 
     ``items`` has ``item_id`` and ``text``. Similarity is the best alignment
     score over that of a verbatim copy (of ``full`` words, for longer items);
-    a leak has ``threshold`` or more and ``n`` words of the item in a row. ``rk`` is the text's hash: rows of equal id
-    and text give one result. Null and blank texts and items and items of fewer
+    a leak has ``threshold`` or more and holds a seed (see above; ``few`` counts
+    stretches of documents). ``rk`` is the text's hash: rows of equal id and text
+    give one result. Equal scores are all leaks. Null and blank texts and items and items of fewer
     than ``n`` words match nothing. Items repeated under an id count as one item
     each, the best similarity is given; null ids are results like others.
     Empty tables give empty results. Seeds and stretches are written when the
@@ -175,19 +197,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col
     spark = docs.sparkSession
     given = items.select("item_id", F.col("text").alias("item_text")).where("item_text IS NOT NULL")
     keyed = given.withColumn("item_key", F.xxhash64("item_text"))
-    seeds = write_shared(keyed.select("item_key", "item_text").distinct().mapInArrow(
-        _item_grams(n), "item_key long, gram long, item_words int").distinct(), "item-seeds")
+    grams = write_shared(keyed.select("item_key", "item_text").distinct().mapInArrow(
+        _item_grams(n), "item_key long, gram long, place long, item_words int"), "item-grams")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("rk"),
                         F.col(f"`{text_col}`").alias("text"))
     # m matches of an item of L words pay for 2 m - score further words, so an alignment spans at most 3 L - score
-    longest = seeds.agg(F.max("item_words")).first()[0] or 0
+    longest = grams.agg(F.max("item_words")).first()[0] or 0
     reach = (MATCH + 1) * longest - int(MATCH * threshold * min(longest, full))
-    bits = spark.sparkContext.broadcast(np.packbits(bitmap(seeds)).tobytes())
+    bits = spark.sparkContext.broadcast(np.packbits(bitmap(grams)).tobytes())
     schema = f"id {dict(texts.dtypes)['id']}, rk long, begin long, stretch string, seeds array<long>"
     near = write_shared(texts.select("id", "rk", "text").mapInArrow(
         _stretches(n, reach, bits), schema).distinct(), "leak-stretches")
+    seeds = write_shared(choose_seeds(grams, near, few, window), "item-seeds")
     same = lambda a, b: a["rk"].eqNullSafe(b["rk"]) & a["id"].eqNullSafe(b["id"]) & (a["begin"] == b["begin"])
-    met = (near.select("id", "rk", "begin", F.explode("seeds").alias("gram")).join(seeds.select("item_key", "gram"), "gram")
+    met = (near.select("id", "rk", "begin", F.explode("seeds").alias("gram")).join(seeds, "gram")
            .select("id", "rk", "begin", "item_key").distinct())
     pairs = (met.join(near, same(met, near)).select(met["id"], met["rk"], "item_key", "stretch")
              .join(keyed, "item_key").select("id", "rk", "item_id", "item_text", "stretch"))

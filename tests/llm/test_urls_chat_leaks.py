@@ -158,3 +158,30 @@ def test_edited_copies_against_alignment_of_all_pairs(spark):
     table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id int, text string")
     got = {(r.id, r.item_id): round(r.similarity, 6) for r in decontaminate.find_leaks(documents(spark, texts), table).collect()}
     assert got == want
+
+
+def test_frequent_phrases_bring_no_pairs_and_edited_copies_stay_found(spark):
+    rng = random.Random(11)
+    items = []
+    for _ in range(20):
+        w = prose(rng, 36, 100_000).split()
+        items.append([*w[:18], "one", "of", "the", *w[18:]])
+    texts, planted = [], set()
+    for i, w in enumerate(items):
+        for every in (4, 5, 6):
+            copy = [f"new{k}" if k % every == every - 1 else x for k, x in enumerate(w)]
+            planted |= {(len(texts) + j, i) for j in range(3)}
+            texts += [f"{prose(rng, 15, 100_000)} {' '.join(copy)} {prose(rng, 15, 100_000)}" for _ in range(3)]
+    texts += [f"{prose(rng, 20, 100_000)} one of the {prose(rng, 20, 100_000)}" for _ in range(150)]
+    docs = documents(spark, texts)
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id int, text string")
+    found = lambda few: {(r.id, r.item_id) for r in decontaminate.find_leaks(docs, table, few=few).collect()}
+    every, thin = found(1_000_000), found(4)
+    assert thin <= every and len(thin) >= 0.9 * len(every) and len(every & planted) >= 0.6 * len(planted)
+    # n-grams 0 to 9 of one item, 3 and 4 in many stretches: those that are no rarest of four neighbours are no seeds
+    grams = spark.createDataFrame([(1, g, g) for g in range(10)], "item_key long, gram long, place long")
+    near = spark.createDataFrame([([3, 4],)] * 50 + [([0, 1, 2, 5, 6],)] + [([7],)] * 9 + [([77],)], "seeds array<long>")
+    got = {r.gram for r in decontaminate.choose_seeds(grams, near, few=5, window=4).collect()}
+    assert got == {0, 1, 2, 5, 6, 7}  # 7 ends the item; 8 and 9 occur nowhere
+    alone = decontaminate.choose_seeds(grams, near.where("seeds[0] = 3"), few=5, window=4)
+    assert {r.gram for r in alone.collect()} == {3, 4}  # no rarer neighbour: the suffix windows keep both
