@@ -640,31 +640,6 @@ def q_mixed_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _models.compare_models(spark, fits, {"b2": "b1", "b5": "b2"})
 
 
-_META_TERMS = star("t", "regex_type", "event")
-#: Mixed models compared with each other; each but the first and third extends the one before it.
-_MIXED_SEQUENCE = {
-    "base_model_3": [("t",), ("event",), ("regex_type",), ("t", "event"), ("t", "regex_type")],
-    "base_model_5": [("t",), ("event",), ("regex_type",), ("t", "event"), ("t", "regex_type"), ("regex_type", "event"), ("t", "regex_type", "event")],
-    "meta_1": [*_META_TERMS, ("meta",)],
-    "meta_2": [*_META_TERMS, ("meta",), ("regex_type", "meta")],
-    "meta_3": [*_META_TERMS, ("meta",), ("regex_type", "meta"), ("t", "meta"), ("t", "regex_type", "meta")],
-    "meta_5": star("t", "regex_type", "event", "meta"),
-}
-
-
-@register("mixed_sequence", None, ref="G10 G3")
-def q_mixed_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ML refits of the base models 3 and 5 and the four models with the type of public, with LR tests."""
-    df = _lmm_frame(spark, sf_dir).persist()
-    fits = {}
-    for name, terms in _MIXED_SEQUENCE.items():
-        d = make_design(df, terms, factors=["t", "regex_type", "event", "meta"], levels={"t": list(T_LEVELS)})
-        fits[name] = _mixed.mixed_fit(df, d, "v", "grp", reml=False)
-    out = _models.compare_models(spark, fits, {"base_model_5": "base_model_3", "meta_2": "meta_1", "meta_3": "meta_2", "meta_5": "meta_3"})
-    df.unpersist()
-    return out
-
-
 @register("mixed_cell_means", "WITH p AS (\n" + REGISTRY["cluster_event_panel"].sql + "\n)\n" + """
 SELECT t, regex_type, event, sum(polcnt / total) / count(*) AS fitted, CAST(count(*) AS BIGINT) AS n
 FROM p WHERE polcnt IS NOT NULL AND total > 0 GROUP BY ALL""", doubles=("fitted",), ref="G4 G3 U6")
