@@ -23,6 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from flockscope.llm.common import kept_schema, with_text
+from flockscope.llm.wordarrays import LONGEST_KEPT
+
 
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in byte-level files."""
@@ -163,10 +166,12 @@ class ForcedBoundaryBPE:
         return out + self._fragment(symbols[begin:])
 
     def _word(self, word: str) -> tuple[bytes, str]:
-        if len(self.words) >= self.most:
-            self.words.clear()
         ids = self.encode_word(word)
-        known = self.words[word] = (array("I", ids).tobytes(), " ".join([self.tokens[i] for i in ids]))
+        known = (array("I", ids).tobytes(), " ".join([self.tokens[i] for i in ids]))
+        if len(word) <= LONGEST_KEPT:
+            if len(self.words) >= self.most:
+                self.words.clear()
+            self.words[word] = known
         return known
 
     def split(self, text: str) -> list[str]:
@@ -227,13 +232,14 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     tokens, truncation or padding; special tokens written in a text get their
     own id. Decoding joins the tokens' strings by one space, as a file without
     a decoder does. Null and empty texts give no ids and an empty string.
-    Repeated rows give repeated results; an empty table gives an empty one.
+    A text of any length is encoded whole; equal pairs of one rank merge from the
+    left. Repeated rows give repeated results; an empty table gives an empty one.
+    A ``keep`` column named like a result column comes back as ``kept_<name>``.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    return slim.mapInArrow(_encode_batches(spec), f"{kept}, ids binary, decoded string")
+    slim = with_text(docs, keep, text_col, ("ids", "decoded"))
+    return slim.mapInArrow(_encode_batches(spec), kept_schema(slim, "ids binary, decoded string"))
 
 
 def token_count(ids: Column) -> Column:

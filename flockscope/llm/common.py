@@ -60,3 +60,23 @@ def write_shared(df: DataFrame, tag: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def with_text(docs: DataFrame, keep: tuple[str, ...], text_col: str, results: tuple[str, ...]) -> DataFrame:
+    """The ``keep`` columns and, last, the text as ``__text``, for a scan that adds ``results``.
+
+    A kept column named like a result column (in any case) is called ``kept_<name>``, as often as needed.
+    """
+    taken, columns = {r.lower() for r in (*results, "__text")}, []
+    for c in keep:
+        name = c
+        while name.lower() in taken:
+            name = f"kept_{name}"
+        taken.add(name.lower())
+        columns.append(F.col(f"`{c}`").alias(name))
+    return docs.select(*columns, F.col(f"`{text_col}`").cast("string").alias("__text"))
+
+
+def kept_schema(slim: DataFrame, results: str) -> str:
+    """Schema of a scan over ``with_text`` rows: the kept columns, then ``results``."""
+    return ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]], results])

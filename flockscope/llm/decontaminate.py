@@ -44,12 +44,9 @@ TRIM = ".,;:!?\"'()[]{}“”‘’«»¿¡"
 class PlainWordHash(WordHash):
     """Hash of a word in lower case without punctuation at its ends."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
+    def hashed(self, word: bytes) -> int:
         plain = word.decode("utf-8").lower().strip(TRIM)
-        h = self[word] = xxhash.xxh64_intdigest(plain.encode("utf-8") if plain else word)
-        return h
+        return xxhash.xxh64_intdigest(plain.encode("utf-8") if plain else word)
 
 
 def _item_grams(n: int):

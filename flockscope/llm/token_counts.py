@@ -16,7 +16,9 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from flockscope.llm.common import kept_schema, with_text
+from flockscope.llm.wordarrays import LONGEST_KEPT
 
 NOWHERE = -1
 
@@ -77,9 +79,11 @@ class PieceCounter:
         for w in words:
             n = known.get(w)
             if n is None:
-                if len(known) >= self.most:
-                    known.clear()
-                n = known[w] = self.count(w.decode("utf-8"))
+                n = self.count(w.decode("utf-8"))
+                if len(w) <= LONGEST_KEPT:
+                    if len(known) >= self.most:
+                        known.clear()
+                    known[w] = n
             if n:
                 tokens += n
             else:
@@ -123,10 +127,12 @@ def token_counts(docs: DataFrame, begin: Iterable[str], inside: Iterable[str], t
 
     Words are runs of characters other than space and TAB .. CR. The vocabulary
     (a fixed size) is broadcast. Null, empty and blank texts count 0. A word
-    that greedy matching cannot cover is one unknown token. Repeated rows are
-    counted one by one; an empty table gives an empty result.
+    that greedy matching cannot cover is one unknown token. A text of any length
+    is counted in one pass over its words; there are no ties, greedy matching is
+    unique. Repeated rows are counted one by one; an empty table gives an empty
+    result. A ``keep`` column named like a result column comes back as
+    ``kept_<name>``.
     """
     pieces = docs.sparkSession.sparkContext.broadcast((tuple(begin), tuple(inside)))
-    slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    return slim.mapInArrow(_count_batches(pieces), f"{kept}, n_words long, n_tokens long, n_unknown long")
+    slim = with_text(docs, keep, text_col, ("n_words", "n_tokens", "n_unknown"))
+    return slim.mapInArrow(_count_batches(pieces), kept_schema(slim, "n_words long, n_tokens long, n_unknown long"))

@@ -11,17 +11,26 @@ import xxhash
 PLACES = np.array([xxhash.xxh64_intdigest(f"place{i}") | 1 for i in range(64)], dtype=np.uint64)
 
 
+#: Longer words (in bytes) are hashed each time and not remembered, so a memo is bounded in bytes too.
+LONGEST_KEPT = 100
+
+
 class WordHash(dict):
-    """Memo of word -> XXH64; emptied when it holds ``most`` words, so memory stays bounded."""
+    """Memo of word -> XXH64; emptied when it holds ``most`` words, without words over ``LONGEST_KEPT`` bytes."""
 
     def __init__(self, most: int = 400_000):
         super().__init__()
         self.most = most
 
+    def hashed(self, word: bytes) -> int:
+        return xxhash.xxh64_intdigest(word)
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = self.hashed(word)
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = h
         return h
 
 

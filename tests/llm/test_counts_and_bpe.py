@@ -6,9 +6,11 @@ from array import array
 
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer, models
 
 from flockscope.llm import bpe, token_counts
+from flockscope.llm.wordarrays import LONGEST_KEPT, WordHash
 from tests.llm.helpers import awkward_texts, documents, words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -108,3 +110,26 @@ def test_bpe_round_trip_digest_and_edges(spark):
     assert {r.doc_id: r.decoded for r in out} == {None: "hello</w> hello</w>", 1: ""}
     assert hashlib.sha256(bytes(out[1].ids)).hexdigest() == hashlib.sha256(b"").hexdigest()
     assert bpe.encode_decode(documents(spark, []), PATH).collect() == []
+
+
+def test_kept_columns_named_like_results(spark, pieces, library):
+    docs = documents(spark, ["a b", None]).selectExpr("doc_id AS N_tokens", "text", "lang AS ids", "source AS kept_ids")
+    out = token_counts.token_counts(docs, *pieces, keep=("N_tokens", "ids"))
+    assert out.columns == ["kept_N_tokens", "ids", "n_words", "n_tokens", "n_unknown"]
+    assert {(r.kept_N_tokens, r.ids, r.n_words) for r in out.collect()} == {(0, "en", 2), (1, "en", 0)}
+    out = bpe.encode_decode(docs, PATH, keep=("kept_ids", "ids", "N_tokens"))
+    assert out.columns == ["kept_ids", "kept_kept_ids", "N_tokens", "ids", "decoded"]
+    assert {(r.N_tokens, bytes(r.ids)) for r in out.collect()} == {(0, expected(library, "a b")[0]), (1, b"")}
+
+
+def test_memos_keep_no_long_words(library):
+    import json
+    with open(PATH, encoding="utf-8") as f:
+        own = bpe.ForcedBoundaryBPE(json.load(f))
+    counter, memo = token_counts.PieceCounter(["a"], ["a"]), WordHash()
+    for word in ("a" * LONGEST_KEPT, "a" * (LONGEST_KEPT + 1), "a" * 100_000):
+        for _ in range(2):
+            assert own.run(word) == expected(library, word)
+            assert counter.text(word) == (1, len(word), 0)
+            assert memo[word.encode()] == xxhash.xxh64_intdigest(word)
+    assert max(map(len, [*own.words, *counter.known, *memo])) == LONGEST_KEPT
