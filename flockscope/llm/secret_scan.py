@@ -30,6 +30,53 @@ OPAQUE = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = [k for k, *_ in DETECTORS] + ["opaque"]
 
 
+#: Elements per block of a running sum.
+BLOCK = 256
+
+
+def running_starts(lengths: Column) -> Column:
+    """Sums of the elements before each element of an int array that is not empty.
+
+    An array that grows by one element is copied each time, so the sums are made
+    block by block and the blocks' own starts from the blocks' totals: a text's
+    million matches cost some hundred million copied numbers, not 10^12.
+    """
+    def grow(xs: Column, first: Column) -> Column:
+        zero = F.struct(first.alias("at"), F.array().cast("array<int>").alias("starts"))
+        return F.aggregate(xs, zero, lambda acc, x: F.struct(
+            (acc["at"] + x).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")),
+            lambda acc: acc["starts"])
+
+    def by_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x))
+        return let(grow(totals, F.lit(0)), lambda firsts: F.flatten(F.transform(blocks, lambda b, j: grow(b, F.get(firsts, j)))))
+
+    cut = lambda xs: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda j: F.slice(xs, j * BLOCK + 1, F.lit(BLOCK)))
+    return let(lengths, lambda xs: let(cut(xs), by_blocks))
+
+
+def uncovered(spans: Column, base: Column) -> Column:
+    """The spans (disjoint, by start) that overlap no base span.
+
+    A base span overlaps if it starts before the span's end and does not end at
+    or before its start, so the two counts are equal for a free span. Each count
+    is a place in one sorted array of ends and starts.
+    """
+    point = lambda at, order, j: F.struct(at.alias("at"), order.alias("order"), j.alias("j"))
+    def ranks(own: Column) -> Column:
+        """For span j, the other points sorted before its own."""
+        marked = F.transform(F.sort_array(own), lambda p, i: F.when(p["j"] >= 0, i - p["j"]))
+        return F.filter(marked, lambda x: x.isNotNull())
+    def points(edge: str, other: str, own_first: bool) -> Column:
+        mine = F.transform(spans, lambda x, j: point(x[edge], F.lit(0 if own_first else 1), j))
+        theirs = F.transform(base, lambda x: point(x[other], F.lit(1 if own_first else 0), F.lit(-1)))
+        return F.concat(mine, theirs)
+    free = let(ranks(points("e", "s", True)), lambda begun: let(ranks(points("s", "e", False)), lambda ended: F.filter(
+        spans, lambda x, j: F.get(begun, j) == F.get(ended, j))))
+    return F.when((F.size(spans) == 0) | (F.size(base) == 0), spans).otherwise(free)
+
+
 def matches(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
     """Spans of the leftmost non-overlapping matches whose value is long enough.
 
@@ -44,11 +91,8 @@ def matches(text: Column, pattern: str, group: int, least: int, kind: int) -> Co
         values = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
         lengths = lambda xs: F.transform(xs, F.char_length)
         def walk(g: Column) -> Column:
-            step = lambda acc, j: F.struct(
-                (acc["at"] + F.get(g, j) + F.char_length(F.get(hits, j))).alias("at"),
-                F.concat(acc["starts"], F.array(acc["at"] + F.get(g, j))).alias("starts"))
-            zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-            return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), zero, step, lambda acc: acc["starts"])
+            steps = F.transform(hits, lambda m, j: F.get(g, j) + F.char_length(m))
+            return F.zip_with(running_starts(steps), F.slice(g, F.lit(1), F.size(hits)), lambda at, gap: at + gap)
         def build(starts: Column) -> Column:
             return let(values, lambda vs: F.transform(hits, lambda m, j: F.struct(
                 F.get(starts, j).alias("s"), F.lit(kind).alias("k"),
@@ -84,7 +128,9 @@ def scan(docs: DataFrame, text_col: str = "text", owner_col: str = "source", rep
     overlap no base span) that look live or are widely copied. Null text is
     empty; null owners and repositories are one owner, one repository each.
     Repeated rows all get the same result and count as one repository. Ties:
-    spans with equal start sort by kind, then end. Empty table: empty result.
+    spans with equal start sort by kind, then end. A text's time grows with its
+    length and little more than with its matches. Columns of any name go through
+    in ``_row``. Empty table: empty result.
     """
     text = F.coalesce(F.col(f"_row.`{text_col}`"), F.lit(""))
     found = [matches(text, FAST.get(kind, rx), group, least, i)
@@ -94,7 +140,7 @@ def scan(docs: DataFrame, text_col: str = "text", owner_col: str = "source", rep
     rows = (boxed(docs)
             .select("_row", F.xxhash64(F.col(f"_row.`{repo_col}`"), F.col(f"_row.`{owner_col}`"), text).alias("rk"),
                     F.concat(*found).alias("spans"), opaque.alias("opaque")))
-    free = F.filter("opaque", lambda o: ~F.exists("spans", lambda b: (b["s"] < o["e"]) & (o["s"] < b["e"])))
+    free = let(F.struct("opaque", "spans"), lambda x: uncovered(x["opaque"], x["spans"]))
     bare = lambda xs: F.transform(xs, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     hashed = lambda xs: F.transform(xs, lambda x: F.struct(
         x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.sha2(x["v"], 256).alias("h")))
