@@ -3,7 +3,7 @@
 Two multinomials over ``buckets`` hashed word unigrams and bigrams are counted:
 one over the raw corpus (all documents, all n-grams), one over the documents of
 a trusted target (labelled good). A document's score is the mean over its
-n-grams of ``log p_target - log p_raw`` (smoothed; 0 without evidence), so it does not
+n-grams of ``log p_target - log p_raw`` (smoothed), so it does not
 depend on the document's length, and a fixed threshold decides. Both counts come
 from one aggregation of at most ``buckets`` groups; the resulting weight vector
 (``buckets`` doubles, a fixed size) is a constant of the scoring scan. No text
@@ -93,15 +93,15 @@ def trusted_ids(labels: DataFrame, limit: int = 50_000) -> DataFrame:
     return good.orderBy(F.xxhash64("_trusted"), "_trusted").limit(limit)
 
 
-def weight_vector(rows: DataFrame, trusted: DataFrame, buckets: int, min_expected: float) -> Column:
+def weight_vector(rows: DataFrame, trusted: DataFrame, buckets: int, prior: float) -> Column:
     """Constant array column: the log ratio of every bucket, in bucket order.
 
     ``rows`` has ``id`` and ``h`` (word hashes). The ``buckets`` counts, a fixed
     size, pass through the driver. A ratio compares a bucket's target count with
-    the one expected from its share of the corpus, one added to both; where less
-    than ``min_expected`` is expected there is no evidence and the ratio is 0 (in a
-    small corpus nearly every n-gram of a document without a label would else
-    look foreign). Ratios are rounded to 9 decimals. Without a trusted n-gram all are 0.
+    the one expected from its share of the corpus, ``prior`` added to both, so a
+    bucket speaks the louder the more of its n-grams are expected; the rule is the
+    same for tables of every size. Ratios are rounded to 9 decimals. Without a
+    trusted n-gram all are 0.
     """
     flagged = rows.join(F.broadcast(trusted), F.col("id") == F.col("_trusted"), "left")
     grams = flagged.select(F.col("_trusted").isNotNull().cast("long").alias("good"),
@@ -113,12 +113,12 @@ def weight_vector(rows: DataFrame, trusted: DataFrame, buckets: int, min_expecte
     ratio = np.zeros(buckets)
     if good.any():
         expected = raw * (good.sum() / raw.sum())
-        ratio = np.where(expected >= min_expected, np.log((good + 1) / (expected + 1)), 0.0)
+        ratio = np.log((good + prior) / (expected + prior))
     return F.from_json(F.lit(json.dumps(np.round(ratio, 9).tolist())), "array<double>")
 
 
 def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-          buckets: int = 1 << 16, threshold: float = -0.1, target_limit: int = 50_000, min_expected: float = 5.0) -> DataFrame:
+          buckets: int = 1 << 16, threshold: float = -0.1, target_limit: int = 50_000, prior: float = 10.0) -> DataFrame:
     """``_row`` (the input row) with the base counts, ``llr``, ``base_failed``, ``kept``.
 
     kept = not base_failed and llr >= threshold. Null, empty and blank texts
@@ -130,7 +130,7 @@ def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     rows = boxed(docs).withColumn("w", words(F.col(f"_row.`{text_col}`")))
     trusted = trusted_ids(labels, target_limit)
     sparse = docs.select(F.col(f"`{id_col}`").alias("id"), word_hashes(words(F.col(f"`{text_col}`"))).alias("h"))
-    wv = weight_vector(sparse, trusted, buckets, min_expected)
+    wv = weight_vector(sparse, trusted, buckets, prior)
     base = base_columns(F.col(f"_row.`{text_col}`"), F.col("w"))
     add = lambda acc, h: acc + F.get(wv, F.pmod(h, F.lit(buckets)).cast("int"))
     of_hashes = let(word_hashes(F.col("w")), lambda h: let(joined_hashes(h, 1), lambda pairs: F.struct(

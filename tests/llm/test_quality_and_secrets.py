@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 
 import xxhash
 
@@ -40,7 +41,7 @@ def grams(text, buckets):
 
 def test_quality_against_brute_force(spark):
     rng = random.Random(2)
-    texts = awkward_texts() + [" ".join(f"JUNK{rng.randrange(10**6)}!!" for _ in range(60)) for _ in range(15)] + [
+    texts = awkward_texts() + [" ".join(f"JUNK{rng.randrange(30)}!!" for _ in range(60)) for _ in range(15)] + [
         "x y z " * 30, "a b c d e f g h i j k a b c d e f g h i j", "p q\np q\n \n \nr"]
     good = [(i, 1) for i in range(5, 60)] + [(6, 0), (None, 1), (7, None)]
     labels = spark.createDataFrame([(i, q, 0) for i, q in good], "doc_id long, quality int, toxic int")
@@ -53,7 +54,7 @@ def test_quality_against_brute_force(spark):
             raw[b] += 1
             tgt[b] += i in trusted
     want = [r * sum(tgt) / sum(raw) for r in raw]
-    lr = [round(math.log((t + 1) / (e + 1)), 9) if e >= 5 else 0.0 for t, e in zip(tgt, want, strict=True)]
+    lr = [round(math.log((t + 10) / (e + 10)), 9) for t, e in zip(tgt, want, strict=True)]
     rejected = 0
     for i, t in enumerate(texts):
         g, r = grams(t, 512), got[i]
@@ -124,3 +125,36 @@ def test_written_spans_order_and_hash(spark):
         "array(struct(5 as s, 2 as k, 9 as e), struct(5 as s, 0 as k, 20 as e), struct(1 as s, 1 as k, 3 as e))")).alias("w")).first()
     assert row.w == "access:1:3,assign:5:20,hex:5:9"
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_spans_of_many_matches_and_overlaps(spark):
+    """Brute-force spans where blocks of the running sums begin and end, and opaque runs beside base spans."""
+    rng = random.Random(9)
+    pieces = lambda: rng.choice([
+        "token=" + "aB3_" * rng.randrange(1, 9), "AKIA" + "ZX9" * rng.randrange(2, 9), "0af9" * rng.randrange(4, 14),
+        "Qw3rTy" * rng.randrange(2, 8), "word é", "\n"])
+    texts = [" ".join(pieces() for _ in range(n)) for n in (0, 1, 2, 255, 256, 257, 600, 3000)] + ["", None]
+    docs = documents(spark, texts)
+    got = {r["_row"].doc_id: r for r in secret_scan.scan(docs).collect()}
+    for i, t in enumerate(texts):
+        spans = sorted(secret_spans(t))
+        assert [(x.s, x.k, x.e) for x in sorted(got[i].base)] == spans, i
+        opaque = [(m.start(), 3, m.end()) for m in re.finditer(secret_scan.OPAQUE, t or "")
+                  if re.search("[0-9]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0])]
+        free = {o for o in opaque if not any(b[0] < o[2] and o[0] < b[2] for b in spans)}
+        assert {(x.s, x.k, x.e) for x in got[i].added} <= free
+        assert got[i].n_live + got[i].n_copied <= len(spans) + len(free)
+    shown = docs.select(secret_scan.let(F.struct(
+        F.expr("array(named_struct('s', 0, 'e', 5), named_struct('s', 5, 'e', 9), named_struct('s', 20, 'e', 30), named_struct('s', 31, 'e', 40))").alias("o"),
+        F.expr("array(named_struct('s', 9, 'e', 12), named_struct('s', 3, 'e', 5), named_struct('s', 10, 'e', 50), named_struct('s', 40, 'e', 41))").alias("b")),
+        lambda x: secret_scan.uncovered(x["o"], x["b"])).alias("free")).first().free
+    assert [(x.s, x.e) for x in shown] == [(5, 9)]
+
+
+def test_a_hundred_thousand_matches(spark):
+    text = "token=abcdefgh1 Qw3rTy0123456789abcd " * 100_000
+    begun = time.monotonic()
+    row = secret_scan.scan(documents(spark, [text])).collect()[0]
+    assert len(row.base) == 100_000 and time.monotonic() - begun < 60
+    at = text.index("token=", 37 * 77_777)
+    assert (at, 0, at + 15) in {(x.s, x.k, x.e) for x in row.base}
