@@ -59,7 +59,11 @@ windows AS (
   WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, s) AS nth FROM windows WHERE line2 IS NOT NULL),
-gone AS (SELECT doc_id, i FROM ranked WHERE nth > 1 UNION SELECT doc_id, i2 FROM ranked WHERE nth > 1),
+alone AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, s) AS nth FROM numbered
+  WHERE len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) >= 12),
+gone AS (SELECT doc_id, i FROM ranked WHERE nth > 1 UNION SELECT doc_id, i2 FROM ranked WHERE nth > 1
+         UNION SELECT doc_id, i FROM alone WHERE nth > 1),
 kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
          coalesce(string_agg(CASE WHEN g.i IS NULL THEN l.line END, chr(10) ORDER BY l.i), '') AS kept_text

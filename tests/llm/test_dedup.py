@@ -140,24 +140,22 @@ def test_components_of_long_chains_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def cut_lines(rows, run):
+def cut_lines(rows, run, long_line=None):
     """Rows in the order of the operator: id (null first), then text hash."""
-    place = {}
-    numbered = []
+    first, windows = {}, []
     for i, t in rows:
         lines = t.split("\n") if t is not None else []
-        numbered.append([j for j, x in enumerate(lines) if words(x)])
-        rank = (i is not None, i or 0, xxhash_signed(t))
-        for s in range(len(numbered[-1]) - run + 1):
-            k = tuple(lines[j] for j in numbered[-1][s:s + run])
-            place[k] = min(place.get(k, (*rank, s)), (*rank, s))
+        full = [j for j, x in enumerate(lines) if words(x)]
+        own = [full[s:s + run] for s in range(len(full) - run + 1)]
+        if long_line:
+            own += [[j] for j in full if len(words(lines[j])) >= long_line]
+        windows.append((lines, (i is not None, i or 0, xxhash_signed(t)), own))
+        for at in own:
+            key, place = tuple(lines[j] for j in at), (*windows[-1][1], at)
+            first[key] = min(first.get(key, place), place)
     out = []
-    for (i, t), nb in zip(rows, numbered, strict=True):
-        lines = t.split("\n") if t is not None else []
-        rank, gone = (i is not None, i or 0, xxhash_signed(t)), set()
-        for s in range(len(nb) - run + 1):
-            if place[tuple(lines[j] for j in nb[s:s + run])] != (*rank, s):
-                gone.update(nb[s:s + run])
+    for (i, t), (lines, rank, own) in zip(rows, windows, strict=True):
+        gone = {j for at in own if first[tuple(lines[j] for j in at)] != (*rank, at) for j in at}
         out.append((i, len(lines), len(gone), None if t is None else "\n".join(x for j, x in enumerate(lines) if j not in gone)))
     return out
 
@@ -186,15 +184,7 @@ def test_long_lines_that_stand_alone(spark):
     pool = [" ".join(f"l{i}w{j}" for j in range(n)) for i, n in enumerate([1, 3, 7, 11, 12, 12, 13, 60, 300])] + ["", " "]
     texts = ["\n".join(rng.choice(pool) if rng.random() < 0.4 else f"own {rng.random()}" for _ in range(rng.randrange(1, 9))) for _ in range(80)]
     texts += [pool[8], pool[7] + "\n" + pool[7], None, ""]
-    first, want = {}, []
-    for i, t in enumerate(texts):
-        lines, gone = t.split("\n") if t is not None else [], set()
-        full = [j for j, x in enumerate(lines) if words(x)]
-        windows = [full[s:s + 2] for s in range(len(full) - 1)] + [[j] for j in full if len(words(lines[j])) >= 12]
-        for at in windows:
-            if first.setdefault(tuple(lines[j] for j in at), (i, at)) != (i, at):
-                gone.update(at)
-        want.append((i, len(lines), len(gone), None if t is None else "\n".join(x for j, x in enumerate(lines) if j not in gone)))
+    want = cut_lines(list(enumerate(texts)), 2, 12)
     got = [(r["_row"].doc_id, r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.dedup_lines(documents(spark, texts), long_line=12).collect()]
     assert sorted(got) == want
     assert any(n for _, _, n, _ in want[80:82])

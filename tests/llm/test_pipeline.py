@@ -30,7 +30,7 @@ def test_stages(spark):
             good = {r.doc_id for r in read_table(spark, SF0001, "labels").where("quality = 1").collect()}
             assert not good & {r.doc_id for r in gone}
         elif name == "line_dedup":
-            want = {i: t for i, _, n, t in cut_lines(sorted((i, r.text) for i, r in before.items()), 2) if not n or t.split()}
+            want = {i: t for i, _, n, t in cut_lines(sorted((i, r.text) for i, r in before.items()), 2, 12) if not n or t.split()}
             assert {i: r.text for i, r in after.items()} == want
             assert all(r.n_chars == len(r.text) for r in after.values())
         elif name == "simhash_near_dedup":
