@@ -26,13 +26,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines are cut out of ``text``; ``n_chars`` follows.
+    """Later repeated runs of two lines, and lines of 12 words or more, are cut out of ``text``; ``n_chars`` follows.
 
     A document of which nothing but blanks is left was a copy of earlier lines
     throughout, and goes.
     """
     prepare_session(spark)
-    out = line_dedup.dedup_lines(docs, min_run=2)
+    out = line_dedup.dedup_lines(docs, min_run=2, long_line=12)
     out = out.where((F.col("n_removed") == 0) | (F.btrim("kept_text", F.lit(BLANKS)) != ""))
     new = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
