@@ -960,3 +960,6 @@ def q_fe_account_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _x12(spark, sf_dir)
     return (_account_fit(df).fitted(df).groupBy("id")
             .agg(F.round(F.sum(F.col("fitted") * F.col("total")), 3).alias("fitted"), F.count(F.lit(1)).alias("n")))
+
+
+from . import layouts  # noqa: E402,F401  (queries through the source layouts register themselves)

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import logging
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.errors import IllegalArgumentException
@@ -45,24 +46,27 @@ def clean_fragment(line: str) -> str:
 
 
 def compiles(fragment: str) -> bool:
-    """Whether the engine that will run the pattern (``rlike``, Java) accepts the fragment.
-
-    Without a session (lists built while modules load) Python's engine decides;
-    every list read from a file is judged by Java.
-    """
-    spark = SparkSession.getActiveSession()
+    """Whether Python's engine accepts the fragment (lists written in code, without a session)."""
     try:
-        if spark is None:
-            re.compile(fragment)
-        else:
-            spark._jvm.java.util.regex.Pattern.compile(f"({fragment})")
-    except (re.error, IllegalArgumentException):
+        re.compile(f"({fragment})")
+    except re.error:
         return False
     return True
 
 
-def validate_fragments(fragments: list[str]) -> tuple[list[str], list[str]]:
-    """Split into (usable, rejected); blanks and duplicates are dropped."""
+def java_compiles(spark: SparkSession) -> Callable[[str], bool]:
+    """The check by the engine that runs the pattern (``rlike``, Java): for lists read from files."""
+    def judge(fragment: str) -> bool:
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(f"({fragment})")
+        except IllegalArgumentException:
+            return False
+        return True
+    return judge
+
+
+def validate_fragments(fragments: list[str], judge: Callable[[str], bool] = compiles) -> tuple[list[str], list[str]]:
+    """Split into (usable, rejected by ``judge``); blanks and duplicates are dropped."""
     good: list[str] = []
     bad: list[str] = []
     seen: set[str] = set()
@@ -70,7 +74,7 @@ def validate_fragments(fragments: list[str]) -> tuple[list[str], list[str]]:
         if not frag or frag in seen:
             continue
         seen.add(frag)
-        if not compiles(frag):
+        if not judge(frag):
             bad.append(frag)
             continue
         good.append(frag)
@@ -95,8 +99,8 @@ def keyword_regex(fragments: list[str], boundary: str = "java") -> str:
     raise ValueError(f"unknown boundary {boundary!r}")
 
 
-def keyword_list(name: str, lines: list[str]) -> KeywordList:
-    good, bad = validate_fragments([clean_fragment(x) for x in lines])
+def keyword_list(name: str, lines: list[str], judge: Callable[[str], bool] = compiles) -> KeywordList:
+    good, bad = validate_fragments([clean_fragment(x) for x in lines], judge)
     return KeywordList(name, good, bad)
 
 
@@ -107,4 +111,4 @@ def read_keywords(spark: SparkSession, path: str, name: str) -> KeywordList:
           .select("pos", F.trim(F.split("value", "\t").getItem(0)).alias("frag"))
           .select("pos", F.translate("frag", "#@", "").alias("frag")))
     rows = df.orderBy("pos").select("frag").collect()
-    return keyword_list(name, [r.frag for r in rows])
+    return keyword_list(name, [r.frag for r in rows], java_compiles(spark))

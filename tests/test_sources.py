@@ -4,12 +4,14 @@ import json
 import os
 import tempfile
 
+import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from flockscope.operators import counts, frames
 from flockscope.plans import lists
 from flockscope.sources import readers, sinks
-from flockscope.sources.keywords import read_keywords
+from flockscope.sources.keywords import keyword_list, read_keywords
 
 
 def _scratch():
@@ -108,3 +110,72 @@ def test_sample_rows_repeatable(spark):
     a = [r.id for r in frames.sample_rows(df, 50, seed=3).collect()]
     b = [r.id for r in frames.sample_rows(df.repartition(7), 50, seed=3).collect()]
     assert a == b and len(set(a)) == 50
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files of some kilobytes are read in many splits, several to a task and not in file order."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    old = {n: spark.conf.get(n, None) for n in names}
+    for n, v in zip(names, ("700", "1", "40"), strict=True):
+        spark.conf.set(n, v)
+    yield
+    for n, v in old.items():
+        spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def test_line_numbers_of_many_splits(spark, small_splits):
+    d = _scratch()
+    lines = [f"line {i} " + "x" * (i * 7 % 90) for i in range(900)] + ["", "same", "same", ""]
+    for name, part in (("a.txt", lines[:11]), ("b.txt", lines[11:700]), ("c.txt", lines[700:])):
+        _write(os.path.join(d, name), "\n".join(part) + "\n")
+    got = readers.numbered_lines(spark, d)
+    assert got.rdd.getNumPartitions() > 1
+    assert [r.value for r in sorted(got.collect(), key=lambda r: r.pos)] == lines
+    assert sorted(r.pos for r in got.collect()) == list(range(1, len(lines) + 1))
+
+
+def test_mm_edges_of_many_splits_with_wrong_lines(spark, small_splits):
+    d = _scratch()
+    entries = [(i * 37 % 800 + 1, i * 53 % 600 + 1) for i in range(2000)]
+    wrong = ["7", "x 3", "801 1", "1 601", "5 17"]  # line 17 of the columns holds no number
+    body = [f"{i} {j}" for i, j in entries]
+    body[100:100] = wrong + ["", "% note"]
+    mtx = _write(os.path.join(d, "m.mtx"), "%%MatrixMarket matrix coordinate pattern general\n%\n800 600 2000\n" + "\n".join(body) + "\n")
+    rows = _write(os.path.join(d, "rows.txt"), "".join(f"{10_000 + i}\n" for i in range(1, 801)))
+    cols = _write(os.path.join(d, "cols.txt"), "".join("none\n" if j == 17 else f" {20_000 + j}\n" for j in range(1, 601)))
+    seen = Observation()
+    got = sorted((r.source, r.target) for r in readers.read_mm_edges(spark, mtx, rows, cols, seen).collect())
+    want = [(10_000 + i, 20_000 + j) for i, j in entries if j != 17]
+    assert got == sorted(want)
+    assert seen.get == {"n_rows": 2005, "n_rejected": 2005 - len(want)}
+
+
+def test_rejects_are_counted_by_the_scan(spark):
+    d = _scratch()
+    tweets = _write(os.path.join(d, "t.json"), '{"id_str": "1", "text": "a"}\n{"id_str": \nnot json\n{"id_str": "2"}\n')
+    infl = _write(os.path.join(d, "infl.csv"), "uid grp\n10 1\n11 x\nbad 3\n")
+    edges = _write(os.path.join(d, "adj.csv"), "source,target,attr\n1,10,1\n2,,1\n,3,1\n4,99999999999999999999,1\n")
+    for read, path, want in ((readers.read_tweets, tweets, (4, 2)), (readers.read_influencers, infl, (3, 1)), (readers.read_edges, edges, (4, 3))):
+        seen = Observation()
+        kept = read(spark, path, metrics=seen).collect()
+        assert (seen.get["n_rows"], seen.get["n_rejected"]) == want and len(kept) == want[0] - want[1]
+    assert readers.malformed_edges(spark, edges).count() == 3 and readers.malformed_influencers(spark, infl).count() == 1
+    assert [tuple(r) for r in readers.read_influencers(spark, infl).orderBy("uid").collect()] == [(10, 1), (11, None)]
+    empty = _write(os.path.join(d, "none.csv"), "source,target,attr\n")
+    seen = Observation()
+    assert readers.read_edges(spark, empty, seen).collect() == [] and seen.get["n_rejected"] == 0
+
+
+def test_assignments_k_from_folder(spark):
+    d = os.path.join(_scratch(), "y_9")
+    for k in (5, 60):
+        sinks.write_csv(spark.createDataFrame([(1, k)], "id long, grp int"), os.path.join(d, f"y_{k}.csv"))
+    assert sorted(tuple(r) for r in readers.read_assignments(spark, os.path.join(d, "y_*.csv")).collect()) == [(1, 5, 5), (1, 60, 60)]
+
+
+def test_the_engine_that_runs_a_pattern_judges_lists_from_files(spark):
+    only_java, only_python = r"a\p{L}++", r"(?P<x>a)"
+    assert keyword_list("x", [only_java, only_python]).fragments == [only_python]  # with a session or without
+    path = _write(os.path.join(_scratch(), "kw.tsv"), f"{only_java}\n{only_python}\n")
+    assert read_keywords(spark, path, "x").fragments == [only_java]
