@@ -2,125 +2,199 @@
 
 Replicates resample clusters with replacement. A cluster drawn m times enters
 the refit with weight m (copies carry identical rows, and with their own
-fixed effects the copies' slopes equal one weighted fit), so no row is ever
-duplicated. Replicates are fitted in batches: every IRLS step is a single
-aggregation grouped by replicate over (rows x replicates with m > 0), and
-only one p x p system per replicate reaches the driver. A replicate whose
-fit fails (singular system) is skipped and counted; all failing is an error.
+fixed effects the copies' slopes equal one weighted fit). A cluster's
+multiplicities in all replicates are one array; rows are packed into blocks of
+one cluster, so an array travels once per block and no row is repeated. A task
+forms X'WX of all replicates of a block as one matrix product (products of
+columns by rows, times rows by replicates); Spark adds the tasks' sums per
+chunk of replicates, and one p x p system per replicate reaches the driver. A
+replicate whose fit fails (singular system) or does not converge is left out
+and counted; all failing is an error.
 """
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
 from .glm import GLMFit, clamp, complete, find_aliased
-from .gram import _unpack, partition_sums, stack, tri_upper
+from .gram import vector_sums
 
 log = logging.getLogger(__name__)
 
 
-def cluster_multiplicities(df: DataFrame, cluster: str, reps: int, seed: int) -> DataFrame:
-    """(rep, cluster, m): each replicate draws #clusters clusters with replacement.
+#: Replicates whose sums travel together.
+CHUNK = 50
+#: Most rows of a block.
+BLOCK_ROWS = 1024
 
-    Cluster ids are indexed by rank (the cluster count is bounded); draws are
-    generated with ``spark.range`` and counted, so nothing is enumerated on
-    the driver.
+
+def cluster_numbers(df: DataFrame, cluster: str) -> DataFrame:
+    """``(cluster, idx)``: the clusters in order, numbered from 0, without one task that holds them all.
+
+    The sorted clusters are written, so their partitions stay as they are; a number is
+    the place in its partition behind the sizes of the partitions before it.
     """
-    ids = df.select(cluster).distinct()
-    ids = ids.select(cluster, (F.dense_rank().over(Window.orderBy(cluster)) - 1).alias("__idx"))
+    marked = cut_lineage(df.select(cluster).distinct().orderBy(cluster)
+                         .select(cluster, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("mark")))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    parts = (marked.groupBy("part").agg(F.min("mark").alias("first"), F.count(F.lit(1)).alias("n"))
+             .select("part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")))
+    return marked.join(parts, "part").select(cluster, (F.col("mark") - F.col("first") + F.col("ahead")).alias("idx"))
+
+
+def multiplicity_arrays(df: DataFrame, cluster: str, reps: int, seed: int) -> DataFrame:
+    """``(cluster, m)``: how often each replicate drew the cluster, an array of ``reps`` numbers.
+
+    Each replicate draws #clusters clusters with replacement. Draws are made
+    with ``spark.range`` and counted, so nothing is enumerated on the driver. A
+    null cluster is a cluster of its own.
+    """
+    ids = cluster_numbers(df, cluster)
     n_g = ids.count()
-    spark = df.sparkSession
-    draws = (spark.range(reps * n_g)
+    draws = (df.sparkSession.range(reps * n_g)
              .select((F.col("id") / n_g).cast("int").alias("rep"),
                      # a draw is a hash of (seed, number): the same for any partitioning
-                     F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(n_g)).cast("int").alias("__idx")))
-    counts = draws.groupBy("rep", "__idx").agg(F.count(F.lit(1)).alias("m"))
-    return counts.join(F.broadcast(ids), "__idx").select("rep", cluster, F.col("m").cast("double"))
+                     F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(n_g)).alias("idx")))
+    drawn = (draws.groupBy("idx", "rep").agg(F.count(F.lit(1)).cast("int").alias("m"))
+             .groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("rep", "m"))).alias("drawn")))
+    every = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda r: F.coalesce(F.col("drawn")[r], F.lit(0)))
+    never = F.array_repeat(F.lit(0), reps)
+    return ids.join(drawn, "idx", "left").select(cluster, F.when(F.col("drawn").isNull(), never).otherwise(every).alias("m"))
+
+
+def cluster_multiplicities(arrays: DataFrame, cluster: str) -> DataFrame:
+    """``(rep, cluster, m)`` of the multiplicity arrays, a row per replicate and drawn cluster."""
+    return arrays.select(F.posexplode("m").alias("rep", "m"), cluster).where("m > 0").select("rep", cluster, "m")
+
+
+def _flat(column: pa.ListArray, dtype=np.float64) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)
+
+
+def packed(rows: DataFrame, key: str, p: int) -> DataFrame:
+    """``rows`` (``key``, ``__x``, ``__y``, ``__w``) as blocks of one key each: flat arrays of up to ``BLOCK_ROWS`` rows."""
+    key_type = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            coded = b.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            x = _flat(b.column(1)).reshape(b.num_rows, p)
+            y, w = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            order = np.argsort(coded, kind="stable")
+            heads = np.flatnonzero(np.diff(coded[order], prepend=-1))
+            blocks = [order[lo:min(lo + BLOCK_ROWS, z)] for a, z in zip(heads, [*heads[1:], len(order)], strict=True)
+                      for lo in range(a, z, BLOCK_ROWS)]
+            lists = lambda of, per: pa.ListArray.from_arrays(
+                np.cumsum([0, *[per * len(i) for i in blocks]]).astype(np.int32), pa.array(np.concatenate([of[i].ravel() for i in blocks])))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array([i[0] for i in blocks])), lists(x, p), lists(y, 1), lists(w, 1)], [key, "xs", "ys", "ws"])
 
+    return rows.select(key, "__x", "__y", "__w").mapInArrow(
+        run, f"`{key}` {key_type}, xs array<double>, ys array<double>, ws array<double>")
 
-def _batched_irls(frame: DataFrame, reps: list[int], beta0: np.ndarray, p: int, max_iter: int = 25,
+
+def _replicate_sums(blocks: DataFrame, betas: np.ndarray, reps: np.ndarray, p: int) -> np.ndarray:
+    """Upper triangles of X'WX, X'Wz and the deviance of every replicate, a row each; one pass over the blocks."""
+    upper = np.triu_indices(p)
+    width = len(upper[0]) + p + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(reps), width))
+        for b in batches:
+            for i in range(b.num_rows):
+                x = _flat(b.column(0)[i:i + 1]).reshape(-1, p)
+                y, w = _flat(b.column(1)[i:i + 1])[:, None], _flat(b.column(2)[i:i + 1])[:, None]
+                m = _flat(b.column(3)[i:i + 1])[reps]
+                eta = x @ betas
+                mu = clamp(1.0 / (1.0 + np.exp(-eta)))
+                var = mu * (1.0 - mu)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    lost = np.where(y > 0, y * np.log(y / mu), 0.0) + np.where(y < 1, (1.0 - y) * np.log((1.0 - y) / (1.0 - mu)), 0.0)
+                weight = w * var * m
+                total[:, :-p - 1] += weight.T @ (x[:, upper[0]] * x[:, upper[1]])
+                total[:, -p - 1:-1] += (weight * eta + w * m * (y - mu)).T @ x
+                total[:, -1] += 2 * (w * m * lost).sum(0)
+        at = np.arange(0, len(reps), CHUNK)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([total[i:i + CHUNK].ravel() for i in at], pa.list_(pa.float64()))], ["at", "s"])
+
+    parts = blocks.select("xs", "ys", "ws", "m").mapInArrow(run, "at long, s array<double>")
+    sums = np.zeros((len(reps), width))
+    for at, s in vector_sums(parts, "at", F.col("s")).collect():  # replicates x p x p numbers
+        sums[at:at + CHUNK] = np.asarray(s).reshape(-1, width)
+    return sums
+
+
+def _batched_irls(blocks: DataFrame, reps: list[int], beta0: np.ndarray, p: int, max_iter: int = 25,
                   tol: float = 1e-8) -> dict[int, np.ndarray]:
-    """IRLS for many replicates at once; ``frame`` has rep, __x, __y, __w (weight x multiplicity)."""
+    """IRLS for many replicates at once; ``blocks`` has xs, ys, ws and the multiplicities ``m`` of all replicates."""
     betas = {r: beta0.copy() for r in reps}
-    dev_old = {r: np.inf for r in reps}
-    active = set(reps)
-    failed: set[int] = set()
+    dev_old = dict.fromkeys(reps, np.inf)
+    active, upper, done = list(reps), np.triu_indices(p), {}
     for _ in range(max_iter):
         if not active:
             break
-        current = {r: betas[r] for r in active}
-
-        def fn(pdf, current=current):
-            rep = int(pdf["rep"].iloc[0])
-            beta = current[rep]
-            x = stack(pdf["__x"])
-            y = pdf["__y"].to_numpy(np.float64)
-            w = pdf["__w"].to_numpy(np.float64)
-            eta = x @ beta
-            mu = clamp(1.0 / (1.0 + np.exp(-eta)))
-            var = mu * (1.0 - mu)
-            wt = w * var
-            z = eta + (y - mu) / var
-            with np.errstate(divide="ignore", invalid="ignore"):
-                t1 = np.where(y > 0, y * np.log(y / mu), 0.0)
-                t2 = np.where(y < 1, (1.0 - y) * np.log((1.0 - y) / (1.0 - mu)), 0.0)
-            xw = x * wt[:, None]
-            return np.concatenate([tri_upper(x.T @ xw), xw.T @ z, [float(np.sum(2 * w * (t1 + t2))), w.sum(),
-                                                                   float(len(w))]])
-
-        sums = partition_sums(frame.where(F.col("rep").isin(sorted(active))), fn,
-                              p * (p + 1) // 2 + p + 3, by="rep")
-        for rep, vec in sums.items():
-            g = _unpack(vec, p)
+        sums = _replicate_sums(blocks, np.column_stack([betas[r] for r in active]), np.array(active), p)
+        still = []
+        for rep, vec in zip(active, sums, strict=True):
+            xtwx = np.zeros((p, p))
+            xtwx[upper] = vec[:-p - 1]
+            xtwx += np.triu(xtwx, 1).T
             try:
-                keep = find_aliased(g.xtwx)
+                keep = find_aliased(xtwx)
                 sol = np.zeros(p)
-                sol[keep] = np.linalg.solve(g.xtwx[np.ix_(keep, keep)], g.xtwz[keep])
+                sol[keep] = np.linalg.solve(xtwx[np.ix_(keep, keep)], vec[-p - 1:-1][keep])
                 if not np.isfinite(sol).all():
                     raise np.linalg.LinAlgError("coefficients are not finite")
             except np.linalg.LinAlgError:
-                failed.add(rep)
-                active.discard(rep)
                 continue
-            if abs(g.ztwz - dev_old[rep]) / (abs(g.ztwz) + 0.1) < tol:
-                active.discard(rep)
-            dev_old[rep] = g.ztwz
-            betas[rep] = sol
-    for r in failed | active:  # what has not converged by the last step is no replicate either
-        betas.pop(r, None)
-    return betas
+            if abs(vec[-1] - dev_old[rep]) / (abs(vec[-1]) + 0.1) < tol:
+                done[rep] = sol
+            else:
+                still.append(rep)
+            dev_old[rep], betas[rep] = vec[-1], sol
+        active = still
+    return done  # what has not converged by the last step is no replicate either
 
 
 def bootstrap_fits(fit: GLMFit, df: DataFrame, cluster: str, reps: int = 1000, seed: int = 779,
                    batch: int = 100) -> tuple[dict[int, np.ndarray], DataFrame]:
-    """G12 refits: coefficient vectors per replicate (over the fit's kept columns) + multiplicities."""
-    mult = cluster_multiplicities(df, cluster, reps, seed).persist()
+    """G12 refits: coefficient vectors per replicate (over the fit's kept columns) + multiplicities (rep, cluster, m)."""
+    betas, arrays = _fits(fit, df, cluster, reps, seed, batch)
+    return betas, cluster_multiplicities(arrays, cluster)
+
+
+def _fits(fit: GLMFit, df: DataFrame, cluster: str, reps: int, seed: int, batch: int) -> tuple[dict[int, np.ndarray], DataFrame]:
+    """Coefficient vectors per replicate and the multiplicity arrays.
+
+    ``batch`` replicates are fitted in step; a task holds some numbers per row of
+    a block and replicate of the batch.
+    """
+    mult = cut_lineage(multiplicity_arrays(df, cluster, reps, seed))
     w = F.col(fit.weight).cast("double") if fit.weight else F.lit(1.0)
     base = (df.where(F.col(fit.y).isNotNull() & (w > 0))
-            .select(F.col(cluster), fit.x().alias("__x"), F.col(fit.y).cast("double").alias("__y"),
-                    w.alias("__w0"))
-            .where(complete("__x")).persist())
+            .select(F.col(cluster), fit.x().alias("__x"), F.col(fit.y).cast("double").alias("__y"), w.alias("__w"))
+            .where(complete("__x")))
     p = len(fit.keep)
+    blocks = packed(base, cluster, p)
+    weighed = mult.withColumnRenamed(cluster, "__c")
+    blocks = cut_lineage(blocks.join(weighed, F.col(cluster).eqNullSafe(F.col("__c"))).select("xs", "ys", "ws", "m"))
     out: dict[int, np.ndarray] = {}
     for start in range(0, reps, batch):
-        ids = list(range(start, min(reps, start + batch)))
-        mb = mult.where(F.col("rep").between(ids[0], ids[-1]))
-        frame = (base.join(F.broadcast(mb), cluster)
-                 .select("rep", "__x", "__y", (F.col("__w0") * F.col("m")).alias("__w")).persist())
-        out.update(_batched_irls(frame, ids, fit.beta, p))
-        frame.unpersist()
-    base.unpersist()
-    n_ok = len(out)
-    if n_ok == 0:
+        out.update(_batched_irls(blocks, list(range(start, min(reps, start + batch))), fit.beta, p))
+    if not out:
         raise RuntimeError(f"no replicate of {reps} could be fitted")
-    if n_ok < reps:
-        log.warning("interval from %d replicates; %d could not be fitted", n_ok, reps - n_ok)
+    if len(out) < reps:
+        log.warning("interval from %d replicates; %d could not be fitted", len(out), reps - len(out))
     return out, mult
 
 
@@ -131,11 +205,13 @@ def bootstrap_curves(spark: SparkSession, fit: GLMFit, df: DataFrame, varnames:
     """Population-averaged prediction curves with cluster-bootstrap percentile CIs.
 
     A continuous variable's grid has evenly spaced quantiles of ``df``, a discrete
-    one's all its values. One refit per replicate serves all variables. Each task evaluates a row at a grid value for the point fit and
-    all replicates at once (one matrix product with the p x R coefficients)
-    and weights it by its cluster's multiplicity in every replicate; per-cell
-    sums are added by Spark. Cells are grid values x groups (bounded).
-    Output: focal, value, *by, estimate, conf_low, conf_high.
+    one's all its values. One refit per replicate serves all variables. Each task evaluates a block
+    of rows (of one cluster and grid value) for the point fit and all replicates
+    at once (one matrix product with the p x R coefficients) and weights it by
+    its cluster's multiplicity in every replicate; per-cell sums are added by
+    Spark. Cells are grid values x groups (bounded).
+    Output: focal, value, *by, estimate, conf_low, conf_high, n_replicates (those
+    of the interval), n_failed (those that could not be fitted).
     """
     probs = list(np.linspace(grid_probs[0], grid_probs[1], grid_n))
     grids: dict[str, list[float]] = {}
@@ -146,47 +222,46 @@ def bootstrap_curves(spark: SparkSession, fit: GLMFit, df: DataFrame, varnames:
     for v in discrete:
         vals = sorted(r[0] for r in df.select(F.col(v)).distinct().collect() if r[0] is not None)
         grids[v] = vals
-    betas, mult = bootstrap_fits(fit, df, cluster, reps, seed, batch)
+    betas, mult = _fits(fit, df, cluster, reps, seed, batch)
     ok = sorted(betas)
-    # p x (1 + R) coefficients (column 0 = point fit) and clusters x (1 + R) multiplicities
-    bmat = np.column_stack([fit.beta] + [betas[r] for r in ok])
-    col = {r: i + 1 for i, r in enumerate(ok)}
-    mrows = mult.where(F.col("rep").isin(ok)).collect()
-    clusters = sorted({r[cluster] for r in mrows} | {r[0] for r in df.select(cluster).distinct().collect()})
-    cidx = {c: i for i, c in enumerate(clusters)}
-    mmat = np.zeros((len(clusters), 1 + len(ok)))
-    mmat[:, 0] = 1.0
-    for r in mrows:
-        mmat[cidx[r[cluster]], col[r["rep"]]] = r["m"]
-    ncol = 1 + len(ok)
+    # p x (1 + R) coefficients; column 0 is the point fit, for which every cluster counts once
+    bmat, used = np.column_stack([fit.beta] + [betas[r] for r in ok]), np.array(ok)
+    ncol, p = 1 + len(ok), len(fit.keep)
+    weighed = mult.withColumnRenamed(cluster, "__g")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            for i, cell in enumerate(b.column(0).to_pylist()):
+                x = _flat(b.column(1)[i:i + 1]).reshape(-1, p)
+                m = np.concatenate([[1.0], _flat(b.column(2)[i:i + 1])[used]])
+                mu = (1.0 / (1.0 + np.exp(-(x @ bmat)))).sum(0)
+                sums[cell] = sums.get(cell, 0.0) + np.concatenate([mu * m, len(x) * m])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["cell", "s"])
+
     out_rows = []
     for v in [*varnames, *discrete]:
-        vals = grids[v]
-        lit_vals = F.array(*[F.lit(x) for x in vals])
-        rows = df.select("*", F.explode(lit_vals).alias("__value"))
+        rows = df.select("*", F.explode(F.array(*[F.lit(x) for x in grids[v]])).alias("__value"))
         x = fit.design.array({v: F.col("__value")}, fit.keep)
         cell = F.concat_ws("\u0001", F.col("__value").cast("string"), *[F.col(b).cast("string") for b in by])
-        rows = (rows.select(cell.alias("__cell"), F.col(cluster).alias("__c"), x.alias("__x"))
+        rows = (rows.select(F.to_json(F.struct(cell.alias("cell"), F.col(cluster).alias("g"))).alias("__key"), x.alias("__x"),
+                            F.lit(0.0).alias("__y"), F.lit(1.0).alias("__w"))
                 .where(F.forall("__x", lambda t: t.isNotNull() & ~F.isnan(t))))
-
-        def fn(pdf, bmat=bmat, mmat=mmat, cidx=cidx):
-            xm = stack(pdf["__x"])
-            mu = 1.0 / (1.0 + np.exp(-(xm @ bmat)))                  # rows x (1 + R)
-            m = mmat[[cidx[c] for c in pdf["__c"]]]                    # rows x (1 + R)
-            return np.concatenate([(mu * m).sum(0), m.sum(0)])
-
-        sums = partition_sums(rows, fn, 2 * ncol, by="__cell")
-        for key, vec in sums.items():
-            parts = key.split("\u0001")
+        key = F.from_json("__key", f"cell string, g {df.schema[cluster].dataType.simpleString()}")
+        blocks = packed(rows, "__key", p).select(key.alias("__key"), "xs")
+        cells = (blocks.join(weighed, F.col("__key.g").eqNullSafe(F.col("__g")))
+                 .select(F.col("__key.cell").alias("cell"), "xs", "m").mapInArrow(run, "cell string, s array<double>"))
+        for key, vec in vector_sums(cells, "cell", F.col("s")).collect():
+            parts, vec = key.split("\u0001"), np.asarray(vec)
             num, den = vec[:ncol], vec[ncol:]
             with np.errstate(invalid="ignore", divide="ignore"):
                 est = num / den
             reps_est = est[1:][den[1:] > 0]
             lo, hi = (np.quantile(reps_est, [(1 - level) / 2, 1 - (1 - level) / 2]) if len(reps_est)
                       else (float("nan"), float("nan")))
-            out_rows.append((v, _as_value(parts[0]), *parts[1:], float(est[0]), float(lo), float(hi)))
+            out_rows.append((v, _as_value(parts[0]), *parts[1:], float(est[0]), float(lo), float(hi), len(reps_est), reps - len(ok)))
     schema = ", ".join(["focal string", "value double", *[f"`{b}` string" for b in by],
-                        "estimate double", "conf_low double", "conf_high double"])
+                        "estimate double", "conf_low double", "conf_high double", "n_replicates int", "n_failed int"])
     return spark.createDataFrame(out_rows, schema)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flockscope.operators import agreement, network
 from flockscope.sources import readers
-from flockscope.sources.keywords import validate_fragments
+from flockscope.sources.keywords import java_compiles, validate_fragments
 from flockscope.stats import bootstrap, glm, models
 from flockscope.stats.design import Design, make_design, poly2
 
@@ -92,6 +92,39 @@ def test_bootstrap_skips_replicates_that_fail_and_is_the_same_for_any_partitioni
     assert all(np.isfinite(b).all() for b in one.values())
 
 
+def test_bootstrap_equals_dense_refits_with_null_clusters_and_counts_failures(spark):
+    df = frame(spark, 300).selectExpr("x", "g", "nullif(c, 4) AS c", "y", "w")
+    fit = glm.binomial_fit(df, make_design(df, [("x",), ("g",)], factors=["g"]), "y", "w")
+    betas, mult = bootstrap.bootstrap_fits(fit, df, "c", reps=60, seed=5, batch=25)
+    drawn = {(r.rep, r.c): r.m for r in mult.collect()}
+    assert {sum(m for (rep, _), m in drawn.items() if rep == k) for k in range(60)} == {20} and len(betas) == 60
+    pdf = df.toPandas()
+    x = np.column_stack([np.ones(len(pdf)), pdf.x, pdf.g == "g1", pdf.g == "g2"]).astype(float)
+    for rep in (0, 24, 25, 59):
+        w = pdf.w.to_numpy(float) * [drawn.get((rep, None if np.isnan(c) else int(c)), 0) for c in pdf.c]
+        b = np.zeros(4)
+        for _ in range(40):
+            mu = 1 / (1 + np.exp(-x @ b))
+            b = b + np.linalg.solve((x * (w * mu * (1 - mu))[:, None]).T @ x, x.T @ (w * (pdf.y.to_numpy(float) - mu)))
+        assert np.allclose(betas[rep], b, atol=1e-7)
+    rows = bootstrap.bootstrap_curves(spark, fit, df, ["x"], ["g"], "c", reps=60, grid_n=3, seed=5, batch=60).collect()
+    assert len(rows) == 9 and {(r.n_replicates, r.n_failed) for r in rows} == {(60, 0)}
+    r = max(rows, key=lambda r: (r.value, r.g))  # the interval from dense predictions of all replicates
+    part = pdf[pdf.g == r.g]
+    at = np.column_stack([np.ones(len(part)), np.full(len(part), r.value), part.g == "g1", part.g == "g2"]).astype(float)
+    means = []
+    for rep in range(60):
+        m = np.array([drawn.get((rep, None if np.isnan(c) else int(c)), 0) for c in part.c], float)
+        means.append((m / (1 + np.exp(-at @ betas[rep]))).sum() / m.sum())
+    assert np.allclose([r.conf_low, r.conf_high], np.quantile(means, [0.025, 0.975]), atol=1e-9)
+    # a cluster of its own level: replicates without it cannot be told from aliased ones, and none is hidden
+    odd = spark.createDataFrame([(float(i % 5), float(i % 5 > 2), i % 3) for i in range(30)], "x double, y double, c int")
+    base = glm.binomial_fit(df, make_design(df, [("x",)]), "y", "w")
+    base.weight, base.y = None, "y"
+    with pytest.raises(RuntimeError, match="no replicate"):
+        bootstrap.bootstrap_fits(base, odd.withColumn("y", F.lit(float("nan"))), "c", reps=3, seed=1)
+
+
 def test_comparisons_need_nested_models(spark):
     df = frame(spark)
     fit = lambda *terms: glm.binomial_fit(df, make_design(df, list(terms), factors=["g"]), "y", "w")
@@ -118,7 +151,7 @@ def test_agreement_interval_does_not_depend_on_partitions(spark):
 
 
 def test_fragments_and_short_lines(spark, tmp_path):
-    assert validate_fragments([r"\p{L}+blm", "(?P<n>vote)", "ok"]) == ([r"\p{L}+blm", "ok"], ["(?P<n>vote)"])
+    assert validate_fragments([r"\p{L}+blm", "(?P<n>vote)", "ok"], java_compiles(spark)) == ([r"\p{L}+blm", "ok"], ["(?P<n>vote)"])
     path = tmp_path / "profiles.tsv"
     path.write_text("1\tname\n")
     assert readers.read_profiles(spark, str(path)).first()[:3] == ("1", "name", None)
