@@ -17,7 +17,7 @@ import numpy as np
 
 from ..functions import columns
 from ..functions.columns import party_from_score
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..operators import counts, events, frames, network
 from ..sources import sinks
 from . import lists
@@ -693,7 +693,7 @@ def q_fit_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed vs fitted of base and full FE models, one row per account x public."""
     df = _x12(spark, sf_dir).persist()
     base = _models.fe_binomial_fit(df, make_design(df, []), "v", "total", ["variable", "grp"])
-    full = _models.fe_binomial_fit(df, _fe_design(df), "v", "total", ["variable", "grp"])
+    full = _models.fe_binomial_fit(df, _full_design(df), "v", "total", ["variable", "grp"])
     diag = _models.fit_diagnostics(df, {"base": base, "full": full}, "v", "total")
     return diag.select("id", "variable", "observed", "pred_base", "pred_full")
 
@@ -704,16 +704,54 @@ from ..stats import bootstrap as _boot  # noqa: E402
 BOOT_REPS = 1000
 
 
+#: Account predictors of the full model, in the order the blocks enter.
+FULL_PREDICTORS = ["cent_pop", "cent_age", "cent_pardiff", "cent_male", "cent_bet"]
+
+
+def _crossed(name: str) -> list[tuple]:
+    """A predictor with its interactions with issue public and cluster kind."""
+    return [(name,), (name, "variable"), (name, "meta"), (name, "variable", "meta")]
+
+
+def _full_design(df: DataFrame):
+    """Every predictor by issue public by cluster kind; partisanship enters as a quadratic."""
+    return _fe_design(df, [t for name in FULL_PREDICTORS[1:] for t in _crossed(name)])
+
+
 @register("bootstrap_curves", None, ref="G13 G12 U5 A14 G11")
 def q_bootstrap_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Population-averaged curves of the FE account model with cluster-bootstrap CIs."""
-    df = _x12(spark, sf_dir).persist()
-    fit = _models.fe_binomial_fit(df, _fe_design(df, [("cent_age",), ("cent_age", "variable", "meta")]),
-                                  "v", "total", ["variable", "grp"])
-    return _boot.bootstrap_curves(spark, fit, df, ["cent_pop", "cent_age"], ["meta", "variable"], "grp",
+    """Population-averaged curves of the full FE account model with cluster-bootstrap CIs: five predictors and ``verified``."""
+    df = cut_lineage(_x12(spark, sf_dir))
+    fit = _models.fe_binomial_fit(df, _full_design(df), "v", "total", ["variable", "grp"])
+    return _boot.bootstrap_curves(spark, fit, df, FULL_PREDICTORS, ["meta", "variable"], "grp",
                                   discrete=["verified"], reps=BOOT_REPS, grid_n=20, seed=779, batch=250)
 
 
+@register("fe_model_sequence", None, ref="G6 G10")
+def q_fe_model_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The account models from fixed effects alone to the full one and its robustness check, each against its predecessors."""
+    df = cut_lineage(_x12(spark, sf_dir))
+    first = [("verified",), ("cent_pop",)]
+    by = lambda *over: [(*t, *over) for t in first]
+    m2 = {"m2a": first, "m2b": first + by("meta"), "m2c": first + by("variable")}
+    m2["m2d"] = m2["m2b"] + by("variable") + by("variable", "meta")
+    age = _crossed("cent_age")
+    steps = m2 | {"base": [], "age1": m2["m2d"] + age[:1], "age2": m2["m2d"] + age[:2], "age3": m2["m2d"] + [age[0], age[2]],
+                  "age4": m2["m2d"] + age[:3], "age5": m2["m2d"] + age}
+    steps["pardiff"] = steps["age5"] + _crossed("cent_pardiff")
+    steps["male"] = steps["pardiff"] + _crossed("cent_male")
+    steps["full"] = steps["male"] + _crossed("cent_bet")
+    raw = ["par_diff", "age_avg", "male", "pop", "approx_rw_centr"]
+    steps["robustness"] = steps["full"] + [t for name in raw for t in _crossed(name)]
+    design = lambda rows, terms: make_design(rows, terms, factors=["verified", "variable", "meta"],
+                                             poly=["cent_pardiff", "par_diff"])
+    df = cut_lineage(_models.common_rows(df, design(df, steps["robustness"])))  # compared models use the same rows
+    fits = {name: _models.fe_binomial_fit(df, design(df, terms), "v", "total", ["variable", "grp"]) for name, terms in steps.items()}
+    smaller = {"m2a": "base", "m2b": "m2a", "m2c": "m2a", "m2d": "m2b", "age1": "m2d", "age2": "age1", "age3": "age1",
+               "age4": "age2", "age5": "age4", "pardiff": "age5", "male": "pardiff", "full": "male", "robustness": "full"}
+    return _models.compare_models(spark, fits, smaller)
+
+
 from ..operators import factor as _factor  # noqa: E402
 
 
