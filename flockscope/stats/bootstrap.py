@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import cut_lineage
@@ -198,6 +199,33 @@ def _fits(fit: GLMFit, df: DataFrame, cluster: str, reps: int, seed: int, batch:
     return out, mult
 
 
+def _curve_sums(base: np.ndarray, rest: np.ndarray, pieces: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Sums over rows of 1 / (1 + exp(-(base + (rest * piece) beta))), a row per row of ``pieces``.
+
+    Rows with the same ``rest`` have the same shift at a value, so exp(-base) is
+    formed once and only scaled per value; where that could overflow, and where
+    hardly a ``rest`` comes twice, every value is computed on its own.
+    """
+    kinds, at = np.unique(rest, axis=0, return_inverse=True)
+    at = at.ravel()
+    shift = np.stack([(kinds * piece) @ beta for piece in pieces]) if len(pieces) else np.zeros((0, len(kinds), base.shape[1]))
+    out = np.zeros((len(pieces), base.shape[1]))
+    order = np.argsort(at, kind="stable")
+    ends = np.cumsum(np.bincount(at, minlength=len(kinds)))
+    plain = not (np.abs(base).max(initial=0.0) < 300.0 and np.abs(shift).max(initial=0.0) < 300.0)
+    for kind, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+        for start in range(lo, hi, 64):  # some rows at a time stay in the processor's cache
+            part = base[order[start:min(start + 64, hi)]]
+            part = part if plain else np.exp(-part)
+            for j in range(len(pieces)):
+                with np.errstate(over="ignore"):
+                    mu = np.exp(-(part + shift[j, kind])) if plain else part * np.exp(-shift[j, kind])
+                mu += 1.0
+                np.reciprocal(mu, out=mu)
+                out[j] += mu.sum(0)
+    return out
+
+
 def bootstrap_curves(spark: SparkSession, fit: GLMFit, df: DataFrame, varnames: Sequence[str],
                      by: Sequence[str], cluster: str, discrete: Sequence[str] = (), reps: int = 1000,
                      grid_n: int = 20, grid_probs: tuple[float, float] = (0.005, 0.995), seed: int = 779,
@@ -206,10 +234,10 @@ def bootstrap_curves(spark: SparkSession, fit: GLMFit, df: DataFrame, varnames:
 
     A continuous variable's grid has evenly spaced quantiles of ``df``, a discrete
     one's all its values. One refit per replicate serves all variables. Each task evaluates a block
-    of rows (of one cluster and grid value) for the point fit and all replicates
-    at once (one matrix product with the p x R coefficients) and weights it by
-    its cluster's multiplicity in every replicate; per-cell sums are added by
-    Spark. Cells are grid values x groups (bounded).
+    of rows (of one cluster and group) for the point fit, all replicates and all
+    grid values (one matrix product per variable with the coefficients of the
+    others) and weights it by its cluster's multiplicity in every replicate;
+    per-cell sums are added by Spark. Cells are grid values x groups (bounded).
     Output: focal, value, *by, estimate, conf_low, conf_high, n_replicates (those
     of the interval), n_failed (those that could not be fitted).
     """
@@ -218,7 +246,7 @@ def bootstrap_curves(spark: SparkSession, fit: GLMFit, df: DataFrame, varnames:
     q = df.agg(*[F.percentile(F.col(v).cast("double"), F.array(*[F.lit(float(x)) for x in probs])).alias(v)
                  for v in varnames]).first() if varnames else {}
     for v in varnames:
-        grids[v] = [float(x) for x in q[v]]
+        grids[v] = list(dict.fromkeys(float(x) for x in q[v]))  # quantiles that agree are one value
     for v in discrete:
         vals = sorted(r[0] for r in df.select(F.col(v)).distinct().collect() if r[0] is not None)
         grids[v] = vals
@@ -229,37 +257,58 @@ def bootstrap_curves(spark: SparkSession, fit: GLMFit, df: DataFrame, varnames:
     ncol, p = 1 + len(ok), len(fit.keep)
     weighed = mult.withColumnRenamed(cluster, "__g")
 
+    # A row's design at a value of the focal variable is its other columns as they are, and in the columns of the
+    # variable what is left without it times the variable's piece: rows travel once, with both, for all grid values.
+    focal, columns, width = [], [], p
+    for v in [*varnames, *discrete]:
+        split = fit.design.without(v)
+        own = [j for j, c in enumerate(fit.keep) if split[c] is not None]
+        kind = df.schema[v].dataType if v in discrete else "double"
+        values = spark.createDataFrame(list(enumerate(grids[v])), "i int, v double") if kind == "double" else spark.createDataFrame(
+            [(i, x) for i, x in enumerate(grids[v])], T.StructType([T.StructField("i", T.IntegerType()), T.StructField("v", kind)]))
+        pieces = (fit.design.piece_values(v, values.withColumnRenamed("v", v), "i")[:, [split[fit.keep[j]][1] for j in own]]
+                  if grids[v] and own else np.zeros((len(grids[v]), 0)))
+        columns += [split[fit.keep[j]][0] for j in own]
+        focal.append((v, np.array(own, dtype=int), np.array([j for j in range(p) if j not in own], dtype=int), width, pieces))
+        width += len(own)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for i, cell in enumerate(b.column(0).to_pylist()):
-                x = _flat(b.column(1)[i:i + 1]).reshape(-1, p)
+                every = _flat(b.column(1)[i:i + 1]).reshape(-1, width)
                 m = np.concatenate([[1.0], _flat(b.column(2)[i:i + 1])[used]])
-                mu = (1.0 / (1.0 + np.exp(-(x @ bmat)))).sum(0)
-                sums[cell] = sums.get(cell, 0.0) + np.concatenate([mu * m, len(x) * m])
+                for k, (_, own, others, at, pieces) in enumerate(focal):
+                    x, rest = every[:, others], every[:, at:at + len(own)]
+                    whole = ~(np.isnan(x).any(axis=1) | np.isnan(rest).any(axis=1))
+                    if not whole.any():
+                        continue
+                    mu = _curve_sums(x[whole] @ bmat[others], rest[whole], pieces, bmat[own])
+                    for j in np.flatnonzero(~np.isnan(pieces).any(axis=1)):
+                        name = f"{k}\u0001{j}\u0001{cell}"
+                        sums[name] = sums.get(name, 0.0) + np.concatenate([mu[j] * m, whole.sum() * m])
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["cell", "s"])
 
+    known = F.transform(F.concat(fit.x(), F.array(*columns).cast("array<double>")), lambda c: F.coalesce(c, F.lit(float("nan"))))
+    cell = F.concat_ws("\u0001", *[F.col(b).cast("string") for b in by])
+    rows = df.select(F.to_json(F.struct(cell.alias("cell"), F.col(cluster).alias("g"))).alias("__key"), known.alias("__x"),
+                     F.lit(0.0).alias("__y"), F.lit(1.0).alias("__w"))
+    key = F.from_json("__key", f"cell string, g {df.schema[cluster].dataType.simpleString()}")
+    blocks = packed(rows, "__key", width).select(key.alias("__key"), "xs")
+    cells = (blocks.join(weighed, F.col("__key.g").eqNullSafe(F.col("__g")))
+             .select(F.col("__key.cell").alias("cell"), "xs", "m").mapInArrow(run, "cell string, s array<double>"))
     out_rows = []
-    for v in [*varnames, *discrete]:
-        rows = df.select("*", F.explode(F.array(*[F.lit(x) for x in grids[v]])).alias("__value"))
-        x = fit.design.array({v: F.col("__value")}, fit.keep)
-        cell = F.concat_ws("\u0001", F.col("__value").cast("string"), *[F.col(b).cast("string") for b in by])
-        rows = (rows.select(F.to_json(F.struct(cell.alias("cell"), F.col(cluster).alias("g"))).alias("__key"), x.alias("__x"),
-                            F.lit(0.0).alias("__y"), F.lit(1.0).alias("__w"))
-                .where(F.forall("__x", lambda t: t.isNotNull() & ~F.isnan(t))))
-        key = F.from_json("__key", f"cell string, g {df.schema[cluster].dataType.simpleString()}")
-        blocks = packed(rows, "__key", p).select(key.alias("__key"), "xs")
-        cells = (blocks.join(weighed, F.col("__key.g").eqNullSafe(F.col("__g")))
-                 .select(F.col("__key.cell").alias("cell"), "xs", "m").mapInArrow(run, "cell string, s array<double>"))
-        for key, vec in vector_sums(cells, "cell", F.col("s")).collect():
-            parts, vec = key.split("\u0001"), np.asarray(vec)
-            num, den = vec[:ncol], vec[ncol:]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                est = num / den
-            reps_est = est[1:][den[1:] > 0]
-            lo, hi = (np.quantile(reps_est, [(1 - level) / 2, 1 - (1 - level) / 2]) if len(reps_est)
-                      else (float("nan"), float("nan")))
-            out_rows.append((v, _as_value(parts[0]), *parts[1:], float(est[0]), float(lo), float(hi), len(reps_est), reps - len(ok)))
+    for name, vec in vector_sums(cells, "cell", F.col("s")).collect():
+        k, j, *parts = name.split("\u0001")
+        v, vec = focal[int(k)][0], np.asarray(vec)
+        num, den = vec[:ncol], vec[ncol:]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            est = num / den
+        reps_est = est[1:][den[1:] > 0]
+        lo, hi = (np.quantile(reps_est, [(1 - level) / 2, 1 - (1 - level) / 2]) if len(reps_est)
+                  else (float("nan"), float("nan")))
+        out_rows.append((v, _as_value(str(grids[v][int(j)]).lower()), *(parts if by else []), float(est[0]), float(lo), float(hi),
+                         len(reps_est), reps - len(ok)))
     schema = ", ".join(["focal string", "value double", *[f"`{b}` string" for b in by],
                         "estimate double", "conf_low double", "conf_high double", "n_replicates int", "n_failed int"])
     return spark.createDataFrame(out_rows, schema)

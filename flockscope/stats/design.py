@@ -105,6 +105,28 @@ class Design:
                 cols.append(c)
         return names, cols
 
+    def without(self, var: str) -> list[tuple[Column, int] | None]:
+        """For every column the product of its other variables and the place of its piece of ``var``; None where ``var`` does not enter."""
+        out: list[tuple[Column, int] | None] = [None] if self.intercept else []
+        for term in self.terms:
+            for combo in product(*[list(enumerate(self._pieces(v, {}))) for v in term]):
+                if var not in term:
+                    out.append(None)
+                    continue
+                rest, at = F.lit(1.0), 0
+                for v, (i, (_, c)) in zip(term, combo, strict=True):
+                    if v == var:
+                        at = i
+                    else:
+                        rest = rest * c
+                out.append((rest, at))
+        return out
+
+    def piece_values(self, var: str, values: DataFrame, order: str) -> np.ndarray:
+        """The pieces of ``var`` at every value of the column ``var`` of ``values`` (few rows), a row each."""
+        rows = values.orderBy(order).select(F.array(*[c for _, c in self._pieces(var, {})]).alias("x")).collect()
+        return np.array([r["x"] for r in rows], dtype=np.float64)
+
     def array(self, overrides: Mapping[str, Column] | None = None, keep: Sequence[int] | None = None) -> Column:
         names, cols = self.build(overrides)
         if keep is not None:
