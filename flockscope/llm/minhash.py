@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flockscope.llm.common import boxed, write_shared
-from flockscope.llm.components import connected_components
+from flockscope.llm.components import star_edges
 from flockscope.llm.wordarrays import WordHash, hash_words, window_hashes
 
 LANES, BANDS, ROWS, SMALL = 512, 32, 5, 32
@@ -144,29 +144,31 @@ def _node_sets(shingle: int):
 def _overlaps(differences: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            both, gone, added = [], [], []
+            both, na, nb, gone, added = [], [], [], [], []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 u, v = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
                 inside = np.isin(u, v, assume_unique=True)
                 both.append(int(inside.sum()))
+                na.append(len(u))
+                nb.append(len(v))
                 if differences:
                     near = len(u) + len(v) - 2 * both[-1] <= DIFFERENCE
                     gone.append(np.setdiff1d(v, u, assume_unique=True).view(np.int64) if near else None)
                     added.append(u[~inside].view(np.int64) if near else None)
             more = [pa.array(z, pa.list_(pa.int64())) for z in (gone, added)] if differences else []
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(both, pa.int64()), *more],
-                                             ["a", "b", "both", "gone", "added"][:3 + len(more)])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *[pa.array(x, pa.int64()) for x in (both, na, nb)], *more],
+                                             ["a", "b", "both", "na", "nb", "gone", "added"][:5 + len(more)])
     return run
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
-    """``(a, b, both)``: sizes of the intersections of the full sets of the pairs ``(a, b)``.
+    """``(a, b, both, na, nb)``: sizes of the intersections and of both full sets of the pairs ``(a, b)``.
 
     With ``differences``, also the hashes of b that a lacks (``gone``) and has beside (``added``), where they are few.
     """
     one = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
     two = one.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").select("a", "b", "ha", "hb")
-    return two.mapInArrow(_overlaps(differences), "a binary, b binary, both long"
+    return two.mapInArrow(_overlaps(differences), "a binary, b binary, both long, na long, nb long"
                           + (", gone array<long>, added array<long>" if differences else ""))
 
 
@@ -196,15 +198,15 @@ def enough(both: Column, na: Column, nb: Column, percent: int) -> Column:
 
 
 def _residual_pairs(busy: DataFrame, nodes: DataFrame, met: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of round 2 (see the module docstring)."""
+    """Distinct pairs of round 2 (see the module docstring). ``met`` may repeat rows; a node that ``comps`` lacks is a root."""
     root = F.coalesce("root", "node")
     none = F.when(F.col("centre").isNull(), F.array().cast("array<long>"))  # a node without a centre is its own
-    facts = (nodes.join(met.select(F.col("a").alias("node"), F.col("b").alias("centre"), F.col("both").alias("own"), "gone", "added"),
+    facts = (nodes.join(met.dropDuplicates(["a"]).select(F.col("a").alias("node"), F.col("b").alias("centre"), F.col("both").alias("own"), "gone", "added"),
                         "node", "left")
              .join(comps, "node", "left")
              .select("node", "n", "bands", "planes", F.coalesce("centre", "node").alias("centre"), F.coalesce("own", "n").alias("own"),
                      F.coalesce("gone", none).alias("gone"), F.coalesce("added", none).alias("added"), root.alias("root")))
-    placed = busy.select("t", "key", "node").join(facts.select("node", "root"), "node")
+    placed = busy.select("t", "key", "node").join(comps, "node", "left").select("t", "key", "node", root.alias("root"))
     parts = placed.groupBy("t", "key", "root").agg(F.count(F.lit(1)).alias("m"))
     mixed = parts.groupBy("t", "key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "root")).alias("largest")) \
         .where("parts > 1").select("t", "key", F.col("largest.root").alias("main"))
@@ -266,14 +268,11 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     wanted = busy.select("node").distinct().join(nodes.select("node", "at"), "node")
     texts = rows.join(wanted, rows["id"].eqNullSafe(F.col("at.id")) & rows["rk"].eqNullSafe(F.col("at.rk")))
     sets = write_shared(texts.select("node", "body").mapInArrow(_node_sets(shingle), "node binary, hashes binary"), "minhash-sets")
-    met = write_shared(overlaps(stars, sets, differences=True).dropDuplicates(["a"]), "minhash-met")
-    size = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"))
-    linked = lambda p: (p.join(size("a"), "a").join(size("b"), "b")
-                        .where(enough(F.col("both"), F.col("na"), F.col("nb"), percent)).select("a", "b"))
-    first = write_shared(connected_components(linked(met)), "minhash-components")
-    pairs = write_shared(_residual_pairs(busy, nodes, met, first, percent), "minhash-pairs")
-    more = linked(overlaps(pairs, sets))
-    comps = connected_components(more.unionByName(first.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    met = write_shared(overlaps(stars, sets, differences=True), "minhash-met")
+    linked = lambda p: p.where(enough(F.col("both"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+    first = star_edges(linked(met))
+    more = linked(overlaps(_residual_pairs(busy, nodes, met, first, percent), sets))
+    comps = star_edges(more.unionByName(first.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = nodes.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_node = named.join(ids, "root").select(F.col("node").alias("_node"), "component_id")

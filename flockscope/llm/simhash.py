@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flockscope.llm.common import boxed, write_shared
-from flockscope.llm.components import connected_components
+from flockscope.llm.components import star_edges
 
 SEED = 42
 
@@ -115,7 +115,7 @@ def _grouped(docs: DataFrame, text_col: str, id_col: str, shingle: int, radius:
                               *[c.alias(k) for k, c in more.items()])
     rows = write_shared(rows, "simhash-fingerprints")
     distinct = write_shared(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-distinct")
-    comps = connected_components(fingerprint_links(distinct.select("fp"), radius))
+    comps = star_edges(fingerprint_links(distinct.select("fp"), radius))
     named = distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left") \
         .withColumn("root", F.coalesce("root", "fp"))
     heads = named.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -5,7 +5,8 @@ import random
 import numpy as np
 import xxhash
 
-from flockscope.llm import line_dedup, simhash, substring
+from flockscope.llm import components, line_dedup, simhash, substring
+from flockscope.llm.common import write_shared
 from flockscope.llm.components import connected_components
 from pyspark.sql import functions as F
 from tests.llm.helpers import awkward_texts, documents, prose, words
@@ -140,6 +141,15 @@ def test_components_of_long_chains_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_end_with_the_round_that_makes_stars(spark, monkeypatch):
+    """Repeated links of one star around a node that is not its smallest: the links and one round are written, no more."""
+    written = []
+    monkeypatch.setattr(components, "write_shared", lambda df, tag: written.append(tag) or write_shared(df, tag))
+    links = spark.createDataFrame([(50, i) for i in range(40)] * 2 + [(7, 7)], "a long, b long")
+    assert sorted(map(tuple, components.star_edges(links).collect())) == [(i, 0) for i in [*range(1, 40), 50]]
+    assert written == ["links", "links"]
+
+
 def cut_lines(rows, run, long_line=None):
     """Rows in the order of the operator: id (null first), then text hash."""
     first, windows = {}, []

@@ -57,6 +57,16 @@ def edited(rng, text, share):
     return " ".join(w if rng.random() > share else f"e{rng.randrange(10**6)}" for w in text.split())
 
 
+def test_overlaps_bring_the_sizes_of_the_sets(spark):
+    """So linking pairs needs no join with the nodes."""
+    sets = {b"x": [1, 2, 3, 4], b"y": [3, 4, 5], b"z": [9]}
+    table = spark.createDataFrame([(bytearray(k), bytearray(np.array(v, np.uint64).tobytes())) for k, v in sets.items()],
+                                  "node binary, hashes binary")
+    pairs = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in ((b"x", b"y"), (b"y", b"z"))], "a binary, b binary")
+    got = sorted((bytes(r.a), r.both, r.na, r.nb) for r in minhash.overlaps(pairs, table).collect())
+    assert got == [(b"x", 2, 4, 3), (b"y", 0, 3, 1)]
+
+
 def test_groups_of_near_copies_lose_no_link(spark):
     """A hot group whose members lie on both sides of the threshold of each other."""
     rng = random.Random(4)
