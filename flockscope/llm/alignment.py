@@ -38,7 +38,7 @@ FAN = 16
 #: Bytes of a chunk; shorter texts are not cut.
 CHUNK = 1 << 16
 #: Characters of texts that share a block.
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 MARK = "▁"
 
 CUT = re.compile(r"(?<=\S)(?= \S|\n)")
@@ -173,8 +173,11 @@ def digest(groups: str) -> str:
 
 
 def texts_batch(aligner: Aligner, number: int, id_type: pa.DataType, ids: list, seqs: list[np.ndarray], at: Numbers) -> pa.RecordBatch:
-    """A block of texts, given as numbers of their segments."""
-    facts = aligner.facts(list(at))
+    """A block of texts, given as numbers of their segments, which are emptied."""
+    segments = list(at)
+    at.clear()
+    facts = aligner.facts(segments)
+    del segments
     seqs = [s if facts.ok[s].all() else s[:0] for s in seqs]
     groups = facts.groups
     return block_batch(number, id_type, ids, [1] * len(ids), seqs, [digest("".join([groups[k] for k in s.tolist()])) for s in seqs], facts)
@@ -379,7 +382,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text", id_
     blocks = write_shared(short.unionByName(_long_texts(rows.where(is_long), files, chunk)), "align-blocks")
     keys = blocks.where("pairs IS NOT NULL").select("block", "pairs", "totals")
     pair_totals = keys.select(F.explode(F.arrays_zip("pairs", "totals")).alias("p")).select("p.pairs", "p.totals")
-    counts = write_shared(pair_totals.groupBy(F.col("pairs").alias("pair")).agg(F.sum("totals").alias("links")), "align-counts")
+    counts = pair_totals.groupBy(F.col("pairs").alias("pair")).agg(F.sum("totals").alias("links"))
     b_id = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
     highest = counts.groupBy(b_id.alias("b_id")).agg(F.max("links").alias("most"))
     judged = counts.join(highest, b_id == F.col("b_id")).select("pair", "links", (F.col("links") == F.col("most")).cast("long").alias("is_best"))

@@ -90,6 +90,14 @@ def test_against_whole_texts(spark):
     assert result(documents(spark, texts), chunk=64) == expected
 
 
+def test_only_blocks_and_fragments_are_written(spark, monkeypatch):
+    """Pair counts are derived from the blocks and not written: every file is a task's work and a fork of its executor."""
+    written, write = [], alignment.write_shared
+    monkeypatch.setattr(alignment, "write_shared", lambda df, tag: written.append(tag) or write(df, tag))
+    assert [r[1] > 0 for r in result(documents(spark, ["one two", "two one"]))] == [True, True]
+    assert written == ["align-fragments", "align-blocks"]
+
+
 def test_random_bytes_of_blanks_and_letters(spark):
     rng = random.Random(2)
     texts = ["".join(rng.choice(" \n\t ab é'日1.") for _ in range(rng.randrange(1, 400))) for _ in range(150)]
