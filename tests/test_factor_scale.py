@@ -4,7 +4,7 @@ import os
 
 import numpy as np
 
-from flockscope.operators import factor
+from flockscope.operators import factor, network
 from flockscope.session import ensure_checkpoint_dir
 
 
@@ -59,3 +59,12 @@ def test_nothing_is_kept(spark):
     folder = ensure_checkpoint_dir(spark).removeprefix("file://").removeprefix("file:")
     assert not [x for _, names, _ in os.walk(folder) for x in names if x.startswith("stored_")]
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("stored_")]
+
+
+def test_pruning_derives_the_edges_once(spark):
+    edges = [(s, t) for s in range(30) for t in range(s % 7 + 1)] + [(None, 0), (3, None), (1, 0)]
+    out = network.prune_follows(spark.createDataFrame(edges, "source long, target long"), 15, 3)
+    assert _plan(out).count("Scan ExistingRDD") == 1
+    kept = [(s, t) for s, t in edges if t is not None and sum(u == t for _, u in edges) >= 15]
+    want = [(s, t) for s, t in kept if s is not None and sum(u == s for u, _ in kept) >= 3]
+    assert want and sorted(map(tuple, out.collect())) == sorted(want)
