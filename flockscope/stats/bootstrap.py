@@ -5,8 +5,8 @@ the refit with weight m (copies carry identical rows, and with their own
 fixed effects the copies' slopes equal one weighted fit). A cluster's
 multiplicities in all replicates are one array; rows are packed into blocks of
 one cluster, so an array travels once per block and no row is repeated. A task
-forms X'WX of all replicates of a block as one matrix product (products of
-columns by rows, times rows by replicates); Spark adds the tasks' sums per
+forms X'WX of all replicates that drew a block's cluster as one matrix product
+(products of the block's distinct columns by rows, times rows by replicates); Spark adds the tasks' sums per
 chunk of replicates, and one p x p system per replicate reaches the driver. A
 replicate whose fit fails (singular system) or does not converge is left out
 and counted; all failing is an error.
@@ -104,27 +104,78 @@ def packed(rows: DataFrame, key: str, p: int) -> DataFrame:
         run, f"`{key}` {key_type}, xs array<double>, ys array<double>, ws array<double>")
 
 
+def _distinct_columns(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The columns of a block that differ and are not zero, and every column's place among them (-1: zero).
+
+    Within one cluster most indicators are constant, so that many interactions are zero or equal.
+    """
+    seen: dict[bytes, int] = {}
+    first, at = [], np.full(x.shape[1], -1)
+    some = (x != 0).any(axis=0)
+    for j in np.flatnonzero(some):
+        place = seen.setdefault(x[:, j].tobytes(), len(first))
+        if place == len(first):
+            first.append(j)
+        at[j] = place
+    return np.array(first, dtype=int), at
+
+
+def _add_products(total: np.ndarray, at: np.ndarray, m: np.ndarray, part: np.ndarray, upper: tuple) -> None:
+    """Add ``part``, the sums over a block's distinct columns, to the rows of the replicates that drew its cluster."""
+    act, own, q = np.flatnonzero(m), np.flatnonzero(at >= 0), at.max(initial=-1) + 1
+    pairs = np.flatnonzero((at[upper[0]] >= 0) & (at[upper[1]] >= 0))
+    one, two = at[upper[0][pairs]], at[upper[1][pairs]]
+    lo, hi = np.minimum(one, two), np.maximum(one, two)
+    triangle = q * (q + 1) // 2
+    cols = np.concatenate([pairs, len(upper[0]) + own, [total.shape[1] - 1]])
+    from_ = np.concatenate([lo * q - lo * (lo - 1) // 2 + hi - lo, triangle + at[own], [part.shape[1] - 1]])
+    total[np.ix_(act, cols)] += m[act][:, None] * part[:, from_]
+
+
 def _replicate_sums(blocks: DataFrame, betas: np.ndarray, reps: np.ndarray, p: int) -> np.ndarray:
-    """Upper triangles of X'WX, X'Wz and the deviance of every replicate, a row each; one pass over the blocks."""
+    """Upper triangles of X'WX, X'Wz and the deviance of every replicate, a row each; one pass over the blocks.
+
+    A block's sums are formed over its distinct columns, for the replicates that drew
+    its cluster, and once for all replicates while these have the same coefficients.
+    """
     upper = np.triu_indices(p)
     width = len(upper[0]) + p + 1
+    equal = bool((betas == betas[:, :1]).all())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(reps), width))
+        held: dict[tuple, np.ndarray] = {}
+
+        def emptied():
+            for (at, m), part in held.items():
+                _add_products(total, np.frombuffer(at, dtype=np.int64), np.frombuffer(m), part, upper)
+            held.clear()
+
         for b in batches:
             for i in range(b.num_rows):
-                x = _flat(b.column(0)[i:i + 1]).reshape(-1, p)
-                y, w = _flat(b.column(1)[i:i + 1])[:, None], _flat(b.column(2)[i:i + 1])[:, None]
                 m = _flat(b.column(3)[i:i + 1])[reps]
-                eta = x @ betas
+                act = np.flatnonzero(m)
+                if not len(act):
+                    continue
+                every = _flat(b.column(0)[i:i + 1]).reshape(-1, p)
+                first, at = _distinct_columns(every)
+                x, own = every[:, first], np.flatnonzero(at >= 0)
+                y, w = _flat(b.column(1)[i:i + 1])[:, None], _flat(b.column(2)[i:i + 1])[:, None]
+                coef = np.zeros((len(first), 1 if equal else len(act)))
+                np.add.at(coef, at[own], betas[own][:, :1] if equal else betas[np.ix_(own, act)])
+                eta = x @ coef
                 mu = clamp(1.0 / (1.0 + np.exp(-eta)))
                 var = mu * (1.0 - mu)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     lost = np.where(y > 0, y * np.log(y / mu), 0.0) + np.where(y < 1, (1.0 - y) * np.log((1.0 - y) / (1.0 - mu)), 0.0)
-                weight = w * var * m
-                total[:, :-p - 1] += weight.T @ (x[:, upper[0]] * x[:, upper[1]])
-                total[:, -p - 1:-1] += (weight * eta + w * m * (y - mu)).T @ x
-                total[:, -1] += 2 * (w * m * lost).sum(0)
+                weight = w * var
+                one, two = np.triu_indices(len(first))
+                part = np.hstack([weight.T @ (x[:, one] * x[:, two]), (weight * eta + w * (y - mu)).T @ x, 2 * (w * lost).sum(0)[:, None]])
+                key = at.astype(np.int64).tobytes(), m.tobytes()
+                held[key] = held[key] + part if key in held else part
+                if len(held) > 32:
+                    emptied()
+        emptied()
         at = np.arange(0, len(reps), CHUNK)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([total[i:i + CHUNK].ravel() for i in at], pa.list_(pa.float64()))], ["at", "s"])
 
@@ -278,12 +329,17 @@ def bootstrap_curves(spark: SparkSession, fit: GLMFit, df: DataFrame, varnames:
             for i, cell in enumerate(b.column(0).to_pylist()):
                 every = _flat(b.column(1)[i:i + 1]).reshape(-1, width)
                 m = np.concatenate([[1.0], _flat(b.column(2)[i:i + 1])[used]])
+                drew = np.flatnonzero(m)
                 for k, (_, own, others, at, pieces) in enumerate(focal):
                     x, rest = every[:, others], every[:, at:at + len(own)]
                     whole = ~(np.isnan(x).any(axis=1) | np.isnan(rest).any(axis=1))
                     if not whole.any():
                         continue
-                    mu = _curve_sums(x[whole] @ bmat[others], rest[whole], pieces, bmat[own])
+                    x, kind = x[whole], _distinct_columns(x[whole])
+                    coef = np.zeros((len(kind[0]), len(drew)))
+                    np.add.at(coef, kind[1][kind[1] >= 0], bmat[np.ix_(others[kind[1] >= 0], drew)])
+                    mu = np.zeros((len(pieces), ncol))
+                    mu[:, drew] = _curve_sums(x[:, kind[0]] @ coef, rest[whole], pieces, bmat[np.ix_(own, drew)])
                     for j in np.flatnonzero(~np.isnan(pieces).any(axis=1)):
                         name = f"{k}\u0001{j}\u0001{cell}"
                         sums[name] = sums.get(name, 0.0) + np.concatenate([mu[j] * m, whole.sum() * m])

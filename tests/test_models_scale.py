@@ -80,3 +80,31 @@ def test_curves_of_repeated_grid_values_and_missing_predictors(spark):
                 eta = coef["(Intercept)"] + coef["gb"] * b + coef["x"] * x + coef["u"] * u + coef["x:gb"] * x * b
                 mus.append(1 / (1 + np.exp(-eta)))
         assert np.isclose(est, np.mean(mus), rtol=1e-9)
+
+
+def test_replicate_sums_over_distinct_columns(spark):
+    """Sums over a block's distinct columns and the replicates that drew its cluster equal the plain ones."""
+    rng = np.random.default_rng(8)
+    blocks, plain, p, reps = [], 0.0, 7, 6
+    for _ in range(3):
+        z, n = rng.normal(size=(40, 2)), 40
+        x = np.column_stack([np.ones(n), np.zeros(n), z[:, 0], z[:, 0], z[:, 1], np.ones(n) * 2, z[:, 1]])
+        y, w, m = rng.random((n, 1)), rng.integers(1, 9, (n, 1)).astype(float), np.array([0, 1, 2, 0, 1, 3])
+        y[:3], y[3:6] = 0.0, 1.0
+        blocks.append((x.ravel().tolist(), y.ravel().tolist(), w.ravel().tolist(), m.tolist()))
+    frame = spark.createDataFrame(blocks, "xs array<double>, ys array<double>, ws array<double>, m array<int>")
+    for betas in (rng.normal(size=(p, reps)), np.repeat(rng.normal(size=(p, 1)), reps, axis=1)):
+        plain = np.zeros((reps, p * (p + 1) // 2 + p + 1))
+        for xs, ys, ws, m in blocks:
+            x, y, w = np.reshape(xs, (-1, p)), np.array(ys)[:, None], np.array(ws)[:, None]
+            eta = x @ betas
+            mu = 1 / (1 + np.exp(-eta))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                lost = np.where(y > 0, y * np.log(y / mu), 0) + np.where(y < 1, (1 - y) * np.log((1 - y) / (1 - mu)), 0)
+            weight = w * mu * (1 - mu) * np.array(m)
+            for r in range(reps):
+                plain[r] += np.concatenate([(x.T @ (x * weight[:, [r]]))[np.triu_indices(p)], x.T @ (weight[:, r] * eta[:, r] + (w * m[r] * (y - mu))[:, r]),
+                                            [2 * m[r] * (w * lost)[:, r].sum()]])
+        assert np.allclose(bootstrap._replicate_sums(frame, betas, np.arange(reps), p), plain, rtol=1e-10, atol=1e-10)
+    first, at = bootstrap._distinct_columns(np.reshape(blocks[0][0], (-1, p)))
+    assert first.tolist() == [0, 2, 4, 5] and at.tolist() == [0, -1, 1, 1, 2, 3, 2]
